@@ -182,8 +182,10 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     keys = shared.groupBy("id").agg(F.collect_list(F.when(first, F.col("key"))).alias("left"), F.collect_list(F.when(second, F.col("key"))).alias("right"))
     tables = staged(keys.select("id", F.explode(F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: F.xxhash64(a, b))))).alias("table")), "tables")
     heads = tables.groupBy("table").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head < tail").select("table", "head")
-    meets = tables.join(heads, "table").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    cluster = components(meets).withColumnRenamed("component", "cluster")
+    met = tables.join(heads, "table").where("id <> head").groupBy("id").agg(F.array_sort(F.collect_set("head")).alias("heads"))  # GROUPS^2 at most
+    # a class needs an edge to its first head only, and that head one to the others: few edges, for heads are few
+    star = F.concat(F.array(F.struct(F.col("id").alias("a"), F.element_at("heads", 1).alias("b"))), F.transform(F.slice("heads", 2, GROUPS * GROUPS), lambda h: F.struct(F.element_at("heads", 1).alias("a"), h.alias("b"))))
+    cluster = components(met.select(F.explode(star).alias("e")).select("e.a", "e.b")).withColumnRenamed("component", "cluster")
     sized = staged(cluster.join(classes.select("id", "n"), "id"), "sized")
     drop_staged(tables)
     total = sized.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count("*").alias("rows"))
@@ -192,7 +194,8 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     bins = max(parts(spark), int(weight // BLOCK_SHINGLES) + 1)
     member = sized.select("id", "cluster").distinct().join(total, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     texts = documents(docs).select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    shingled = texts.join(member, "id").select("id", "cluster", "blocks", "block", "text").mapInPandas(_shingled, "id long, cluster long, blocks int, block int, shingles binary")
+    # merge: the same plan at every size, as the candidates grow with the corpus
+    shingled = texts.join(member.hint("merge"), "id").select("id", "cluster", "blocks", "block", "text").mapInPandas(_shingled, "id long, cluster long, blocks int, block int, shingles binary")
     # a small group shares a bin with others; a large one has a task for each pair of its blocks
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least(y, F.col("block")).alias("i"), F.greatest(y, F.col("block")).alias("j")))
     dealt = shingled.withColumn("p", F.explode(pairs)).select("id", "cluster", "block", "p.i", "p.j", "shingles", F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(bins))).alias("bin"), (F.col("blocks") > 1).alias("large"))
