@@ -48,7 +48,7 @@ class SymbolQueue:
         self.held = 0
 
     def pop(self, symbol: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """All blocks of a symbol in order of arrival."""
+        """All entries of a symbol in order of arrival, as blocks of _SLICE entries or more where there are as many."""
         out = []
         for block in self.blocks[symbol]:
             if not isinstance(block[0], np.ndarray):
@@ -58,7 +58,14 @@ class SymbolQueue:
                 self.held -= len(block[0])
             out.append(block)
         self.blocks[symbol] = []
-        return out
+        whole, part, size = [], [], 0
+        for block in out:
+            part.append(block)
+            size += len(block[0])
+            if size >= _SLICE or block is out[-1]:
+                whole.append(part[0] if len(part) == 1 else (np.concatenate([b[0] for b in part]), np.concatenate([b[1] for b in part])))
+                part, size = [], 0
+        return whole
 
     def close(self) -> None:
         if self.file is not None:
@@ -105,31 +112,38 @@ def types(t: np.ndarray) -> np.ndarray:
 
 
 def _scan(t, wanted, pos, lcp, run, cap, queue) -> None:
-    """Hand on the left neighbours of the suffixes ``pos``, in this order; ``run``: least common prefix since each symbol's last."""
+    """Hand on the left neighbours of the suffixes ``pos``, in this order; ``run``: least common prefix since each symbol's last.
+
+    With ``cap`` 0 common prefixes aren't followed.
+    """
     for a in range(0, len(pos), _SLICE):
         p, c = pos[a : a + _SLICE], lcp[a : a + _SLICE]
         left = p - 1
         idx = np.flatnonzero(p > 0)
         idx = idx[wanted[left[idx]]]
-        least = int(c.min())
+        least = int(c.min()) if cap else 0
         if not len(idx):
             np.minimum(run, least, out=run)
             continue
-        minima = _Minima(c)
         sym = t[left[idx]]
         order = np.argsort(sym, kind="stable")
         idx, sym = idx[order], sym[order]
         first = np.r_[True, sym[1:] != sym[:-1]]
+        begin = np.flatnonzero(first)
+        end = np.r_[begin[1:], len(idx)]
+        taken = left[idx]
+        if not cap:
+            for s, lo, hi in zip(sym[begin].tolist(), begin.tolist(), end.tolist()):
+                queue.push(s, taken[lo:hi], np.zeros(hi - lo, np.uint8))
+            continue
+        minima = _Minima(c)
         before = np.where(first, -1, np.r_[-1, idx[:-1]])
         low = minima(before + 1, idx, cap)
         low[first] = np.minimum(low[first], run[sym[first]])
         common = np.minimum(low.astype(np.int64) + 1, cap).astype(np.uint8)
-        begin = np.flatnonzero(first)
-        end = np.r_[begin[1:], len(idx)]
         tail = minima(idx[end - 1] + 1, np.full(len(end), len(c) - 1), cap)
         np.minimum(run, least, out=run)
         run[sym[begin]] = tail
-        taken = left[idx]
         for s, lo, hi in zip(sym[begin].tolist(), begin.tolist(), end.tolist()):
             queue.push(s, taken[lo:hi], common[lo:hi])
 
@@ -265,7 +279,7 @@ def suffix_order(t: np.ndarray, symbols: int, depth: int, limit: int = 1 << 24,
         return np.zeros(1, np.int64), np.zeros(1, np.uint8)
     if len(lms) > 1:
         by_symbol = lms[np.argsort(t[lms], kind="stable")]
-        first, _ = _induce(t, s_type, by_symbol, np.zeros(len(lms), np.uint8), symbols, 1, limit)
+        first, _ = _induce(t, s_type, by_symbol, np.zeros(len(lms), np.uint8), symbols, 0, limit)
         mark = np.zeros(n, bool)
         mark[lms] = True
         found = first[mark[first]]

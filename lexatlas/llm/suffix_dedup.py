@@ -1,6 +1,6 @@
 """Suffix-array dedup: remove every byte covered by a string of ``LEAST`` bytes that an earlier document has.
 
-Shards are formed by content.  Each window of LEAST bytes belongs to the smallest hash among its 16-byte
+Shards are formed by content.  Each window of LEAST bytes belongs to the smallest hash among its 20-byte
 grams; a maximal run of windows of one hash is a passage, and equal windows always come under the same
 hash.  So a shard needs only the passages of its hashes, not the corpus:
 
@@ -25,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, map_by_id, parts, release_shuffles, staged
 from .induced_sort import suffix_order
 
-LEAST, GRAM = 50, 16
+LEAST, GRAM = 50, 20
 #: Text bytes for each group of hashes, and passage bytes for each sorted shard.
-GROUP_BYTES, SHARD_BYTES = 12 << 20, 6 << 20
+GROUP_BYTES, SHARD_BYTES = 12 << 20, 2 << 20
 _LAST = (1 << 63) - 1
 _C1, _C2, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -52,7 +53,10 @@ def passages(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
     none = np.zeros(0, np.int64)
     if n < width:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    gram = _mix(np.ndarray((n,), "<u8", data, 0, (1,)) * _C1 ^ np.ndarray((n,), "<u8", data, 8, (1,)) * _C2)
+    gram = np.ndarray((n,), "<u8", data, 0, (1,)) * _C1
+    gram ^= np.ndarray((n,), "<u8", data, 8, (1,)) * _C2
+    gram ^= (np.ndarray((n,), "<u8", data, GRAM - 8, (1,)) >> np.uint64(1)) * _ODD  # its lowest bits are in the word before
+    gram = _mix(gram)
     low, span = gram, 1
     while 2 * span <= width:
         low = np.minimum(low[:-span], low[span:])
@@ -76,15 +80,34 @@ def passages(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
     return owner[new], start, stop, h[new], content
 
 
-def _spans(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, bytes]]:
-    """Rows (key, intervals) with the merged intervals of each key."""
-    order = np.lexsort((a, key))
-    key, a, b = key[order], a[order], b[order]
-    out = []
-    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist() if len(key) else []
-    for lo, hi in zip(cut, [*cut[1:], len(key)]):
-        out.append((int(key[lo]), merged(a[lo:hi], b[lo:hi]).tobytes()))
-    return out
+def _spans(doc: np.ndarray, tag: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Rows (rank_id, tag, intervals) with the merged intervals of each text."""
+    order = np.lexsort((a, tag, doc))
+    doc, tag, a, b = doc[order], tag[order], a[order].astype(np.int64), b[order].astype(np.int64)
+    text = _starts(doc, tag)
+    if not len(text):
+        return []
+    owner = np.repeat(np.arange(len(text)), np.diff(np.r_[text, len(doc)]))
+    # furthest end so far within a text: texts are lifted apart so that one running maximum serves all
+    lift = owner * (int(b.max()) + 1)
+    reach = np.maximum.accumulate(b + lift) - lift
+    new = np.ones(len(a), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (a[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    spans = np.stack([a[first], reach[np.r_[first[1:], len(a)] - 1]], axis=1).astype(np.int32).tobytes()
+    cut = (8 * np.searchsorted(first, np.r_[text, len(a)])).tolist()
+    return [(d, t, spans[lo:hi]) for d, t, lo, hi in zip(doc[text].tolist(), tag[text].tolist(), cut, cut[1:])]
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,91 +120,137 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a[new], b[np.r_[new[1:], len(a)] - 1]], axis=1).astype(np.int32)
 
 
-_ENTRY = ("h", "c", "doc", "key", "start", "size")
-_KIND = {"h": np.uint64, "c": np.uint64, "doc": np.int64, "key": np.int64, "start": np.int32, "size": np.int32}
-_SHARDED = "shard int, keys long, spans binary, " + ", ".join(f"{x} binary" for x in _ENTRY)
+_ENTRY = ("h", "c", "doc", "tag", "start", "size")
+_SHARDED = "shard int, rank_id long, tag long, spans binary, entries binary"
+
+
+def _pack(e: dict[str, np.ndarray], at: np.ndarray) -> bytes:
+    """Entries ``at`` in about 18 bytes each: 40 bits of the hash, 48 of the content hash, places as differences.
+
+    The hash only forms groups, so cutting it loses nothing; together 88 bits tell passages apart.
+    """
+    doc, tag, start = e["doc"][at], e["tag"][at], e["start"][at].astype(np.int64)
+    run = _starts(doc, tag)
+    step = np.diff(start, prepend=0)
+    step[run] = start[run]
+    count = np.diff(np.r_[run, len(at)])
+    parts = [e["h"][at].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), e["c"][at].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), step.astype("<u4").tobytes(), e["size"][at].astype("<u4").tobytes(), np.diff(doc[run], prepend=0).tobytes(), tag[run].astype("<u4").tobytes(), count.astype("<u4").tobytes()]
+    return np.array([len(at), len(run)], "<u8").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _unpack(blob: bytes) -> dict[str, np.ndarray]:
+    n, runs = (int(x) for x in np.frombuffer(blob, "<u8", 2))
+    raw = zstandard.ZstdDecompressor().decompress(blob[16:])
+    at = 0
+
+    def take(size: int, kind: str) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(raw, kind, size, at)
+        at += out.nbytes
+        return out
+
+    def wide(width: int) -> np.ndarray:
+        out = np.zeros((n, 8), np.uint8)
+        out[:, :width] = take(n * width, "u1").reshape(n, width)
+        return out.view("<u8").ravel()
+
+    h, c = wide(5), wide(6)
+    step, size = take(n, "<u4").astype(np.int64), take(n, "<u4").astype(np.int64)
+    doc, tag, count = np.cumsum(take(runs, "<i8")), take(runs, "<u4").astype(np.int64), take(runs, "<u4").astype(np.int64)
+    first = np.repeat(np.cumsum(count) - count, count)
+    total = np.cumsum(step)
+    return {"h": h, "c": c, "doc": np.repeat(doc, count), "tag": np.repeat(tag, count), "start": total - total[first] + step[first], "size": size}
 
 
 def _leaders(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of equal passages, those of the smallest document; and those that a smaller one removes."""
     group = _mix(e["h"] + e["c"] * _C2)
     order = np.argsort(group, kind="stable")
-    g = group[order]
-    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    least = np.repeat(np.minimum.reduceat(e["doc"][order], first), np.diff(np.r_[first, len(g)]))
-    later = np.zeros(len(g), bool)
-    later[order] = e["doc"][order] > least
+    first = _starts(group[order])
+    later = np.zeros(len(group), bool)
+    if len(first):
+        least = np.repeat(np.minimum.reduceat(e["doc"][order], first), np.diff(np.r_[first, len(group)]))
+        later[order] = e["doc"][order] > least
     return np.flatnonzero(~later), np.flatnonzero(later)
 
 
+def _removed(e: dict[str, np.ndarray], gone: np.ndarray) -> list[tuple[int, int, bytes]]:
+    return _spans(e["doc"][gone], e["tag"][gone], e["start"][gone], e["start"][gone] + e["size"][gone])
+
+
+def _portions(pdf: pd.DataFrame, chars: int) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of about ``chars`` characters, whole texts each."""
+    for _, part in pdf.groupby(pdf["text"].map(len).to_numpy().cumsum() // chars, sort=True):
+        yield part
+
+
 def _deal(groups: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sizes = pdf["text"].map(len).to_numpy().cumsum() // (4 << 20)
+        for pdf in (part for whole in batches for part in _portions(whole, 8 << 20)):
             found: list[dict] = []
-            for _, part in pdf.groupby(sizes, sort=True):
+            for part in _portions(pdf, 1 << 20):
                 raw = [t.encode() for t in part["text"]]
                 end = np.cumsum([len(x) for x in raw])
                 begin = end - np.array([len(x) for x in raw])
                 owner, a, b, h, c = passages(b"".join(raw), begin, end)
                 if len(owner):
-                    found.append({"h": h, "c": c, "doc": part["rank_id"].to_numpy()[owner], "key": part["row_key"].to_numpy()[owner], "start": (a - begin[owner]).astype(np.int32), "size": (b - a).astype(np.int32)})
+                    found.append({"h": h, "c": c, "doc": part["rank_id"].to_numpy()[owner], "tag": part["tag"].to_numpy()[owner], "start": a - begin[owner], "size": b - a})
             if not found:
                 continue
             e = {x: np.concatenate([f[x] for f in found]) for x in _ENTRY}
             stay, gone = _leaders(e)
-            rows: list[tuple] = [(-1, k, s, *[None] * len(_ENTRY)) for k, s in _spans(e["key"][gone], e["start"][gone], e["start"][gone] + e["size"][gone])]
+            rows: list[tuple] = [(-1, *x, None) for x in _removed(e, gone)]
             shard = (e["h"][stay] % np.uint64(groups)).astype(np.int32)
+            e["h"] = e["h"] // np.uint64(groups)
             order = np.argsort(shard, kind="stable")
             stay, shard = stay[order], shard[order]
-            cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]).tolist()
-            for lo, hi in zip(cut, [*cut[1:], len(shard)]):
-                at = stay[lo:hi]
-                rows.append((int(shard[lo]), 0, None, *(e[x][at].tobytes() for x in _ENTRY)))
-            yield pd.DataFrame(rows, columns=["shard", "keys", "spans", *_ENTRY])
+            cut = _starts(shard).tolist()
+            rows += [(int(shard[lo]), 0, 0, None, _pack(e, stay[lo:hi])) for lo, hi in zip(cut, [*cut[1:], len(shard)])]
+            yield pd.DataFrame(rows, columns=["shard", "rank_id", "tag", "spans", "entries"])
 
     return run
 
 
+_DECIDED = "rank_id long, tag long, spans binary, h binary, start binary, size binary, bytes long"
+
+
 def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows (key, spans) of what is removed outright, and rows (key, ..., wanted) of passages that must be sorted."""
-    mine = pdf[pdf["shard"] >= 0]
-    rows = [(k, s, None, None, None, None, None) for k, s in zip(pdf["keys"], pdf["spans"]) if s is not None]
-    if len(mine):
-        e = {x: np.frombuffer(b"".join(mine[x]), _KIND[x]) for x in _ENTRY}
+    """Rows with ``spans`` that are removed outright, and rows with passages (h, start, size) that must be sorted."""
+    rows: list[tuple] = [(d, t, s, None, None, None, 0) for d, t, s in zip(pdf["rank_id"], pdf["tag"], pdf["spans"]) if s is not None]
+    blobs = [_unpack(b) for b in pdf["entries"] if b is not None]
+    if blobs:
+        e = {x: np.concatenate([b[x] for b in blobs]) for x in _ENTRY}
         stay, gone = _leaders(e)
-        rows += [(k, s, None, None, None, None, None) for k, s in _spans(e["key"][gone], e["start"][gone], e["start"][gone] + e["size"][gone])]
+        rows += [(*x, None, None, None, 0) for x in _removed(e, gone)]
         stay = stay[np.argsort(e["h"][stay], kind="stable")]
-        h, c, doc = e["h"][stay], e["c"][stay], e["doc"][stay]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
-        if len(h):
-            size = np.diff(np.r_[first, len(h)])
-            # different passages of different documents
-            mixed = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-            need = stay[np.repeat(mixed & (size > 1), size)]
-            need = need[np.argsort(e["key"][need], kind="stable")]
-            k = e["key"][need]
-            cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]).tolist() if len(k) else []
-            for lo, hi in zip(cut, [*cut[1:], len(k)]):
-                at = need[lo:hi]
-                rows.append((int(k[lo]), None, e["h"][at].tobytes(), int(e["doc"][at[0]]), e["start"][at].tobytes(), e["size"][at].tobytes(), int(e["size"][at].sum())))
-    return pd.DataFrame(rows, columns=["row_key", "spans", "h", "rank_id", "start", "size", "bytes"]).astype({"row_key": "Int64", "rank_id": "Int64", "bytes": "Int64"})
+        h, doc = e["h"][stay], e["doc"][stay]
+        first = _starts(h)
+        # different passages of different documents under one hash
+        mixed = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        need = stay[np.repeat(mixed, np.diff(np.r_[first, len(h)]))]
+        need = need[np.lexsort((e["tag"][need], e["doc"][need]))]
+        doc, tag = e["doc"][need], e["tag"][need]
+        cut = _starts(doc, tag).tolist()
+        for lo, hi in zip(cut, [*cut[1:], len(need)]):
+            at = need[lo:hi]
+            rows.append((int(doc[lo]), int(tag[lo]), None, e["h"][at].tobytes(), e["start"][at].tobytes(), e["size"][at].tobytes(), int(e["size"][at].sum())))
+    return pd.DataFrame(rows, columns=["rank_id", "tag", "spans", "h", "start", "size", "bytes"])
 
 
 def _fetch(shards: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: dict[int, list] = {}
-            for key, doc, text, hs, starts, sizes in zip(pdf["row_key"], pdf["rank_id"], pdf["text"], pdf["h"], pdf["start"], pdf["size"]):
+            for doc, tag, text, hs, starts, sizes in zip(pdf["rank_id"], pdf["tag"], pdf["text"], pdf["h"], pdf["start"], pdf["size"]):
                 raw = text.encode()
-                h, start, size = np.frombuffer(hs, np.uint64), np.frombuffer(starts, np.int32), np.frombuffer(sizes, np.int32)
-                for s, a, n in zip((h % np.uint64(shards)).tolist(), start.tolist(), size.tolist()):
-                    out.setdefault(s, []).append((key, doc, a, n, raw[a : a + n]))
+                h, start, size = np.frombuffer(hs, np.uint64), np.frombuffer(starts, np.int64), np.frombuffer(sizes, np.int64)
+                for s, a, n in zip((_mix(h) % np.uint64(shards)).tolist(), start.tolist(), size.tolist()):
+                    out.setdefault(s, []).append((doc, tag, a, n, raw[a : a + n]))
             rows = []
             for s, x in out.items():
-                key, doc, a, n, raw = zip(*x)
-                rows.append((s, np.array(key, np.int64).tobytes(), np.array(doc, np.int64).tobytes(), np.array(a, np.int32).tobytes(), np.array(n, np.int32).tobytes(), b"".join(raw)))
-            yield pd.DataFrame(rows, columns=["shard", "key", "doc", "start", "size", "data"])
+                *numbers, raw = zip(*x)
+                rows.append((s, *(np.array(y, np.int64).tobytes() for y in numbers), b"".join(raw)))
+            yield pd.DataFrame(rows, columns=["shard", "doc", "tag", "start", "size", "data"])
 
     return run
 
@@ -213,11 +282,9 @@ def repeated_windows(data: bytes, size: np.ndarray, doc: np.ndarray, least: int
 
 
 def _sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    data = b"".join(pdf["data"])
-    key, doc = (np.frombuffer(b"".join(pdf[x]), np.int64) for x in ("key", "doc"))
-    start, size = (np.frombuffer(b"".join(pdf[x]), np.int32).astype(np.int64) for x in ("start", "size"))
-    who, at = repeated_windows(data, size, doc)
-    return pd.DataFrame(_spans(key[who], start[who] + at, start[who] + at + LEAST), columns=["row_key", "spans"])
+    doc, tag, start, size = (np.frombuffer(b"".join(pdf[x]), np.int64) for x in ("doc", "tag", "start", "size"))
+    who, at = repeated_windows(b"".join(pdf["data"]), size, doc)
+    return pd.DataFrame(_spans(doc[who], tag[who], start[who] + at, start[who] + at + LEAST), columns=["rank_id", "tag", "spans"])
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,35 +320,38 @@ def whole_characters(text: str, spans: list) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """``row_key, spans`` (array of binary intervals): what each document loses; keyed by ``keyed(docs)``."""
-    spark = docs.sparkSession
-    rows = docs.where("text is not null").select("row_key", F.coalesce("doc_id", F.lit(_LAST)).alias("rank_id"), "text")
+def removals(rows: DataFrame) -> DataFrame:
+    """``rank_id, tag, spans`` (array of binary intervals): what each text of ``keyed`` rows loses."""
+    spark = rows.sparkSession
+    rows = rows.where("text is not null").select("rank_id", "tag", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(2 * parts(spark), total // GROUP_BYTES + 1)
     dealt = rows.mapInPandas(_deal(groups), _SHARDED)
-    dealt = dealt.withColumn("g", F.when(F.col("shard") >= 0, F.col("shard")).otherwise(F.pmod(F.xxhash64("keys"), F.lit(groups)).cast("int")))
-    decided = staged(dealt.groupBy("g").applyInPandas(_decide, "row_key long, spans binary, h binary, rank_id long, start binary, size binary, bytes long"), "decided")
+    dealt = dealt.withColumn("g", F.when(F.col("shard") >= 0, F.col("shard")).otherwise(F.pmod(F.xxhash64("rank_id"), F.lit(groups)).cast("int")))
+    decided = staged(dealt.groupBy("g").applyInPandas(_decide, _DECIDED), "decided")
     del dealt
     release_shuffles(spark)
     wanted = decided.where("h is not null")
     weight = wanted.agg(F.sum("bytes")).first()[0] or 0
     shards = max(parts(spark), int(weight) // SHARD_BYTES + 1)
-    fetched = rows.select("row_key", "text").join(wanted.select("row_key", "rank_id", "h", "start", "size"), "row_key").mapInPandas(_fetch(shards), "shard int, key binary, doc binary, start binary, size binary, data binary")
-    sorted_out = staged(fetched.groupBy("shard").applyInPandas(_sort_shard, "row_key long, spans binary"), "sorted")
+    # merge: the same plan at every size, as what is wanted grows with the corpus
+    fetched = rows.join(wanted.select("rank_id", "tag", "h", "start", "size").hint("merge"), ["rank_id", "tag"]).mapInPandas(_fetch(shards), "shard int, doc binary, tag binary, start binary, size binary, data binary")
+    sorted_out = staged(fetched.groupBy("shard").applyInPandas(_sort_shard, "rank_id long, tag long, spans binary"), "sorted")
     del fetched
     release_shuffles(spark)
-    return decided.where("spans is not null").select("row_key", "spans").union(sorted_out).groupBy("row_key").agg(F.collect_list("spans").alias("spans"))
+    return decided.where("spans is not null").select("rank_id", "tag", "spans").union(sorted_out).groupBy("rank_id", "tag").agg(F.collect_list("spans").alias("spans"))
 
 
 def keyed(docs: DataFrame, *extra: str) -> DataFrame:
-    return documents(docs, *extra).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    """Rows with what they are ranked by, and a tag that tells texts of one doc_id apart."""
+    rows = documents(docs, *extra).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.withColumns({"rank_id": F.coalesce("doc_id", F.lit(_LAST)), "tag": F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))})
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed`` (byte spans of the original text)."""
     rows = keyed(docs)
-    out = rows.join(removals(rows), "row_key", "left").select("doc_id", "text", "spans")
+    out = rows.join(removals(rows).hint("merge"), ["rank_id", "tag"], "left").select("doc_id", "text", "spans")
     return map_by_id(out, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>")
 
 
@@ -299,4 +369,4 @@ def kept_text(docs: DataFrame, *extra: str) -> DataFrame:
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    return rows.join(removals(rows), "row_key", "left").select("doc_id", cut("text", "spans").alias("text"), *extra)
+    return rows.join(removals(rows).hint("merge"), ["rank_id", "tag"], "left").select("doc_id", cut("text", "spans").alias("text"), *extra)
