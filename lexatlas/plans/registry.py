@@ -1,8 +1,652 @@
-"""Queries and their SQL, by operator id."""
+"""Queries by operator id, each over whole tables, with SQL that gives the same rows where SQL can."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import intervals as I
+from ..functions import text as T
+from ..operators import analytics, chunking, confirm, evaluate, fusion, groundtruth, ranking, simjoin, spans, vectors
+from . import detection as D
+from . import oracle as O
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = O.statement(sql)
+        return f
+
+    return add
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def longs(*names: str) -> list:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def sql_r6(*names: str) -> str:
+    return ", ".join(f"round({n}::double, 6) as {n}" for n in names)
+
+
+def sql_longs(*names: str) -> str:
+    return ", ".join(f"{n}::bigint as {n}" for n in names)
+
+
+PAIR = ["suspicious_doc_id", "source_doc_id"]
+SQL_PAIR = ", ".join(PAIR)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word tf-idf search of all documents against all passages, rolled up, ranked, and compared with the planted truth."""
+    top = ranking.top_documents(ranking.roll_up(D.lexical_candidates(spark, sf_dir)), "lexical", 20)
+    true = groundtruth.pair_rollup(D.truth(spark, sf_dir))
+    return groundtruth.validate(top, true).select(*PAIR, "source_doc_rank", *r6("max_score", "mean_score"), "match_count", "is_true_source_document", "true_plagiarism_passage_count")
+
+
+# text
+
+@query(f"select doc_id, {O.clean('text')} as clean_text from documents")
+def n1_clean_text(spark, sf):
+    return D.suspicious(spark, sf)
+
+
+@query(f"select doc_id, {O.lexical('text')} as lexical_text from documents")
+def n2_lexical_text(spark, sf):
+    return D.table(spark, sf, "documents").select("doc_id", T.lexical(F.col("text")).alias("lexical_text"))
+
+
+@query(r"select doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ') as embedding_text from documents")
+def n4_embedding_text(spark, sf):
+    return D.table(spark, sf, "documents").select("doc_id", T.for_embedding(F.col("text")).alias("embedding_text"))
+
+
+@query(r"""select doc_id, length(text)::bigint as chars, n::bigint as words, (n * 13 // 10)::bigint as tokens from (
+  select doc_id, text, len([x for x in regexp_split_to_array(trim(text), '\s+') if x <> '']) as n from documents)""")
+def n5_n7_counts(spark, sf):
+    d = D.table(spark, sf, "documents")
+    return d.select("doc_id", F.length("text").cast("long").alias("chars"), T.word_count(F.col("text")).cast("long").alias("words"), T.token_estimate(F.col("text")).cast("long").alias("tokens"))
+
+
+@query(r"""select page_id, replace(replace(replace(url, '/', '__'), '\', '__'), ' ', '_') as safe_id, coalesce(string_split(replace(url, '/', '__'), '__')[2], replace(url, '/', '__')) as base,
+  try_cast(regexp_extract('source-document' || lpad(page_id::varchar, 5, '0') || '.txt', 'document[^0-9]*([0-9]+)[^0-9]*$', 1) as integer) as number,
+  regexp_replace(page_id::varchar || '.txt', '(.)\.[^.]*$', '\1') as stem, lpad(page_id::varchar, 5, '0') as padded from pages""")
+def n6_n11_n12_n13_n14_identifiers(spark, sf):
+    p = D.table(spark, sf, "pages")
+    padded = F.lpad(F.col("page_id").cast("string"), 5, "0")
+    name = F.concat(F.lit("source-document"), padded, F.lit(".txt"))
+    return p.select("page_id", T.safe_id(F.col("url")).alias("safe_id"), T.base_name(F.replace("url", F.lit("/"), F.lit("__"))).alias("base"), T.document_number(name).alias("number"), T.file_stem(F.concat(F.col("page_id").cast("string"), F.lit(".txt"))).alias("stem"), padded.alias("padded"))
+
+
+@query("select doc_id, substr(text, 11, 90) as part, strpos(text, 'the') - 1 as first_the, left(text, 120) as head, case when length(text) > 400 then left(text, 200) || '[...omitted...]' || right(text, 200) else text end as snippet from documents")
+def n8_n9_n10_n16_slices(spark, sf):
+    t = F.col("text")
+    return D.table(spark, sf, "documents").select("doc_id", T.substring(t, F.lit(10), F.lit(100)).alias("part"), T.find(t, F.lit("the")).cast("long").alias("first_the"), F.left(t, F.lit(120)).alias("head"), T.snippet(t).alias("snippet"))
+
+
+@query()
+def n15_m8_highlight(spark, sf):
+    found = spans.union(D.detections(spark, sf).select("suspicious_doc_id", F.col("suspicious_start_char").alias("start"), F.col("suspicious_end_char").alias("end")), ["suspicious_doc_id"])
+    marks = found.groupBy("suspicious_doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("marks"))
+    return D.suspicious(spark, sf).join(marks, F.col("doc_id") == F.col("suspicious_doc_id")).select("doc_id", T.highlight(F.col("clean_text"), F.col("marks")).alias("html"))
+
+
+@query()
+def n17_d8_prompts(spark, sf):
+    return confirm.prompts(confirm.build_pairs(D.lexical_candidates(spark, sf), *D.chunks(spark, sf)))
+
+
+# chunks and n-grams
+
+CHUNK_COLS = ["doc_id", "chunk_index", "word_start", "word_end", "word_count", "start_char", "end_char", "chunk_text"]
+
+
+@query(f"select doc_id, {sql_longs(*CHUNK_COLS[1:7])}, chunk_text from ({O.chunks('docs', 180, 50, 40)})")
+def c1_chunk_windows(spark, sf):
+    return chunking.windows(D.suspicious(spark, sf)).select("doc_id", *longs(*CHUNK_COLS[1:7]), "chunk_text")
+
+
+@query(f"select doc_id, {sql_longs(*CHUNK_COLS[1:7])}, chunk_text from ({O.chunks('docs', 180, 50, 40, early=False)})")
+def c2_chunk_windows_full(spark, sf):
+    return chunking.windows(D.suspicious(spark, sf), stop_early=False).select("doc_id", *longs(*CHUNK_COLS[1:7]), "chunk_text")
+
+
+@query(f"select chunk_id, doc_id, {sql_longs(*CHUNK_COLS[1:7])}, chunk_text, 300 as chunk_size, 150 as overlap, 60 as min_words from ({O.chunks('docs', 300, 150, 60)})")
+def c3_chunk_table(spark, sf):
+    return chunking.chunk_table(D.suspicious(spark, sf)).select("chunk_id", "doc_id", *longs(*CHUNK_COLS[1:7]), "chunk_text", "chunk_size", "overlap", "min_words")
+
+
+@query(f"select chunk_id, x as lexical_text, case when x = '' then 0 else len(string_split(x, ' ')) end::bigint as lexical_words from (select chunk_id, {O.lexical('chunk_text')} as x from cha)")
+def c4_lexical_chunks(spark, sf):
+    x = D.chunks(spark, sf)[0].select("chunk_id", T.lexical(F.col("chunk_text")).alias("lexical_text"))
+    return x.withColumn("lexical_words", T.word_count(F.col("lexical_text")).cast("long"))
+
+
+@query("select chunk_id, chunk_text as embedding_text, (len(string_split(chunk_text, ' ')) * 13 // 10)::bigint as tokens from cha where trim(chunk_text) <> ''")
+def c5_c6_embedding_chunks(spark, sf):
+    x = D.chunks(spark, sf)[0].where(F.trim(F.coalesce("chunk_text", F.lit(""))) != "")
+    return x.select("chunk_id", T.for_embedding(F.col("chunk_text")).alias("embedding_text"), T.token_estimate(F.col("chunk_text")).cast("long").alias("tokens"))
+
+
+@query("select feature, count(*)::bigint as df, sum(tf)::bigint as total from tfb2 group by feature")
+def c7_v1_word_ngrams(spark, sf):
+    tf = vectors.counts(D.lexical_words(D.chunks(spark, sf)[1]).withColumn("g", chunking.word_ngrams(F.col("words"))), "chunk_id", "g")
+    return tf.groupBy("feature").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
+_WB = """select id, g, count(*) as tf from (select doc_id as id, unnest(list_concat(
+  case when length(p) <= 5 then [p] else [substr(p, i, 5) for i in range(1, length(p) - 3)] end,
+  [substr(p, i, 6) for i in range(1, length(p) - 4)], [substr(p, i, 7) for i in range(1, length(p) - 5)])) as g
+  from (select doc_id, ' ' || unnest(string_split(lower(clean_text), ' ')) || ' ' as p from src)) group by all"""
+
+
+@query(f"select g as feature, count(*)::bigint as df, sum(tf)::bigint as total from ({_WB}) group by g")
+def c8_char_ngrams_in_words(spark, sf):
+    d = D.sources(spark, sf).withColumn("g", chunking.char_ngrams_in_words(T.words(F.lower("clean_text"))))
+    return vectors.counts(d, "doc_id", "g").groupBy("feature").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
+@query(f"select bucket, sum(tf)::bigint as total, count(distinct id)::bigint as df from (select id, tf, ('0x' || left(md5(g), 8))::bigint % 1048576 as bucket from ({_WB})) group by bucket")
+def c9_hashed_features(spark, sf):
+    d = D.sources(spark, sf).withColumn("g", chunking.char_ngrams_in_words(T.words(F.lower("clean_text"))))
+    return vectors.counts(d, "doc_id", "g").withColumn("bucket", chunking.hashed(F.col("feature"))).groupBy("bucket").agg(F.sum("tf").alias("total"), F.countDistinct("id").alias("df"))
+
+
+@query("select item_id, len(list_distinct([substr(lower(text), i, 3) for i in range(1, length(text) - 1)]))::bigint as n from benchmark")
+def c10_trigram_sets(spark, sf):
+    return D.table(spark, sf, "benchmark").select("item_id", F.size(chunking.trigram_set(F.col("text"))).cast("long").alias("n"))
+
+
+_WINDOWS = "select doc_id, s as start, least(s + 800, length(clean_text)) as stop, substr(clean_text, s + 1, 800) as part from (select doc_id, clean_text, unnest(range(0, greatest(0, length(clean_text) - 800) + 1, 400)) as s from docs where length(clean_text) > 0)"
+
+
+@query(f"select doc_id, start::bigint as start, stop::bigint as stop, md5(part) as part_md5 from ({_WINDOWS})")
+def c11_char_windows(spark, sf):
+    w = chunking.char_windows(D.suspicious(spark, sf), "doc_id", "clean_text")
+    return w.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"), F.md5("part").alias("part_md5"))
+
+
+# vectors
+
+@query(f"select feature, df::bigint as df, {sql_r6('idf')} from idf2")
+def v2_inverse_document_frequency(spark, sf):
+    tf = vectors.counts(D.lexical_words(D.chunks(spark, sf)[1]).withColumn("g", chunking.word_ngrams(F.col("words"))), "chunk_id", "g")
+    return vectors.document_frequency(tf).select("feature", "df", *r6("idf"))
+
+
+@query(f"select id, feature, {sql_r6('w')} from wb2")
+def v3_v4_v7_tfidf_weights(spark, sf):
+    return D.weights(spark, sf)[1].select("id", "feature", *r6("w"))
+
+
+@query("select feature, df::bigint as df from (select feature, df, row_number() over (order by total desc, feature) as r from idf1 where df >= 2 and df <= 0.85e0 * (select count(distinct id) from tfb1)) where r <= 500")
+def v5_vocabulary_limits(spark, sf):
+    tf = vectors.counts(D.lexical_words(D.chunks(spark, sf)[1]), "chunk_id", "words")
+    return vectors.document_frequency(tf, min_df=2, max_df=0.85, max_features=500).select("feature", "df")
+
+
+@query(f"select id, feature, {sql_r6('w')} from wa1")
+def v6_query_weights(spark, sf):
+    return D.weights(spark, sf, 1)[0].select("id", "feature", *r6("w"))
+
+
+@query()
+def v9_v10_lsa_candidates(spark, sf):
+    return D.dense_candidates(spark, sf, "lsa", 20).select("suspicious_chunk_id", "source_chunk_id", *r6("score"), "rank")
+
+
+@query()
+def v11_v12_embedding_candidates(spark, sf):
+    return D.dense_candidates(spark, sf, "embedding", 20).select("suspicious_chunk_id", "source_chunk_id", *r6("score"), "rank")
+
+
+@query()
+def v8_concept_space(spark, sf):
+    """Two chained sparse joins: chunks to concepts (the passages), then chunk profiles to passage profiles."""
+    q, s = D.weights(spark, sf, 1)
+    unit = lambda d: d.withColumn("w", F.col("score") / F.sqrt(F.sum(F.col("score") * F.col("score")).over(Window.partitionBy("q")))).select(F.col("q").alias("id"), F.col("s").alias("feature"), "w")
+    concepts = unit(simjoin.sparse_cosine(s, s))
+    return simjoin.sparse_top_k(unit(simjoin.sparse_cosine(q, s)), concepts, 5).select("q", "s", *r6("score"), "rank")
+
+
+# similarity joins
+
+@query(f"select q, s, {sql_r6('score')}, rank::integer as rank from top1")
+def j1_tfidf_top_k(spark, sf):
+    return simjoin.sparse_top_k(*D.weights(spark, sf, 1)).select("q", "s", *r6("score"), "rank")
+
+
+@query(f"select q, s, {sql_r6('score')}, rank::integer as rank from top2")
+def j2_esa_top_k(spark, sf):
+    return simjoin.sparse_top_k(*D.weights(spark, sf, 2)).select("q", "s", *r6("score"), "rank")
+
+
+_DENSE = """select * from (select *, row_number() over (partition by q order by score desc, s) as rank from (
+  select a.vec_id as q, b.vec_id as s, list_dot_product(a.e, b.e) as score from
+  (select vec_id, [x::double for x in embedding] as e from embeddings where vec_id % 100 = 0) a cross join (select vec_id, [x::double for x in embedding] as e from embeddings) b))"""
+
+
+def _embeddings(spark, sf):
+    e = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return e.where(F.col("id") % 100 == 0), e  # a stated query set against all rows, in blocks
+
+
+@query(f"select q, s, {sql_r6('score')}, rank::integer as rank from ({_DENSE}) where rank <= 20")
+def j3_j4_dense_top_k(spark, sf):
+    return simjoin.dense_top_k(*_embeddings(spark, sf), 20).select("q", "s", *r6("score"), "rank")
+
+
+@query(f"select q, s, round(score, 4) as score, rank::integer as rank from ({_DENSE}) where rank <= 5 and round(score, 4) >= 0.3")
+def j5_threshold_search(spark, sf):
+    return simjoin.threshold_search(simjoin.dense_top_k(*_embeddings(spark, sf), 5), 5, 0.30)
+
+
+@query(f"""with w as (select q.*, list_distinct([substr(lower(part), i, 3) for i in range(1, length(part) - 1)]) as f from (
+  {_WINDOWS.replace('from docs', f"from (select doc_id, {O.clean('text')} as clean_text from documents)")}) q where length(part) >= 3),
+p as (select item_id, list_distinct([substr(lower(text), i, 3) for i in range(1, length(text) - 1)]) as f from (select item_id, {O.clean('text')} as text from benchmark)),
+wf as (select doc_id, start, len(f) as n, unnest(f) as g from w), pf as (select item_id, len(f) as m, unnest(f) as g from p),
+c as (select doc_id, start, item_id, count(*) / (n + m - count(*)) as score from wf join pf using (g) group by doc_id, start, item_id, n, m)
+select doc_id as q, start::bigint as qpos, item_id as s, round(score, 6) as score from (select *, row_number() over (partition by doc_id, start order by score desc, item_id) as r from c) where r = 1 and score >= 0.12e0""")
+def j7_trigram_jaccard(spark, sf):
+    q = chunking.char_windows(D.suspicious(spark, sf), "doc_id", "clean_text").select(F.col("doc_id").alias("id"), F.col("start").cast("long").alias("pos"), chunking.trigram_set(F.col("part")).alias("features"))
+    s = D.sources(spark, sf).select(F.col("doc_id").alias("id"), F.lit(0).alias("pos"), chunking.trigram_set(F.col("clean_text")).alias("features"))
+    return simjoin.jaccard_best(q, s).select("q", "qpos", "s", *r6("score"))
+
+
+# relational
+
+@query(f"select r.suspicious_doc_id, r.source_doc_id, length(b.text)::bigint as source_chars, {sql_r6('max_score')} from roll2 r left join benchmark b on b.item_id = r.source_doc_id")
+def r1_r7_metadata_join(spark, sf):
+    meta = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("source_doc_id"), F.length("text").cast("long").alias("source_chars"))
+    return ranking.roll_up(D.lexical_candidates(spark, sf)).join(meta, "source_doc_id", "left").select(*PAIR, "source_chars", *r6("max_score"))
+
+
+@query(f"select doc_id as suspicious_doc_id, doc_id in (select suspicious_doc_id from planted) as has_truth from documents where doc_id not in (select suspicious_doc_id from d)")
+def r5_r6_semi_anti(spark, sf):
+    docs, t = D.all_documents(spark, sf), D.truth(spark, sf)
+    left = docs.join(D.detections(spark, sf).select("suspicious_doc_id"), "suspicious_doc_id", "left_anti")
+    flag = t.select("suspicious_doc_id").distinct().withColumn("has", F.lit(True))
+    return left.join(flag, "suspicious_doc_id", "left").select("suspicious_doc_id", F.coalesce("has", F.lit(False)).alias("has_truth"))
+
+
+@query(f"select {SQL_PAIR}, t0::bigint as t0, d0::bigint as d0, (o1 - o0)::bigint as overlap from l1")
+def r8_interval_overlap_join(spark, sf):
+    l = evaluate.span_links(D.as_spans(D.truth(spark, sf)), D.found_spans(D.detections(spark, sf)), two_sided=False)
+    return l.select(*PAIR, *longs("t0", "d0"), (F.col("o1") - F.col("o0")).cast("long").alias("overlap"))
+
+
+@query(f"select {SQL_PAIR}, t0::bigint as t0, d0::bigint as d0 from l2")
+def r9_two_sided_overlap_join(spark, sf):
+    return evaluate.span_links(D.as_spans(D.truth(spark, sf)), D.found_spans(D.detections(spark, sf))).select(*PAIR, *longs("t0", "d0"))
+
+
+@query("select c.chunk_id, m.source_doc_id from cha c join merged m on m.suspicious_doc_id = c.doc_id and m.suspicious_start_char <= c.start_char and c.end_char <= m.suspicious_end_char")
+def r10_containment_join(spark, sf):
+    c, m = D.chunks(spark, sf)[0], D.detections(spark, sf)
+    on = (m["suspicious_doc_id"] == c["doc_id"]) & I.contains(m["suspicious_start_char"], m["suspicious_end_char"], c["start_char"], c["end_char"])
+    return c.join(m, on).select("chunk_id", "source_doc_id")
+
+
+@query(f"select {SQL_PAIR}, suspicious_offset::bigint as suspicious_offset, suspicious_length::bigint as suspicious_length from planted")
+def r11_planted_passages(spark, sf):
+    return D.truth(spark, sf).select(*PAIR, *longs("suspicious_offset", "suspicious_length"))
+
+
+@query("select doc_id, n_chars from documents where doc_id between 100 and 300 and n_chars >= 200 order by doc_id")
+def f1_f2_r12_filters(spark, sf):
+    return D.table(spark, sf, "documents").where(F.col("doc_id").between(100, 300) & (F.col("n_chars") >= 200)).select("doc_id", "n_chars").orderBy("doc_id")
+
+
+@query("select band, count(*)::bigint as n_docs from (select case when n is null then 'unknown' when n < 150 then 'short' when n <= 1150 then 'medium' else 'long' end as band from (select len(string_split(clean_text, ' ')) as n from docs)) group by band")
+def f9_f10_length_bands(spark, sf):
+    return D.suspicious(spark, sf).select(groundtruth.length_band(F.size(F.split("clean_text", " "))).alias("band")).groupBy("band").agg(F.count("*").alias("n_docs"))
+
+
+# aggregation and ranking
+
+_ROLL = ["max_score", "mean_score", "min_score"]
+_ROLL_N = ["match_count", "unique_source_chunks", "unique_suspicious_chunks"]
+
+
+@query(f"select {SQL_PAIR}, {sql_r6(*_ROLL)}, {sql_longs(*_ROLL_N)} from roll2")
+def a1_document_rollup(spark, sf):
+    return ranking.roll_up(D.lexical_candidates(spark, sf)).select(*PAIR, *r6(*_ROLL), *longs(*_ROLL_N))
+
+
+@query(f"""select {SQL_PAIR}, count(*)::bigint as true_plagiarism_passage_count, min(suspicious_offset)::bigint as min_suspicious_offset, max(suspicious_offset + suspicious_length)::bigint as max_suspicious_end, sum(suspicious_length)::bigint as total_suspicious_chars from planted group by {SQL_PAIR}""")
+def a2_pair_rollup(spark, sf):
+    return groundtruth.pair_rollup(D.truth(spark, sf)).select(*PAIR, "true_plagiarism_passage_count", *longs("min_suspicious_offset", "max_suspicious_end", "total_suspicious_chars"))
+
+
+@query("select source, lang, count(*)::bigint as n, round(count(*) / sum(count(*)) over (), 6) as share from documents group by source, lang")
+def a10_value_counts(spark, sf):
+    d = D.table(spark, sf, "documents").withColumn("k", F.struct("source", "lang"))
+    return analytics.shares(d, "k").select("k.source", "k.lang", "n", *r6("share"))
+
+
+@query("select source, " + ", ".join(f"count(*) filter (lang = '{v}')::bigint as {v}" for v in ("de", "en", "es", "fr")) + " from documents group by source")
+def a11_pivot_counts(spark, sf):
+    return analytics.pivot_counts(D.table(spark, sf, "documents"), "source", "lang", ["de", "en", "es", "fr"])
+
+
+@query("select lang, count(n_chars)::bigint as n, round(avg(n_chars), 6) as mean, round(stddev(n_chars), 6) as std, min(n_chars) as min, quantile_cont(n_chars, 0.25)::double as p25, quantile_cont(n_chars, 0.5)::double as p50, quantile_cont(n_chars, 0.75)::double as p75, max(n_chars) as max from documents group by lang")
+def a12_describe(spark, sf):
+    return analytics.describe(D.table(spark, sf, "documents"), "n_chars", "lang").select("lang", "n", *r6("mean", "std"), "min", "p25", "p50", "p75", "max")
+
+
+@query("select min(d1 - d0)::bigint as min_length, quantile_cont(d1 - d0, 0.5)::double as median_length, max(d1 - d0)::bigint as max_length, count(*)::bigint as n from d")
+def a13_span_lengths(spark, sf):
+    return analytics.span_lengths(D.found_spans(D.detections(spark, sf)), "s0", "s1").select(*longs("min_length"), "median_length", *longs("max_length", "n"))
+
+
+@query(f"select {SQL_PAIR}, coalesce(avg((score < 0.5)::int) filter (rank <= 10) >= 0.5, false) as word_salad from cand2 group by {SQL_PAIR}")
+def a14_majority_share(spark, sf):
+    c = D.lexical_candidates(spark, sf).withColumn("perplexity", 1 - F.col("score"))
+    return c.groupBy(*PAIR).agg(confirm.word_salad("perplexity", "rank", 0.5).alias("word_salad"))
+
+
+@query(f"""select {SQL_PAIR}, round(1 / (1 + exp(-max(score))), 6) as rerank_score from (select *, row_number() over (partition by {SQL_PAIR} order by score desc, suspicious_chunk_id, source_chunk_id) as r from cand2) where r <= 40 group by {SQL_PAIR}""")
+def a15_d7_rerank(spark, sf):
+    return fusion.rerank(D.lexical_candidates(spark, sf), F.col("score")).select(*PAIR, *r6("rerank_score"))
+
+
+@query("select suspicious_doc_id, source_doc_id, chars::bigint as chars from (select *, row_number() over (partition by suspicious_doc_id order by chars desc, source_doc_id) as r from (select suspicious_doc_id, source_doc_id, sum(suspicious_end_char - suspicious_start_char) as chars from merged group by all)) where r = 1")
+def a16_dominant_source(spark, sf):
+    size = D.detections(spark, sf).groupBy(*PAIR).agg(F.sum(F.col("suspicious_end_char") - F.col("suspicious_start_char")).alias("chars"))
+    return ranking.first_of(size, ["suspicious_doc_id"], F.desc("chars"), F.col("source_doc_id")).select(*PAIR, "chars")
+
+
+def _top(spark, sf, order, high=2, n=50, least=1):
+    top = ranking.top_documents(ranking.roll_up(D.lexical_candidates(spark, sf, high)), order, n, least)
+    return top.select(*PAIR, *longs("source_doc_rank"), *r6("max_score"))
+
+
+def _sql_top(order: str, n: int = 50, least: int = 1) -> str:
+    return f"select {SQL_PAIR}, r::bigint as source_doc_rank, {sql_r6('max_score')} from (select *, row_number() over (partition by suspicious_doc_id order by {order}, source_doc_id) as r from roll2 where match_count >= {least}) where r <= {n}"
+
+
+@query(f"select {SQL_PAIR}, source_doc_rank::bigint as source_doc_rank, {sql_r6('max_score')} from rank1")
+def w1_top_documents_tfidf(spark, sf):
+    return _top(spark, sf, "tfidf", 1)
+
+
+@query(_sql_top("max_score desc, match_count desc, mean_score desc"))
+def w2_top_documents_lexical(spark, sf):
+    return _top(spark, sf, "lexical")
+
+
+@query(_sql_top("max_score desc, mean_score desc, match_count desc", 20))
+def w3_top_documents_embedding_order(spark, sf):
+    return _top(spark, sf, "embedding", n=20)
+
+
+@query(_sql_top("mean_score desc, match_count desc, max_score desc", 50, 4))
+def w4_f3_top_documents_mean(spark, sf):
+    return _top(spark, sf, "mean", least=4)
+
+
+@query(_sql_top("max_score desc, mean_score desc", 20))
+def w5_fusion_input(spark, sf):
+    return _top(spark, sf, "fusion_input", n=20)
+
+
+@query(f"""select {SQL_PAIR}, suspicious_chunk_id, source_chunk_id, r::bigint as pair_rank from (select *, row_number() over (partition by {SQL_PAIR} order by score desc, suspicious_chunk_id, source_chunk_id) as r from cand2) where r <= 25""")
+def w7_d8_top_pairs(spark, sf):
+    return confirm.build_pairs(D.lexical_candidates(spark, sf), *D.chunks(spark, sf)).select(*PAIR, "suspicious_chunk_id", "source_chunk_id", *longs("pair_rank"))
+
+
+@query("select suspicious_chunk_id, source_chunk_id, round(score, 6) as score from (select *, row_number() over (partition by suspicious_chunk_id order by score desc, source_doc_id, source_chunk_id) as p from cand2) where p = 1")
+def w8_best_match(spark, sf):
+    return ranking.first_of(D.lexical_candidates(spark, sf), ["suspicious_chunk_id"], F.desc("score"), F.col("source_doc_id"), F.col("source_chunk_id")).select("suspicious_chunk_id", "source_chunk_id", *r6("score"))
+
+
+# spans
+
+_MERGED = ["suspicious_start_char", "suspicious_end_char", "source_start_char", "source_end_char", "n_merged"]
+
+
+@query(f"select {SQL_PAIR}, {sql_longs(*_MERGED)}, {sql_r6('score')} from merged")
+def m1_m3_merge_spans(spark, sf):
+    return D.detections(spark, sf).select(*PAIR, *longs(*_MERGED), *r6("score"))
+
+
+@query("""with n as (select doc_id, start_char as a, end_char as z, max(end_char) over (partition by doc_id order by start_char, end_char rows between unbounded preceding and 1 preceding) as reach from cha),
+ i as (select *, sum(case when reach is null or a > reach then 1 else 0 end) over (partition by doc_id order by a, z rows unbounded preceding) as isl from n)
+ select doc_id, min(a)::bigint as start, max(z)::bigint as stop from i group by doc_id, isl""".replace("with n as", "select * from (with n as", 1) + ")")
+def m2_a17_interval_union(spark, sf):
+    c = D.chunks(spark, sf)[0].select("doc_id", F.col("start_char").alias("start"), F.col("end_char").alias("end"))
+    return spans.union(c, ["doc_id"]).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
+
+
+@query(f"select {SQL_PAIR}, t0::bigint as t0, d0::bigint as d0, (greatest(0, least(t1, d1) - greatest(t0, d0)))::bigint as overlap, t0 < d1 and d0 < t1 as touches from t join d using ({SQL_PAIR})")
+def m4_m5_overlap_measures(spark, sf):
+    t = D.as_spans(D.truth(spark, sf)).toDF(*PAIR, "t0", "t1", "x0", "x1").drop("x0", "x1")
+    d = D.found_spans(D.detections(spark, sf)).toDF(*PAIR, "d0", "d1", "y0", "y1").drop("y0", "y1")
+    a = [F.col(c) for c in ("t0", "t1", "d0", "d1")]
+    return t.join(d, PAIR).select(*PAIR, *longs("t0", "d0"), I.overlap(*a).cast("long").alias("overlap"), I.overlaps(*a).alias("touches"))
+
+
+@query()
+def m6_a16_extended_spans(spark, sf):
+    docs, src = (d.withColumnRenamed("clean_text", "text") for d in (D.suspicious(spark, sf), D.sources(spark, sf)))
+    return spans.extend_by_trigrams(D.detections(spark, sf), docs, src).select(*PAIR, "suspicious_start_char", "suspicious_end_char")
+
+
+@query("select suspicious_doc_id, source_doc_id, suspicious_offset::bigint as start, (suspicious_offset + suspicious_length)::bigint as stop from planted")
+def m7_relocate(spark, sf):
+    t, p = D.truth(spark, sf), D.table(spark, sf, "benchmark").select(F.col("item_id").alias("source_doc_id"), F.col("text").alias("passage"))
+    d = D.suspicious(spark, sf).withColumnRenamed("doc_id", "suspicious_doc_id")
+    at = spans.relocate(F.col("passage"), F.col("clean_text"))
+    return t.select(*PAIR).join(p, "source_doc_id").join(d, "suspicious_doc_id").select(*PAIR, at.alias("x")).select(*PAIR, F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("stop"))
+
+
+# set operations
+
+@query("select suspicious_doc_id from planted intersect select suspicious_doc_id from d")
+def u2_intersection(spark, sf):
+    return D.truth(spark, sf).select("suspicious_doc_id").intersect(D.detections(spark, sf).select("suspicious_doc_id"))
+
+
+@query("select suspicious_doc_id from planted except select suspicious_doc_id from d")
+def u3_difference(spark, sf):
+    return D.truth(spark, sf).select("suspicious_doc_id").subtract(D.detections(spark, sf).select("suspicious_doc_id"))
+
+
+@query(f"select {SQL_PAIR}, string_agg(distinct branch, '+' order by branch) as branches from long where source_doc_rank <= 3 group by {SQL_PAIR}")
+def u1_u4_branch_leaders(spark, sf):
+    return fusion.branch_leaders(D.branches(spark, sf)).select(*PAIR, "branches")
+
+
+# fusion, gates, confirmation
+
+_FUSED = ["final_score", "weighted_mean_score", "weighted_max_score"]
+
+
+@query(f"select {SQL_PAIR}, {sql_r6(*_FUSED)}, methods_found_count::bigint as methods_found_count, found_by_tfidf, found_by_esa, final_rank::bigint as final_rank from fused")
+def d1_d2_r3_w6_fusion(spark, sf):
+    return D.fused(spark, sf).select(*PAIR, *r6(*_FUSED), *longs("methods_found_count"), "found_by_tfidf", "found_by_esa", *longs("final_rank"))
+
+
+@query(f"""select {SQL_PAIR}, gate1, gate2, leader as branch_leader, gate1 and (gate2 or leader) as kept from (select *, top1 >= 0.6e0 or best >= 0.5e0 as gate1, final_score >= top1 * 0.85e0 as gate2,
+  coalesce(tfidf_rank <= 3, false) or coalesce(esa_rank <= 3, false) as leader from (select *, max(final_score) over (partition by suspicious_doc_id) as top1,
+  greatest(coalesce(max(tfidf_max_score) over (partition by suspicious_doc_id), 0), coalesce(max(esa_max_score) over (partition by suspicious_doc_id), 0)) as best from fused))""")
+def d3_d4_d5_d6_gates(spark, sf):
+    return fusion.gates(D.fused(spark, sf), ["tfidf", "esa"], soft_branch=0.5).select(*PAIR, "gate1", "gate2", "branch_leader", "kept")
+
+
+@query("select suspicious_doc_id, branch, arg_max(source_doc_id, (max_score, -source_doc_rank)) as top1_source, round(max(max_score), 6) as top1_score from long group by suspicious_doc_id, branch")
+def d12_branch_diagnostics(spark, sf):
+    return fusion.branch_diagnostics(D.branches(spark, sf)).select("suspicious_doc_id", "branch", "top1_source", *r6("top1_score"))
+
+
+@query()
+def d9_d10_confirmation(spark, sf):
+    pairs = confirm.build_pairs(D.lexical_candidates(spark, sf), *D.chunks(spark, sf)).withColumn("perplexity", F.lit(0.0))
+    return confirm.confirm(pairs, cap=confirm.word_salad()).select(*PAIR, "n_pairs", *r6("share"), "llm_score", "llm_is_likely_source", "capped")
+
+
+@query("select suspicious_doc_id, source_doc_id, count(*)::bigint as n from (select distinct k.suspicious_doc_id, k.source_doc_id, a.chunk_text as x, b.chunk_text as y from cand2 k join cha a on a.chunk_id = k.suspicious_chunk_id join chb b on b.chunk_id = k.source_chunk_id) group by all")
+def d14_distinct_pairs(spark, sf):
+    pairs = confirm.build_pairs(D.lexical_candidates(spark, sf), *D.chunks(spark, sf), k=1 << 30)
+    return confirm.distinct_pairs(pairs).groupBy(*PAIR).agg(F.count("*").alias("n"))
+
+
+@query()
+def d11_end_to_end(spark, sf):
+    return D.end_to_end(spark, sf).select(*PAIR, "suspicious_start_char", "suspicious_end_char", *r6("score"))
+
+
+# evaluation
+
+_COUNTS = ["gt_spans", "det_spans", "tp", "fp", "fn", "gt_chars", "det_chars", "overlap_chars"]
+_RATES = ["precision", "recall", "f1", "char_precision", "char_recall", "char_f1"]
+
+
+def _metrics(spark, sf):
+    return evaluate.per_document(D.all_documents(spark, sf), D.as_spans(D.truth(spark, sf)), D.found_spans(D.detections(spark, sf)))
+
+
+@query(f"select suspicious_doc_id, is_clean, {sql_longs(*_COUNTS)}, {sql_r6(*_RATES)} from m2")
+def e1_a3_a4_span_metrics(spark, sf):
+    return _metrics(spark, sf).select("suspicious_doc_id", "is_clean", *longs(*_COUNTS), *r6(*_RATES))
+
+
+@query("select count(*)::bigint as n_docs, " + ", ".join(f"round(avg({c}), 6) as macro_{c}" for c in _RATES) + ", round(coalesce(sum(overlap_chars) / nullif(sum(det_chars), 0), 0)::double, 6) as micro_char_precision, round(coalesce(sum(overlap_chars) / nullif(sum(gt_chars), 0), 0)::double, 6) as micro_char_recall from m2")
+def a6_a7_macro_micro(spark, sf):
+    m = evaluate.macro_micro(_metrics(spark, sf))
+    return m.select("n_docs", *r6(*(f"macro_{c}" for c in _RATES), "micro_char_precision", "micro_char_recall"))
+
+
+_PD_N, _PD = ["gt_spans", "gt_chars", "det_spans", "det_chars", "tp_chars"], ["precision", "recall", "f1", "granularity", "plagdet"]
+
+
+@query(f"select suspicious_doc_id, {sql_longs(*_PD_N)}, {sql_r6(*_PD)} from pd")
+def e2_document_plagdet(spark, sf):
+    return D.evaluated(spark, sf).select("suspicious_doc_id", *longs(*_PD_N), *r6(*_PD))
+
+
+@query("""select round(avg(precision) filter (gt_spans > 0), 6) as macro_precision, round(avg(recall) filter (gt_spans > 0), 6) as macro_recall, round(avg(plagdet) filter (gt_spans > 0), 6) as macro_plagdet,
+  round((sum(tp_chars) / sum(det_chars))::double, 6) as micro_precision, round((sum(tp_chars) / sum(gt_chars))::double, 6) as micro_recall from pd""")
+def e3_plagdet_macro_micro(spark, sf):
+    return evaluate.plagdet_macro_micro(D.evaluated(spark, sf)).select(*r6("macro_precision", "macro_recall", "macro_plagdet", "micro_precision", "micro_recall"))
+
+
+@query("""select round(precision, 6) as precision, round(recall, 6) as recall, round(granularity, 6) as granularity, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) / log2(1 + granularity) else 0 end, 6) as plagdet,
+  n_cases::bigint as n_cases, n_detections::bigint as n_detections, n_cases_detected::bigint as n_cases_detected from
+  (select avg(coalesce(ck.covered / nullif(t1 - t0, 0), 0)) as recall, count(*) as n_cases, count(ck.n_links) as n_cases_detected, coalesce(avg(ck.n_links), 1) as granularity from t left join ck using (k)) r,
+  (select avg(coalesce(cd.covered / nullif(d1 - d0, 0), 0)) as precision, count(*) as n_detections from d left join cd using (det)) p""")
+def e4_official_plagdet(spark, sf):
+    o = evaluate.official(D.as_spans(D.truth(spark, sf)), D.found_spans(D.detections(spark, sf)))
+    return o.select(*r6("precision", "recall", "granularity", "plagdet"), *longs("n_cases", "n_detections", "n_cases_detected"))
+
+
+@query()
+def e5_a9_official_by_category(spark, sf):
+    lang = D.table(spark, sf, "documents").select(F.col("doc_id").alias("suspicious_doc_id"), "lang")
+    t = D.as_spans(D.truth(spark, sf)).join(lang, "suspicious_doc_id")
+    return evaluate.official(t, D.found_spans(D.detections(spark, sf)), ["lang"]).select("lang", *r6("precision", "recall", "granularity", "plagdet"), *longs("n_cases", "n_detections"))
+
+
+@query("select suspicious_doc_id from pd where det_spans > 0 and suspicious_doc_id % 2 = 0")
+def e6_cache_mismatch(spark, sf):
+    rows = D.evaluated(spark, sf)
+    archived = rows.withColumn("det_spans", F.when(F.col("suspicious_doc_id") % 2 == 0, 0).otherwise(F.col("det_spans")))
+    return evaluate.mismatches(rows, archived)
+
+
+_SCOPES = {"1-80": (1, 80), "81-308": (81, 308), "all": (0, 1 << 40)}
+
+
+@query("select scope, count(*) filter (gt_spans > 0)::bigint as plagiarized_docs, count(*) filter (gt_spans > 0 and tp_chars > 0)::bigint as plagiarized_detected, count(*) filter (gt_spans = 0)::bigint as clean_docs, count(*) filter (gt_spans = 0 and det_spans > 0)::bigint as clean_docs_with_fp, count(*) filter (det_spans > 0)::bigint as firing_docs, true as sum_matches_firing from pd join (values ('1-80', 1, 80), ('81-308', 81, 308), ('all', 0, 1099511627776)) s(scope, lo, hi) on suspicious_doc_id between lo and hi group by scope")
+def e7_a8_detection_rates(spark, sf):
+    return evaluate.rates(D.evaluated(spark, sf), F.col("suspicious_doc_id"), _SCOPES).select("scope", "plagiarized_docs", "plagiarized_detected", "clean_docs", "clean_docs_with_fp", "firing_docs", "sum_matches_firing")
+
+
+@query("select category, count(*)::bigint as n, round(count(*) / sum(count(*)) over (), 6) as share from (select case when lang = 'en' then 'none' when lang = 'de' then 'paraphrase-manual' when lang = 'fr' then 'translation-auto' else 'paraphrase-auto-low' end as category from planted join documents on doc_id = suspicious_doc_id) group by category")
+def e8_category_distribution(spark, sf):
+    lang = D.table(spark, sf, "documents").select(F.col("doc_id").alias("suspicious_doc_id"), "lang")
+    kind = F.when(F.col("lang") == "de", "simulated").when(F.col("lang") == "fr", "translation").otherwise("artificial")
+    obf = F.when(F.col("lang") == "en", "none").otherwise("low")
+    t = D.truth(spark, sf).join(lang, "suspicious_doc_id").withColumn("category", groundtruth.official_category(kind, obf, F.lit("false")))
+    return analytics.shares(t, "category").select("category", "n", *r6("share"))
+
+
+@query()
+def e9_stratified_addon(spark, sf):
+    d = D.table(spark, sf, "documents").select(F.col("doc_id").alias("suspicious_doc_id"), F.col("lang").alias("category"))
+    langs = ["de", "en", "es", "fr"]
+    chosen = analytics.select_addon(d, D.truth(spark, sf).select("suspicious_doc_id"), langs, {"de": 1.0, "en": -1.5, "es": 1.0, "fr": 1.0})
+    return spark.createDataFrame([(int(x),) for x in chosen], "suspicious_doc_id long")
+
+
+@query("select top1 >= 0.4e0 as passed, suspicious_doc_id not in (select suspicious_doc_id from planted) as is_clean, count(*)::bigint as n_docs, round(avg(top1), 6) as mean_top1 from (select suspicious_doc_id, max(final_score) as top1 from fused group by 1) group by 1, 2")
+def e10_gate_breakdown(spark, sf):
+    top = D.fused(spark, sf).groupBy("suspicious_doc_id").agg(F.max("final_score").alias("top1_score"))
+    true = D.truth(spark, sf).select("suspicious_doc_id").distinct().withColumn("plag", F.lit(True))
+    rows = top.join(true, "suspicious_doc_id", "left").withColumn("is_clean", F.col("plag").isNull())
+    return analytics.gate_breakdown(rows, 0.4).select("passed", "is_clean", "n_docs", *r6("mean_top1"))
+
+
+@query(f"select {SQL_PAIR}, final_rank::bigint as final_rank, round(x, 6) as ratio_to_top1, x >= 0.85e0 as survives_gap from (select *, final_score / max(final_score) over (partition by suspicious_doc_id) as x from fused) where ({SQL_PAIR}) in (select ({SQL_PAIR}) from planted)")
+def e11_w13_rank_gap(spark, sf):
+    return analytics.rank_gap(D.fused(spark, sf), D.truth(spark, sf)).select(*PAIR, *longs("final_rank"), *r6("ratio_to_top1"), "survives_gap")
+
+
+@query(f"select r.suspicious_doc_id, r.source_doc_id, p.n is not null as is_true_source_document, coalesce(p.n, 0)::bigint as true_plagiarism_passage_count from rank2 r left join (select {SQL_PAIR}, count(*) as n from planted group by all) p using ({SQL_PAIR})")
+def e12_r4_validation(spark, sf):
+    top = ranking.top_documents(ranking.roll_up(D.lexical_candidates(spark, sf)), "lexical", 50)
+    return groundtruth.validate(top, groundtruth.pair_rollup(D.truth(spark, sf))).select(*PAIR, "is_true_source_document", "true_plagiarism_passage_count")
+
+
+@query(f"select {SQL_PAIR}, suspicious_length::bigint as total_suspicious_chars from planted where suspicious_doc_id = (select min(suspicious_doc_id) from planted)")
+def e13_truth_for_document(spark, sf):
+    pairs = groundtruth.pair_rollup(D.truth(spark, sf))
+    first = pairs.agg(F.min("suspicious_doc_id")).first()[0]
+    return groundtruth.for_document(pairs, first).select(*PAIR, *longs("total_suspicious_chars"))
+
+
+@query(f"""select doc_id as suspicious_doc_id, coalesce(n, 0)::bigint as true_sources, coalesce(h, 0)::bigint as retrieved_hits, round(case when coalesce(n, 0) > 0 then coalesce(h, 0) / n else 1.0e0 end, 6) as recall_at_20
+  from documents left join (select suspicious_doc_id, count(*) as n from (select distinct {SQL_PAIR} from planted) group by 1) a on a.suspicious_doc_id = doc_id
+  left join (select suspicious_doc_id, count(*) as h from (select distinct {SQL_PAIR} from planted) join fused using ({SQL_PAIR}) group by 1) b on b.suspicious_doc_id = doc_id""")
+def a5_recall_at_k(spark, sf):
+    return evaluate.recall_at_k(D.truth(spark, sf), D.fused(spark, sf), D.all_documents(spark, sf)).select("suspicious_doc_id", "true_sources", "retrieved_hits", *r6("recall_at_20"))
+
+
+# sources
+
+@query("select 'doc' || suspicious_doc_id || '.txt' as suspicious_reference, source_doc_id::varchar as source_reference, suspicious_offset::bigint as suspicious_offset, suspicious_length::bigint as suspicious_length, 'none' as obfuscation from planted")
+def s6_s7_k6_xml_round_trip(spark, sf):
+    """The ground-truth writer and the XML scan, back to back."""
+    t = D.truth(spark, sf).select(F.concat(F.lit("doc"), "suspicious_doc_id", F.lit(".txt")).alias("suspicious_reference"), F.lit("artificial").alias("plagiarism_type"), F.lit(None).cast("string").alias("obfuscation"), "suspicious_offset", "suspicious_length", F.col("source_doc_id").cast("string").alias("source_reference"), "source_offset", "source_length")
+    files = groundtruth.to_xml_text(t).select(F.col("suspicious_reference").alias("path"), "xml")
+    return groundtruth.with_defaults(groundtruth.xml_spans(files)).select("suspicious_reference", "source_reference", *longs("suspicious_offset", "suspicious_length"), "obfuscation")
+
+
+@query("select 'doc' || suspicious_doc_id || '.txt' as path, source_doc_id::varchar as source_reference, suspicious_offset::bigint as suspicious_offset from planted")
+def s8_xml_regex_scan(spark, sf):
+    t = D.truth(spark, sf).select(F.concat(F.lit("doc"), "suspicious_doc_id", F.lit(".txt")).alias("suspicious_reference"), F.lit("artificial").alias("plagiarism_type"), F.lit("none").alias("obfuscation"), "suspicious_offset", "suspicious_length", F.col("source_doc_id").cast("string").alias("source_reference"), "source_offset", "source_length")
+    return groundtruth.regex_spans(groundtruth.to_xml_text(t).select(F.col("suspicious_reference").alias("path"), "xml")).select("path", "source_reference", *longs("suspicious_offset"))
+
+
+@query(r"select event_id, try_cast(json_extract_string(props, '$.score') as double) as score, event_type from events")
+def s10_s11_json_fields(spark, sf):
+    e = D.table(spark, sf, "events")
+    return e.select("event_id", T.model_json(F.concat(F.lit("Answer: "), F.col("props")), "score double")["score"].alias("score"), "event_type")
+
+
+# generic relational checks
+
+@query("""select l_returnflag, l_linestatus, round(sum(l_quantity)::double, 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount))::double, 2) as revenue, count(*)::bigint as n from lineitem group by all""")
+def g1_lineitem_summary(spark, sf):
+    l = D.table(spark, sf, "lineitem")
+    return l.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity").cast("double"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("double"), 2).alias("revenue"), F.count("*").alias("n"))
