@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,27 +33,42 @@ def chunk_table(docs: DataFrame, size: int = 300, overlap: int = 150, min_words:
     return w.select(F.format_string("%s_c%04d", T.file_stem(F.col("doc_id").cast("string")), "chunk_index").alias("chunk_id"), "doc_id", "chunk_index", "chunk_text", "start_char", "end_char", "word_start", "word_end", "word_count", F.lit(size).alias("chunk_size"), F.lit(overlap).alias("overlap"), F.lit(min_words).alias("min_words"))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with ``value`` computed once: as a lambda variable it isn't repeated for every element inside ``f``."""
+    return F.element_at(F.transform(F.array(value), lambda x: f(x)), 1)
+
+
+def _runs(items: Column, size: Column, n: int, take: Callable[[Column, Column], Column]) -> Column:
+    """``take(items, i)`` for every place i where a run of n fits."""
+    places = F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))
+    return F.when(size >= n, F.transform(places, lambda i: take(items, i))).otherwise(F.array().cast("array<string>"))
+
+
 def word_ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
     """All word n-grams of an array of words, joined by a space."""
-    parts = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.concat(*parts)
+    if high == 1:
+        return words
+
+    def of(n: int, w: Column) -> Column:
+        return _runs(w, F.size(w), n, lambda x, i: F.array_join(F.slice(x, i, n), " "))
+
+    return bound(words, lambda w: F.concat(*(of(n, w) for n in range(low, high + 1))))
 
 
 def char_ngrams_in_words(words: Column, low: int = 5, high: int = 7) -> Column:
     """Character n-grams within words padded by a space; a word no longer than n gives itself once."""
 
-    def of(w: Column) -> Column:
-        p = F.concat(F.lit(" "), w, F.lit(" "))
-        whole = F.array(p)
-        grams = [F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(p, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-        return F.when(F.length(p) <= low, whole).otherwise(F.concat(*grams))
+    def of(n: int, p: Column) -> Column:
+        return _runs(p, F.length(p), n, lambda x, i: F.substring(x, i, F.lit(n)))
+
+    def grams(p: Column) -> Column:
+        return F.when(F.length(p) <= low, F.array(p)).otherwise(F.concat(*(of(n, p) for n in range(low, high + 1))))
 
-    return F.flatten(F.transform(words, of))
+    return F.flatten(F.transform(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), lambda p: grams(p)))
 
 
 def trigram_set(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return bound(F.lower(text), lambda low: F.array_distinct(_runs(low, F.length(low), 3, lambda x, i: F.substring(x, i, F.lit(3)))))
 
 
 def char_windows(docs: DataFrame, id_col: str, text_col: str, window: int = 800, stride: int = 400) -> DataFrame:

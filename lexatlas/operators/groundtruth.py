@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import chunking
 
 _ATTRIBUTES = ("name", "type", "obfuscation", "this_language", "source_language", "manual_obfuscation", "this_offset", "this_length", "source_reference", "source_offset", "source_length")
 XML_SCHEMA = "struct<_reference:string,feature:array<struct<" + ",".join(f"_{a}:string" for a in _ATTRIBUTES) + ">>>"
@@ -48,7 +49,7 @@ def planted(docs: DataFrame, passages: DataFrame) -> DataFrame:
     p = p.select("item_id", "passage", F.array_join(F.slice("pw", 1, 4), " ").alias("anchor"), F.size("pw").alias("n"))
     long, short = p.where("n > 4"), p.where("n <= 4").select("item_id", "passage")
     w = docs.select("doc_id", "text", F.split("text", r"\s+").alias("tk"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("tk") - 3, F.lit(1))), lambda i: F.array_join(F.slice("tk", i, 4), " ")))
+    grams = F.array_distinct(chunking.word_ngrams(F.col("tk"), 4, 4))
     keys = w.select("doc_id", F.explode(grams).alias("anchor")).join(long.select("anchor", "item_id"), "anchor").select("doc_id", "item_id").distinct()
     hits = keys.join(docs.select("doc_id", "text"), "doc_id").join(long.select("item_id", "passage"), "item_id")
     if short.limit(1).count():  # passages of a few words have no anchor of their own

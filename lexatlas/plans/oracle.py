@@ -87,8 +87,8 @@ CTES: dict[str, str] = {
     max(score) as score, count(*) as n_merged from isl group by {PAIR}, island""",
     "t": f"select {PAIR}, suspicious_offset as t0, suspicious_offset + suspicious_length as t1, source_offset as tr0, source_offset + source_length as tr1, row_number() over (order by {PAIR}, suspicious_offset) as k from planted",
     "d": f"select {PAIR}, suspicious_start_char as d0, suspicious_end_char as d1, source_start_char as dr0, source_end_char as dr1, row_number() over (order by {PAIR}, suspicious_start_char) as det from merged",
-    "l1": f"select t.suspicious_doc_id, t.source_doc_id, k, det, t0, t1, d0, d1, greatest(t0, d0) as o0, least(t1, d1) as o1, tr0 < dr1 and dr0 < tr1 as both from t join d using ({PAIR}) where t0 < d1 and d0 < t1",
-    "l2": "select * from l1 where both",
+    "l1": f"select t.suspicious_doc_id, t.source_doc_id, k, det, t0, t1, d0, d1, greatest(t0, d0) as o0, least(t1, d1) as o1, tr0 < dr1 and dr0 < tr1 as two_sided from t join d using ({PAIR}) where t0 < d1 and d0 < t1",
+    "l2": "select * from l1 where two_sided",
     "ck": "select k, sum(a) as covered, count(*) as n_links from (select k, greatest(0, o1 - greatest(o0, coalesce(max(o1) over (partition by k order by o0, o1 rows between unbounded preceding and 1 preceding), o0))) as a from l2) group by k",
     "cd": "select det, sum(a) as covered from (select det, greatest(0, o1 - greatest(o0, coalesce(max(o1) over (partition by det order by o0, o1 rows between unbounded preceding and 1 preceding), o0))) as a from l2) group by det",
     "gt": "select suspicious_doc_id, count(*) as gt_spans, sum(t1 - t0) as gt_chars from t group by 1",
