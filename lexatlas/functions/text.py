@@ -11,12 +11,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The stopwords of the lexical branches.
 STOPWORDS = ("a", "an", "the", "and", "or", "but", "if", "while", "is", "are", "was", "were", "be", "been", "being", "of", "to", "in", "on", "for", "with", "as", "by", "this", "that", "these", "those", "it", "its")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
