@@ -400,7 +400,7 @@ def w5_fusion_input(spark, sf):
     return _top(spark, sf, "fusion_input", n=20)
 
 
-@query(f"""select {SQL_PAIR}, suspicious_chunk_id, source_chunk_id, r::bigint as pair_rank from (select *, row_number() over (partition by {SQL_PAIR} order by score desc, suspicious_chunk_id, source_chunk_id) as r from cand2) where r <= 25""")
+@query(f"""select {SQL_PAIR}, suspicious_chunk_id, source_chunk_id, r::bigint as pair_rank from (select *, row_number() over (partition by {SQL_PAIR} order by round(score, 9) desc, suspicious_chunk_id, source_chunk_id) as r from cand2) where r <= 25""")
 def w7_d8_top_pairs(spark, sf):
     return confirm.build_pairs(D.lexical_candidates(spark, sf), *D.chunks(spark, sf)).select(*PAIR, "suspicious_chunk_id", "source_chunk_id", *longs("pair_rank"))
 
