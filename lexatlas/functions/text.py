@@ -23,7 +23,8 @@ def _compose(text: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _compose(text)).otherwise(text)
+    beyond = F.when(text.rlike(r"[^\x00-\x7F]"), text)  # a Python function runs on every row, whatever stands around it: send nulls
+    return F.coalesce(_compose(beyond), text)
 
 
 def _folded(text: Column, compose: bool) -> Column:

@@ -14,17 +14,40 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "clean_text
     """Sliding word windows of single-spaced texts, with exact character offsets.
 
     A window that reaches the last word ends the document unless ``stop_early`` is off; windows of fewer than ``min_words`` are skipped.
+    Null and empty texts have none.  All windows of a text are cut within its row, each from the lengths of the steps before it, so the
+    work grows with the text and its words aren't copied to every window.
     """
     step = max(1, size - overlap)
-    base = docs.where(F.length(F.trim(F.coalesce(text_col, F.lit("")))) > 0).select(id_col, F.split(F.trim(text_col), " ").alias("tk")).withColumn("n", F.size("tk"))
-    w = base.select(id_col, "tk", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step))).alias("word_start"))
-    w = w.withColumn("word_end", F.least(F.col("word_start") + size, F.col("n"))).where(F.col("word_end") - F.col("word_start") >= min_words)
-    if stop_early:
-        w = w.where((F.col("word_start") == 0) | (F.col("word_start") - step + size < F.col("n")))
-    body = F.array_join(F.slice("tk", F.col("word_start") + 1, F.col("word_end") - F.col("word_start")), " ")
-    before = F.when(F.col("word_start") == 0, 0).otherwise(F.length(F.array_join(F.slice("tk", F.lit(1), F.greatest(F.col("word_start"), F.lit(1))), " ")) + 1)
-    w = w.select(id_col, (F.col("word_start") / step).cast("int").alias("chunk_index"), "word_start", "word_end", (F.col("word_end") - F.col("word_start")).alias("word_count"), before.alias("start_char"), body.alias("chunk_text"))
-    return w.withColumn("end_char", F.col("start_char") + F.length("chunk_text"))
+
+    def cut(tk: Column) -> Column:
+        n = F.size(tk)
+        starts = F.sequence(F.lit(0), n - 1, F.lit(step))
+        lengths = F.transform(starts, lambda a: F.length(F.array_join(F.slice(tk, a + 1, F.lit(step)), " ")) + 1)
+
+        def keep(a: Column) -> Column:
+            enough = (F.element_at(tk, 1) != "") & (F.least(a + size, n) - a >= min_words)
+            return enough & ((a == 0) | (a - step + size < n)) if stop_early else enough
+
+        def window(before: Callable[[Column], Column], a: Column) -> Column:
+            end = F.least(a + size, n)
+            return F.struct(a.alias("word_start"), end.alias("word_end"), before((a / step).cast("int")).alias("start_char"), F.array_join(F.slice(tk, a + 1, end - a), " ").alias("chunk_text"))
+
+        return _with_prefix_sums(lengths, lambda before: F.transform(F.filter(starts, keep), lambda a: window(before, a)))
+
+    tokens = F.split(F.trim(F.coalesce(text_col, F.lit(""))), " ")
+    w = docs.select(id_col, F.explode(bound(tokens, cut)).alias("w")).select(id_col, "w.*")
+    return w.select(id_col, (F.col("word_start") / step).cast("int").alias("chunk_index"), "word_start", "word_end", (F.col("word_end") - F.col("word_start")).alias("word_count"), "start_char", "chunk_text", (F.col("start_char") + F.length("chunk_text")).alias("end_char"))
+
+
+def _with_prefix_sums(values: Column, use: Callable[[Callable[[Column], Column]], Column], block: int = 64) -> Column:
+    """``use(before)``, where before(i) is the sum of the first i values; sums of blocks keep it short for long arrays."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x)
+
+    def within(v: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(1), F.size(v), F.lit(block)), lambda b: total(F.slice(v, b, F.lit(block))))
+        return bound(sums, lambda c: use(lambda i: total(F.slice(c, F.lit(1), (i / block).cast("int"))) + total(F.slice(v, (i / block).cast("int") * block + 1, i % block))))
+
+    return bound(values, within)
 
 
 def chunk_table(docs: DataFrame, size: int = 300, overlap: int = 150, min_words: int = 60) -> DataFrame:

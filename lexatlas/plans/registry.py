@@ -63,18 +63,18 @@ def n1_clean_text(spark, sf):
 
 @query(f"select doc_id, {O.lexical('text')} as lexical_text from documents")
 def n2_lexical_text(spark, sf):
-    return D.table(spark, sf, "documents").select("doc_id", T.lexical(F.col("text")).alias("lexical_text"))
+    return D.texts(spark, sf).select("doc_id", T.lexical(F.col("text")).alias("lexical_text"))
 
 
 @query(r"select doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ') as embedding_text from documents")
 def n4_embedding_text(spark, sf):
-    return D.table(spark, sf, "documents").select("doc_id", T.for_embedding(F.col("text")).alias("embedding_text"))
+    return D.texts(spark, sf).select("doc_id", T.for_embedding(F.col("text")).alias("embedding_text"))
 
 
 @query(r"""select doc_id, length(text)::bigint as chars, n::bigint as words, (n * 13 // 10)::bigint as tokens from (
   select doc_id, text, len([x for x in regexp_split_to_array(trim(text), '\s+') if x <> '']) as n from documents)""")
 def n5_n7_counts(spark, sf):
-    d = D.table(spark, sf, "documents")
+    d = D.texts(spark, sf)
     return d.select("doc_id", F.length("text").cast("long").alias("chars"), T.word_count(F.col("text")).cast("long").alias("words"), T.token_estimate(F.col("text")).cast("long").alias("tokens"))
 
 
@@ -91,7 +91,7 @@ def n6_n11_n12_n13_n14_identifiers(spark, sf):
 @query("select doc_id, substr(text, 11, 90) as part, strpos(text, 'the') - 1 as first_the, left(text, 120) as head, case when length(text) > 400 then left(text, 200) || '[...omitted...]' || right(text, 200) else text end as snippet from documents")
 def n8_n9_n10_n16_slices(spark, sf):
     t = F.col("text")
-    return D.table(spark, sf, "documents").select("doc_id", T.substring(t, F.lit(10), F.lit(100)).alias("part"), T.find(t, F.lit("the")).cast("long").alias("first_the"), F.left(t, F.lit(120)).alias("head"), T.snippet(t).alias("snippet"))
+    return D.texts(spark, sf).select("doc_id", T.substring(t, F.lit(10), F.lit(100)).alias("part"), T.find(t, F.lit("the")).cast("long").alias("first_the"), F.left(t, F.lit(120)).alias("head"), T.snippet(t).alias("snippet"))
 
 
 @query()

@@ -1,10 +1,13 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexatlas.functions import text as T
 from lexatlas.operators import chunking, evaluate, spans
-from lexatlas.plans import registry
+from lexatlas.plans import detection, registry
+from lexatlas.sources import io
+from lexatlas.streaming import incremental
 
 
 def test_registry_names_match():
@@ -43,6 +46,48 @@ def test_windows(spark):
         assert all(t[r.start_char : r.end_char] == r.chunk_text for r in got if r.doc_id == i)
 
 
+def test_windows_of_long_null_and_empty_texts(spark):
+    tokens = [f"w{i % 13}" + "é" * (i % 3) for i in range(1500)]
+    rows = [(1, " ".join(tokens)), (2, None), (3, ""), (4, "  "), (5, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, clean_text string")
+    got = chunking.windows(docs, size=10, overlap=5, min_words=1).collect()
+    mine = sorted((r.word_start, r.word_end, r.start_char, r.chunk_text) for r in got if r.doc_id == 1)
+    assert mine == python_windows(tokens, 10, 5, 1) and len(mine) > 2 * 64
+    assert [(r.doc_id, r.chunk_text, r.start_char, r.end_char) for r in got if r.doc_id > 1] == [(5, "one", 0, 3)]
+    assert chunking.windows(docs.limit(0)).count() == 0
+
+
+def test_spread_keeps_rows(spark):
+    one = spark.range(50).coalesce(1)
+    assert sorted(r.id for r in detection.spread(one, "id").collect()) == list(range(50))
+    many = spark.range(50).repartition(16)
+    assert detection.spread(many, "id") is many
+
+
+def test_composition_leaves_plain_text_and_nulls(spark):
+    df = spark.createDataFrame([("plain",), (None,), ("ﬁ e\u0301",)], "t string")
+    assert [r[0] for r in df.select(T.nfkc(F.col("t"))).collect()] == ["plain", None, "fi \u00e9"]
+
+
+def test_incremental_run(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "in"))
+    go = lambda: incremental.run_available(incremental.stream_documents(spark, str(tmp_path / "in"), "doc_id long, text string"), lambda d: d.select("doc_id", T.word_count(F.col("text")).alias("n")), str(tmp_path / "out"), str(tmp_path / "at"))
+    go()
+    spark.createDataFrame([(3, "c")], "doc_id long, text string").write.mode("append").parquet(str(tmp_path / "in"))
+    go()
+    assert sorted((r.doc_id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 2), (2, 0), (3, 1)]
+
+
+def test_resume_and_columns(spark):
+    todo = spark.createDataFrame([(1,), (2,), (3,)], "suspicious_doc_id int")
+    done = todo.where("suspicious_doc_id = 2")
+    assert sorted(r[0] for r in io.unprocessed(todo, done).collect()) == [1, 3]
+    assert io.unprocessed(todo, done, fresh=True).count() == 3
+    with pytest.raises(ValueError):
+        io.require_columns(todo, ["missing"])
+
+
 def test_ngrams(spark):
     df = spark.createDataFrame([(["ab", "abcdef"], "abcab")], "w array<string>, t string")
     row = df.select(chunking.word_ngrams(F.col("w")), chunking.char_ngrams_in_words(F.col("w")), chunking.trigram_set(F.col("t"))).collect()[0]
