@@ -45,9 +45,13 @@ def lexical_words(chunk: DataFrame) -> DataFrame:
 
 def weights(spark: SparkSession, sf_dir: str, high: int = 2) -> tuple[DataFrame, DataFrame]:
     """Unit tf-idf rows of both sides; the vocabulary and idf are the source side's."""
+    return weighted(*chunks(spark, sf_dir), high)
+
+
+def weighted(a: DataFrame, b: DataFrame, high: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``weights`` of two chunk tables."""
     out = []
     idf = None
-    a, b = chunks(spark, sf_dir)
     for side in (b, a):
         tf = vectors.counts(lexical_words(side).withColumn("grams", chunking.word_ngrams(F.col("words"), 1, high)), "chunk_id", "grams")
         idf = vectors.document_frequency(tf) if idf is None else idf
@@ -63,15 +67,15 @@ def with_chunks(found: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def lexical_candidates(spark: SparkSession, sf_dir: str, high: int = 2, k: int = 500) -> DataFrame:
-    q, s = weights(spark, sf_dir, high)
-    return with_chunks(simjoin.sparse_top_k(q, s, k), *chunks(spark, sf_dir))
+    a, b = chunks(spark, sf_dir)
+    return with_chunks(simjoin.sparse_top_k(*weighted(a, b, high), k), a, b)
 
 
 def dense_candidates(spark: SparkSession, sf_dir: str, branch: str, k: int = 500) -> DataFrame:
     """Candidates of the latent or the hashed-embedding branch."""
     a, b = chunks(spark, sf_dir)
     if branch == "lsa":
-        q, s = weights(spark, sf_dir, 1)
+        q, s = weighted(a, b, 1)
         vs, projection, vocab = vectors.lsa(s, components=64)
         rows = q.groupBy("id").agg(F.collect_list(F.struct("feature", "w")).alias("fs"))
         vq = vectors.project(rows, projection, vocab)
