@@ -550,7 +550,11 @@ def e4_official_plagdet(spark, sf):
     return o.select(*r6("precision", "recall", "granularity", "plagdet"), *longs("n_cases", "n_detections", "n_cases_detected"))
 
 
-@query()
+@query("""select lang, round(coalesce(precision, 0), 6) as precision, round(recall, 6) as recall, round(granularity, 6) as granularity, round(case when coalesce(precision, 0) + recall > 0 then 2 * precision * recall / (precision + recall) / log2(1 + granularity) else 0 end, 6) as plagdet,
+  n_cases::bigint as n_cases, coalesce(n_detections, 0)::bigint as n_detections from
+  (select lang, avg(coalesce(ck.covered / nullif(t1 - t0, 0), 0)) as recall, count(*) as n_cases, coalesce(avg(ck.n_links), 1) as granularity from t join documents on doc_id = suspicious_doc_id left join ck using (k) group by lang) r left join
+  (select g.lang, avg(case when x.lang = g.lang then coalesce(cd.covered / nullif(d1 - d0, 0), 0) else 0 end) as precision, count(*) as n_detections
+   from d join documents x on x.doc_id = d.suspicious_doc_id left join cd using (det) cross join (select distinct lang from t join documents on doc_id = suspicious_doc_id) g group by g.lang) p using (lang)""")
 def e5_a9_official_by_category(spark, sf):
     lang = D.table(spark, sf, "documents").select(F.col("doc_id").alias("suspicious_doc_id"), "lang")
     t = D.as_spans(D.truth(spark, sf)).join(lang, "suspicious_doc_id")
