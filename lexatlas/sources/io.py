@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,12 +17,29 @@ def require_columns(df: DataFrame, columns: list[str], what: str = "table") -> D
     return df
 
 
+def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """``path, content`` of every file below ``root``, those of no bytes included.
+
+    Spark's scans leave out files of no bytes.  Their names come from the scan's own file index, which the driver
+    holds in any case; the second read is of paths alone.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "content")
+    same = lambda path: F.regexp_replace(path, "^file:/+", "file:/")
+    raw = raw.withColumn("path", same("path"))
+    listed = spark.createDataFrame([(unquote(f),) for f in raw.inputFiles()], "path string").select(same("path").alias("path"))
+    return raw.union(listed.join(raw.select("path"), "path", "left_anti").select("path", F.lit(b"")))
+
+
+def _name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def read_text_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Every ``*.txt`` below ``root`` as one row: doc_id, file_name, relative_path, part, raw_text.
 
-    Files are decoded as UTF-8; bytes that are no UTF-8 are left out.
+    Files are decoded as UTF-8; bytes that are no UTF-8 are left out.  An empty file is a row with an empty text.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)
+    raw = _files(spark, root, "*.txt").where(_name(F.col("path")).endswith(".txt"))
     top = root.split("://")[-1].rstrip("/").lstrip("/")
     rel = F.regexp_replace("path", rf"^.*?{_quoted(top)}/", "")
     body = F.col("content").cast("string")
@@ -46,8 +65,7 @@ def read_xml_files(spark: SparkSession, root: str) -> DataFrame:
 
 def file_parts(spark: SparkSession, root: str) -> DataFrame:
     """Bare file name to its folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.element_at(F.split("path", "/"), -2).alias("part")).distinct()
+    return _files(spark, root, "*").select(_name(F.col("path")).alias("file_name"), F.element_at(F.split("path", "/"), -2).alias("part")).distinct()
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

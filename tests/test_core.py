@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +116,56 @@ def test_plagdet_edges(spark):
     assert (got[3].plagdet, got[4].plagdet) == (0, 1)
     o = evaluate.official(truth, found).collect()[0]
     assert (o.n_cases, o.n_detections, o.n_cases_detected, o.recall, round(o.precision, 6)) == (2, 3, 1, 0.5, 0.666667)
+
+
+def test_text_corpus(spark, tmp_path):
+    for name, raw in {"a.txt": b"plain", "part1/b.txt": b"bad \xff byte", "part1/deep/c.txt": b"", "part1/d.md": b"no"}.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(raw)
+    got = {r.relative_path: (r.file_name, r.part, r.raw_text) for r in io.read_text_corpus(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a.txt": ("a.txt", None, "plain"), "part1/b.txt": ("b.txt", "part1", "bad  byte"), "part1/deep/c.txt": ("c.txt", "part1", "")}
+    table = {r.raw_text: (r.raw_char_count, r.clean_word_count) for r in io.document_table(io.read_text_corpus(spark, str(tmp_path / "in"))).collect()}
+    assert table == {"plain": (5, 1), "bad  byte": (9, 2), "": (0, 0)}
+    assert sorted((r.file_name, r.part) for r in io.file_parts(spark, str(tmp_path / "in")).collect()) == [("a.txt", "in"), ("b.txt", "part1"), ("c.txt", "deep"), ("d.md", "part1")]
+
+
+def test_sinks_by_suffix(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x, y"), (2, None)], "id long, name string")
+    for kind in ("parquet", "csv", "json"):
+        path = str(tmp_path / f"out.{kind}")
+        io.write(df, path)
+        io.write(df, path)
+        reader = spark.read.option("header", True) if kind == "csv" else spark.read
+        assert sorted((int(r.id), r.name) for r in reader.format(kind).load(path).collect()) == [(1, "x, y"), (2, None)]
+    io.append(df, str(tmp_path / "out.parquet"))
+    assert io.read_parquet(spark, str(tmp_path / "out.parquet"), ["id"]).count() == 4
+    with pytest.raises(ValueError):
+        io.read_parquet(spark, str(tmp_path / "out.parquet"), ["other"])
+    with pytest.raises(ValueError):
+        io.write(df, str(tmp_path / "out.tsv"))
+
+
+def test_id_list_and_xml(spark, tmp_path):
+    (tmp_path / "ids.txt").write_text("d1\n\n  \nd2 \n")
+    assert sorted(r.doc_id for r in io.read_ids(spark, str(tmp_path / "ids.txt")).collect()) == ["d1", "d2"]
+    io.write_xml(spark.createDataFrame([(1, "a<b")], "id long, name string"), str(tmp_path / "xml"))
+    back = spark.read.format("xml").option("rowTag", "document").load(str(tmp_path / "xml")).collect()
+    assert [(r.id, r.name) for r in back] == [(1, "a<b")]
+
+
+WORKER = """
+import importlib.util
+from pyspark.sql import SparkSession
+spec = importlib.util.spec_from_file_location("entry_module", {path!r})
+module = importlib.util.module_from_spec(spec)
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+spec.loader.exec_module(module)
+assert module.queries()["n4_embedding_text"](spark, "/root/testdata/sf0.001").count() > 0
+print(module.queries()["n1_clean_text"](spark, "/root/testdata/sf0.001").toPandas().shape)
+"""
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    path = registry.__file__.rsplit("/", 3)[0] + "/__spark_entry__.py"
+    done = subprocess.run([sys.executable, "-c", WORKER.format(path=path)], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
