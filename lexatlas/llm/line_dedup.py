@@ -3,9 +3,9 @@
 Every document is split into units; a unit is normalised (lower case, white space collapsed) and hashed to
 128 bits.  Digests are grouped over the whole corpus with map-side combine, the occurrence with the lowest
 (doc_id, unit) is kept and all others are removed; spans of what is removed are offsets (code points, end
-exclusive) of the original text.  Units of fewer than ``min_words`` words are always kept.
+exclusive) of the original text.  Units of every length take part; ``min_words`` can exempt short ones.
 
-Cases: a null or empty text has no unit to remove and keeps its (empty) text; a null doc_id ranks last;
+Cases: a null or empty text has no unit to remove and keeps its (empty) text; blank units stay; a null doc_id ranks last;
 within a document a repeated unit is removed but for its first occurrence; rows equal in doc_id and text
 count as one occurrence, so both are treated alike.  An empty table gives an empty result.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, map_by_id
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 _SEPARATOR = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r\f\v]*\n\s*")}
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 _LAST = (1 << 63) - 1
