@@ -130,8 +130,9 @@ def _pack(e: dict[str, np.ndarray], at: np.ndarray) -> bytes:
     The hash only forms groups, so cutting it loses nothing; together 88 bits tell passages apart.
     """
     doc, tag, start = e["doc"][at], e["tag"][at], e["start"][at].astype(np.int64)
-    run = _starts(doc, tag)
     step = np.diff(start, prepend=0)
+    # equal rows share doc and tag: where places step back, the next row begins
+    run = _starts(doc, tag, np.cumsum(step <= 0))
     step[run] = start[run]
     count = np.diff(np.r_[run, len(at)])
     parts = [e["h"][at].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), e["c"][at].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), step.astype("<u4").tobytes(), e["size"][at].astype("<u4").tobytes(), np.diff(doc[run], prepend=0).tobytes(), tag[run].astype("<u4").tobytes(), count.astype("<u4").tobytes()]
