@@ -11,6 +11,8 @@ hash.  So a shard needs only the passages of its hashes, not the corpus:
    are fetched, and each shard sorts its suffixes by external induced sorting (``induced_sort``: disk-backed
    queues that carry suffix positions and common-prefix values).  Suffixes that agree on LEAST bytes stand
    together in the order; a window is removed if its group has a smaller doc_id.
+   Where the passages of one hash exceed SHARD_BYTES, their windows are dealt one by one, by content: equal
+   windows still meet, and those that a batch has in several documents are collapsed before the shuffle.
 3. The removed windows of a document are merged and cut out of its text.
 
 Windows are judged on the input and never cross documents.  Cases: null texts are empty; documents of
@@ -35,6 +37,8 @@ from .induced_sort import suffix_order
 LEAST, GRAM = 50, 20
 #: Text bytes for each group of hashes, and passage bytes for each sorted shard.
 GROUP_BYTES, SHARD_BYTES = 12 << 20, 2 << 20
+#: Windows of hot hashes that a worker holds at once.
+WINDOWS = 1 << 17
 _LAST = (1 << 63) - 1
 _C1, _C2, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -212,46 +216,105 @@ def _deal(groups: int):
     return run
 
 
-_DECIDED = "rank_id long, tag long, spans binary, h binary, start binary, size binary, bytes long"
-
-
-def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows with ``spans`` that are removed outright, and rows with passages (h, start, size) that must be sorted."""
-    rows: list[tuple] = [(d, t, s, None, None, None, 0) for d, t, s in zip(pdf["rank_id"], pdf["tag"], pdf["spans"]) if s is not None]
-    blobs = [_unpack(b) for b in pdf["entries"] if b is not None]
-    if blobs:
-        e = {x: np.concatenate([b[x] for b in blobs]) for x in _ENTRY}
-        stay, gone = _leaders(e)
-        rows += [(*x, None, None, None, 0) for x in _removed(e, gone)]
-        stay = stay[np.argsort(e["h"][stay], kind="stable")]
-        h, doc = e["h"][stay], e["doc"][stay]
-        first = _starts(h)
-        # different passages of different documents under one hash
-        mixed = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        need = stay[np.repeat(mixed, np.diff(np.r_[first, len(h)]))]
-        need = need[np.lexsort((e["tag"][need], e["doc"][need]))]
-        doc, tag = e["doc"][need], e["tag"][need]
-        cut = _starts(doc, tag).tolist()
-        for lo, hi in zip(cut, [*cut[1:], len(need)]):
-            at = need[lo:hi]
-            rows.append((int(doc[lo]), int(tag[lo]), None, e["h"][at].tobytes(), e["start"][at].tobytes(), e["size"][at].tobytes(), int(e["size"][at].sum())))
-    return pd.DataFrame(rows, columns=["rank_id", "tag", "spans", "h", "start", "size", "bytes"])
+_DECIDED = "rank_id long, tag long, spans binary, h binary, start binary, size binary, hot binary, bytes long"
+
+
+def _decide(hot_bytes: int):
+    """Rows with ``spans`` that are removed outright, and rows with passages (h, start, size, hot) that must be sorted."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = [(d, t, s, None, None, None, None, 0) for d, t, s in zip(pdf["rank_id"], pdf["tag"], pdf["spans"]) if s is not None]
+        blobs = [_unpack(b) for b in pdf["entries"] if b is not None]
+        if blobs:
+            e = {x: np.concatenate([b[x] for b in blobs]) for x in _ENTRY}
+            stay, gone = _leaders(e)
+            rows += [(*x, None, None, None, None, 0) for x in _removed(e, gone)]
+            stay = stay[np.argsort(e["h"][stay], kind="stable")]
+            h, doc = e["h"][stay], e["doc"][stay]
+            first = _starts(h)
+            many = np.diff(np.r_[first, len(h)])
+            # different passages of different documents under one hash
+            mixed = np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), many)
+            hot = np.repeat(np.add.reduceat(e["size"][stay], first) > hot_bytes, many)[mixed] if len(h) else mixed
+            need = stay[mixed]
+            order = np.lexsort((e["tag"][need], e["doc"][need]))
+            need, hot = need[order], hot[order]
+            doc, tag = e["doc"][need], e["tag"][need]
+            weight = np.where(hot, LEAST * (e["size"][need] - LEAST + 1), e["size"][need])
+            cut = _starts(doc, tag).tolist()
+            for lo, hi in zip(cut, [*cut[1:], len(need)]):
+                at = need[lo:hi]
+                rows.append((int(doc[lo]), int(tag[lo]), None, e["h"][at].tobytes(), e["start"][at].tobytes(), e["size"][at].tobytes(), hot[lo:hi].tobytes(), int(weight[lo:hi].sum())))
+        return pd.DataFrame(rows, columns=["rank_id", "tag", "spans", "h", "start", "size", "hot", "bytes"])
+
+    return run
+
+
+def _window_shards(windows: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each row of LEAST bytes, by all of them."""
+    total = np.zeros(len(windows), np.uint64)
+    for k in (*range(0, LEAST - 8, 8), LEAST - 8):
+        total = _mix(total * _C1 + np.ascontiguousarray(windows[:, k : k + 8]).view("<u8").ravel())
+    return (total % np.uint64(shards)).astype(np.int64)
+
+
+def _collapsed(found: list[tuple[int, int, int, np.ndarray]], shards: int) -> tuple[list[tuple], list[tuple]]:
+    """Of windows (doc, tag, first place, bytes): entries to sort, one for each text and content, and spans removed outright."""
+    windows = np.ascontiguousarray(np.concatenate([w for *_, w in found]))
+    count = [len(w) for *_, w in found]
+    doc, tag = (np.repeat(np.array([f[k] for f in found], np.int64), count) for k in (0, 1))
+    place = np.concatenate([np.arange(f[2], f[2] + len(f[3])) for f in found])
+    _, one, same = np.unique(windows.view(f"V{LEAST}").ravel(), return_index=True, return_inverse=True)
+    least = np.full(len(one), _LAST, np.int64)
+    np.minimum.at(least, same, doc)
+    later = doc > least[same]
+    spans = _spans(doc[later], tag[later], place[later], place[later] + LEAST)
+    stay = np.flatnonzero(~later)
+    stay = stay[np.lexsort((place[stay], tag[stay], doc[stay], same[stay]))]
+    first = _starts(same[stay], doc[stay], tag[stay])
+    home = _window_shards(windows[one], shards)[same[stay[first]]]
+    entries = [
+        (s, doc[x[0]], tag[x[0]], LEAST, place[x], windows[x[0]].tobytes())
+        for s, x in zip(home.tolist(), np.split(stay, first[1:]))
+    ]
+    return entries, spans
 
 
 def _fetch(shards: int):
+    """Entries of each shard: doc, tag, size, number of places, their places, bytes; or spans of a text."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        def rows(found: list[tuple], spans: list[tuple] = ()) -> pd.DataFrame:
             out: dict[int, list] = {}
-            for doc, tag, text, hs, starts, sizes in zip(pdf["rank_id"], pdf["tag"], pdf["text"], pdf["h"], pdf["start"], pdf["size"]):
-                raw = text.encode()
-                h, start, size = np.frombuffer(hs, np.uint64), np.frombuffer(starts, np.int64), np.frombuffer(sizes, np.int64)
-                for s, a, n in zip((_mix(h) % np.uint64(shards)).tolist(), start.tolist(), size.tolist()):
-                    out.setdefault(s, []).append((doc, tag, a, n, raw[a : a + n]))
+            for s, *x in found:
+                out.setdefault(s, []).append(x)
             rows = []
             for s, x in out.items():
-                *numbers, raw = zip(*x)
-                rows.append((s, *(np.array(y, np.int64).tobytes() for y in numbers), b"".join(raw)))
-            yield pd.DataFrame(rows, columns=["shard", "doc", "tag", "start", "size", "data"])
+                doc, tag, size, place, raw = zip(*x)
+                numbers = doc, tag, size, [len(p) for p in place]
+                rows.append((s, *(np.array(y, np.int64).tobytes() for y in numbers), np.concatenate(place).astype(np.int64).tobytes(), b"".join(raw), 0, 0, None))
+            rows += [(d % shards, *[None] * 6, d, t, x) for d, t, x in spans]
+            return pd.DataFrame(rows, columns=["shard", "doc", "tag", "size", "count", "start", "data", "rank_id", "text_tag", "spans"])
+
+        for pdf in batches:
+            found, hot, held = [], [], 0
+            for doc, tag, text, hs, starts, sizes, hots in zip(pdf["rank_id"], pdf["tag"], pdf["text"], pdf["h"], pdf["start"], pdf["size"], pdf["hot"]):
+                raw = text.encode()
+                h, start, size = np.frombuffer(hs, np.uint64), np.frombuffer(starts, np.int64), np.frombuffer(sizes, np.int64)
+                for s, a, n, single in zip((_mix(h) % np.uint64(shards)).tolist(), start.tolist(), size.tolist(), np.frombuffer(hots, bool).tolist()):
+                    if not single:
+                        found.append((s, doc, tag, n, [a], raw[a : a + n]))
+                        continue
+                    for at in range(a, a + n - LEAST + 1, WINDOWS):  # a passage of a period can be long
+                        windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8, min(WINDOWS + LEAST - 1, a + n - at), at), LEAST)
+                        hot.append((doc, tag, at, windows))
+                        held += len(windows)
+                        if held >= WINDOWS:
+                            yield rows(*_collapsed(hot, shards))
+                            hot, held = [], 0
+            yield rows(found)
+            if hot:
+                yield rows(*_collapsed(hot, shards))
 
     return run
 
@@ -283,9 +346,19 @@ def repeated_windows(data: bytes, size: np.ndarray, doc: np.ndarray, least: int
 
 
 def _sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    doc, tag, start, size = (np.frombuffer(b"".join(pdf[x]), np.int64) for x in ("doc", "tag", "start", "size"))
-    who, at = repeated_windows(b"".join(pdf["data"]), size, doc)
-    return pd.DataFrame(_spans(doc[who], tag[who], start[who] + at, start[who] + at + LEAST), columns=["rank_id", "tag", "spans"])
+    known = pdf["spans"].notna()
+    rows = list(zip(pdf["rank_id"][known], pdf["text_tag"][known], pdf["spans"][known]))
+    pdf = pdf[~known]
+    if len(pdf):
+        doc, tag, size, count, start = (np.frombuffer(b"".join(pdf[x]), np.int64) for x in ("doc", "tag", "size", "count", "start"))
+        who, at = repeated_windows(b"".join(pdf["data"]), size, doc)
+        # a window of several places goes from all of them
+        many = count[who]
+        last = np.cumsum(many)
+        place = start[np.repeat(np.cumsum(count)[who] - last, many) + np.arange(many.sum())] + np.repeat(at, many)
+        who = np.repeat(who, many)
+        rows += _spans(doc[who], tag[who], place, place + LEAST)
+    return pd.DataFrame(rows, columns=["rank_id", "tag", "spans"])
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,14 +402,14 @@ def removals(rows: DataFrame) -> DataFrame:
     groups = max(2 * parts(spark), total // GROUP_BYTES + 1)
     dealt = rows.mapInPandas(_deal(groups), _SHARDED)
     dealt = dealt.withColumn("g", F.when(F.col("shard") >= 0, F.col("shard")).otherwise(F.pmod(F.xxhash64("rank_id"), F.lit(groups)).cast("int")))
-    decided = staged(dealt.groupBy("g").applyInPandas(_decide, _DECIDED), "decided")
+    decided = staged(dealt.groupBy("g").applyInPandas(_decide(SHARD_BYTES), _DECIDED), "decided")
     del dealt
     release_shuffles(spark)
     wanted = decided.where("h is not null")
     weight = wanted.agg(F.sum("bytes")).first()[0] or 0
     shards = max(parts(spark), int(weight) // SHARD_BYTES + 1)
     # merge: the same plan at every size, as what is wanted grows with the corpus
-    fetched = rows.join(wanted.select("rank_id", "tag", "h", "start", "size").hint("merge"), ["rank_id", "tag"]).mapInPandas(_fetch(shards), "shard int, doc binary, tag binary, start binary, size binary, data binary")
+    fetched = rows.join(wanted.select("rank_id", "tag", "h", "start", "size", "hot").hint("merge"), ["rank_id", "tag"]).mapInPandas(_fetch(shards), "shard int, doc binary, tag binary, size binary, count binary, start binary, data binary, rank_id long, text_tag long, spans binary")
     sorted_out = staged(fetched.groupBy("shard").applyInPandas(_sort_shard, "rank_id long, tag long, spans binary"), "sorted")
     del fetched
     release_shuffles(spark)

@@ -29,3 +29,43 @@ def test_repeated_rows(spark):
     got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     want = brute_cut(rows)
     assert len(got) == len(rows) and all((r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
+
+
+def hot_rows(n):
+    """A line of 49 bytes amid different text in every document, and texts of one period."""
+    rng = np.random.default_rng(4)
+    text = lambda k: bytes(rng.integers(97, 123, k).astype(np.uint8)).decode()
+    line, parts = text(49), [text(12) for _ in range(4)]
+    rows = [(i, text(60) + parts[i % 4] + line + parts[i // 4 % 4] + text(60) + line + text(60)) for i in range(n)]
+    return [*rows, (n, "ab" * 200), (n + 1, "c" + "ab" * 150), rows[3], rows[3], (None, "ab" * 90 + line)]
+
+
+def test_hot_hash(spark, monkeypatch):
+    rows = hot_rows(60)
+    want = brute_cut(rows)
+    decide = suffix_dedup._decide
+    for hot_bytes, windows in ((0, 70), (2000, 1000)):
+        monkeypatch.setattr(suffix_dedup, "_decide", lambda _, least=hot_bytes: decide(least))
+        monkeypatch.setattr(suffix_dedup, "WINDOWS", windows)
+        got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == len(rows) and all((r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
+
+
+def test_hot_hash_is_split():
+    """Passages of one hash beyond the bound spread over shards, and equal windows are one entry."""
+    import pandas as pd
+
+    rows = hot_rows(300)[:300]
+    raw = [t.encode() for _, t in rows]
+    end = np.cumsum([len(x) for x in raw])
+    begin = end - [len(x) for x in raw]
+    owner, a, b, h, c = suffix_dedup.passages(b"".join(raw), begin, end)
+    e = {"h": h, "c": c, "doc": owner, "tag": owner, "start": a - begin[owner], "size": b - a}
+    pdf = pd.DataFrame({"rank_id": [0], "tag": [0], "spans": [None], "entries": [suffix_dedup._pack(e, np.arange(len(h)))]})
+    need = suffix_dedup._decide(8000)(pdf)
+    need = need[need["h"].notna()]
+    assert any(np.frombuffer(x, bool).any() for x in need["hot"])
+    need["text"] = [rows[i][1] for i in need["rank_id"]]
+    got = pd.concat(suffix_dedup._fetch(64)([need]))
+    load = got[got["data"].notna()].groupby("shard")["data"].agg(lambda x: sum(map(len, x)))
+    assert len(load) == 64 and load.max() < 3 * load.mean()
