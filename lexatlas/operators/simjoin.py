@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import staging
+
 
 def top_k(scored: DataFrame, k: int, by: str = "q", tie: str = "s") -> DataFrame:
     """Rank 1..k by score descending, ties by id."""
@@ -12,22 +14,71 @@ def top_k(scored: DataFrame, k: int, by: str = "q", tie: str = "s") -> DataFrame
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Sources of a block and queries of a lane, about: what one task holds.
+BLOCK, LANE = 4096, 16384
+
+
 def sparse_cosine(queries: DataFrame, sources: DataFrame) -> DataFrame:
     """``q, s, score`` of pairs with a common feature; weights are unit rows (id, feature, w)."""
-    q = queries.select(F.col("id").alias("q"), "feature", F.col("w").alias("wq"))
-    s = sources.select(F.col("id").alias("s"), "feature", F.col("w").alias("ws"))
-    return q.join(s, "feature").groupBy("q", "s").agg(F.sum(F.col("wq") * F.col("ws")).alias("score"))
+    return _sparse_blocks(queries, sources, None)
 
 
 def sparse_top_k(queries: DataFrame, sources: DataFrame, k: int = 500) -> DataFrame:
-    return top_k(sparse_cosine(queries, sources).where("score > 0"), k)
+    """The ``k`` best sources of each query by sparse cosine, scores above 0 only."""
+    return top_k(_sparse_blocks(queries, sources, k).where("score > 0"), k)
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """One row for each id with its features and weights as arrays, which a text's length bounds."""
+    return rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("feature", "w"))).alias("fs")).select("id", F.col("fs.feature").alias("f"), F.col("fs.w").alias("w"))
+
 
+def _sparse_blocks(queries: DataFrame, sources: DataFrame, k: int | None, block: int = BLOCK) -> DataFrame:
+    """Scores of queries against blocks of sources; of each block the ``k`` best of a query leave the worker (None: all).
 
-def dense_scores(queries: DataFrame, sources: DataFrame) -> DataFrame:
-    """Inner products of all (id, v) pairs, scores of any sign; the source side must be a stated, bounded set."""
-    q, s = queries.select(F.col("id").alias("q"), F.col("v").alias("vq")), sources.select(F.col("id").alias("s"), F.col("v").alias("vs"))
-    dot = F.aggregate(F.zip_with("vq", "vs", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    return q.crossJoin(s).select("q", "s", dot.alias("score"))
+    A block's sources become posting lists in the worker; a query adds up the lists of its own features.  So products are
+    never rows, no feature is a join key, and a common feature costs its list's length and nothing else.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(queries.dtypes)["id"], dict(sources.dtypes)["id"]
+    # written once, so that neither the counts nor the join make the weights again
+    src, asked = staging.written(_packed(sources), "sources"), staging.written(_packed(queries), "queries")
+    # blocks follow the number of sources and lanes that of queries: a task's share of both is bounded
+    blocks = max(1, -(-src.count() // block))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    lanes = max(-(-cores // blocks), -(-asked.count() // LANE))
+    s = src.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    q = asked.withColumn("lane", F.pmod(F.xxhash64("id"), F.lit(lanes)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def solve(sp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
+        rows, near, scores = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(sp) and len(qp):
+            sp = sp.sort_values("id")
+            ids, sizes = sp["id"].to_numpy(), sp["f"].map(len).to_numpy()
+            names, code = np.unique(np.concatenate(sp["f"].to_numpy()), return_inverse=True)
+            order = np.argsort(code, kind="stable")
+            owner, weight = np.repeat(np.arange(len(sp)), sizes)[order], np.concatenate(sp["w"].to_numpy())[order]
+            bound = np.searchsorted(code[order], np.arange(len(names) + 1)).tolist()
+            place = {n: i for i, n in enumerate(names.tolist())}
+            for row, (features, weights) in enumerate(zip(qp["f"], qp["w"])):
+                score = np.zeros(len(sp))
+                for f, w in zip(features, weights):
+                    i = place.get(f)
+                    if i is not None:
+                        score[owner[bound[i] : bound[i + 1]]] += w * weight[bound[i] : bound[i + 1]]
+                hit = np.flatnonzero(score)
+                if k is not None and len(hit) > k:
+                    hit = hit[np.argsort(-score[hit], kind="stable")[:k]]
+                rows += [row] * len(hit)
+                near.append(hit)
+                scores.append(score[hit])
+        if not rows:
+            return pd.DataFrame({"q": qp["id"].iloc[:0].reset_index(drop=True), "s": sp["id"].iloc[:0].reset_index(drop=True), "score": np.zeros(0)})
+        return pd.DataFrame({"q": qp["id"].to_numpy()[rows], "s": ids[np.concatenate(near)], "score": np.concatenate(scores)})
+
+    return s.groupBy("b", "lane").cogroup(q.groupBy("b", "lane")).applyInPandas(solve, f"q {kinds[0]}, s {kinds[1]}, score double")
 
 
 def dense_top_k(queries: DataFrame, sources: DataFrame, k: int = 500, block: int = 4096) -> DataFrame:

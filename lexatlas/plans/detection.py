@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, confirm, evaluate, fusion, groundtruth, ranking, simjoin, spans, vectors
+from ..operators import chunking, confirm, evaluate, fusion, groundtruth, ranking, simjoin, spans, staging, vectors
 
 SIZE, OVERLAP, MIN_SUSPICIOUS, MIN_SOURCE = 60, 20, 20, 10
 
@@ -85,19 +85,22 @@ def dense_candidates(spark: SparkSession, sf_dir: str, branch: str, k: int = 500
     return with_chunks(simjoin.dense_top_k(vq, vs, k).where("score > 0"), a, b)
 
 
-def branches(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("tfidf", "esa")) -> DataFrame:
-    """One long table of the top documents of each branch."""
+def branches(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("tfidf", "esa"), lexical: DataFrame | None = None) -> DataFrame:
+    """One long table of the top documents of each branch; ``lexical``: candidates of the word n-gram branch, if they are at hand."""
     out = None
     for name in names:
-        found = lexical_candidates(spark, sf_dir, 1 if name == "tfidf" else 2) if name in ("tfidf", "esa") else dense_candidates(spark, sf_dir, name)
+        if name == "esa" and lexical is not None:
+            found = lexical
+        else:
+            found = lexical_candidates(spark, sf_dir, 1 if name == "tfidf" else 2) if name in ("tfidf", "esa") else dense_candidates(spark, sf_dir, name)
         order = {"tfidf": "tfidf", "embedding": "embedding"}.get(name, "lexical")
         top = ranking.top_documents(ranking.roll_up(found), order, 50 if name != "embedding" else 20).withColumn("branch", F.lit(name))
         out = top if out is None else out.unionByName(top)
     return out
 
 
-def fused(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("tfidf", "esa")) -> DataFrame:
-    return fusion.fuse(branches(spark, sf_dir, names), {k: fusion.WEIGHTS[k] for k in names})
+def fused(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("tfidf", "esa"), lexical: DataFrame | None = None) -> DataFrame:
+    return fusion.fuse(branches(spark, sf_dir, names, lexical), {k: fusion.WEIGHTS[k] for k in names})
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,13 +127,26 @@ def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("suspicious_doc_id"))
 
 
+def perplexities(a: DataFrame) -> DataFrame:
+    """``suspicious_chunk_id, perplexity`` of a chunk table under its own word frequencies."""
+    tf = vectors.counts(lexical_words(a), "chunk_id", "words")
+    return confirm.unigram_perplexity(tf).select(F.col("id").alias("suspicious_chunk_id"), "perplexity")
+
+
+def confirmation(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """Every candidate source with its rubric score, capped where the perplexities say word salad."""
+    a, b = chunks(spark, sf_dir)
+    pairs = confirm.build_pairs(lexical_candidates(spark, sf_dir) if found is None else found, a, b)
+    return confirm.confirm(pairs.join(perplexities(a), "suspicious_chunk_id", "left"), cap=confirm.word_salad(threshold=confirm.UNIGRAM_SALAD))
+
+
 def end_to_end(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("tfidf", "esa", "lsa", "embedding")) -> DataFrame:
     """Retrieval, fusion, gates, confirmation and span merging; one row for each detected span."""
-    kept = fusion.gates(fused(spark, sf_dir, names), list(names), min_top1=0.25, soft_branch=0.5).where("kept").select("suspicious_doc_id", "source_doc_id")
-    found = lexical_candidates(spark, sf_dir).join(kept, ["suspicious_doc_id", "source_doc_id"], "left_semi")
-    a, b = chunks(spark, sf_dir)
-    sure = confirm.confirm(confirm.build_pairs(found, a, b)).where("llm_is_likely_source").select("suspicious_doc_id", "source_doc_id", "llm_score")
-    return spans.merge_matches(found.where("score >= 0.3").join(sure.drop("llm_score"), ["suspicious_doc_id", "source_doc_id"], "left_semi"))
+    lexical = staging.written(lexical_candidates(spark, sf_dir), "lexical-candidates")
+    kept = fusion.gates(fused(spark, sf_dir, names, lexical), list(names), min_top1=0.25, soft_branch=0.5).where("kept").select("suspicious_doc_id", "source_doc_id")
+    found = staging.written(lexical.join(kept, ["suspicious_doc_id", "source_doc_id"], "left_semi"), "kept-candidates")
+    sure = confirmation(spark, sf_dir, found).where("llm_is_likely_source").select("suspicious_doc_id", "source_doc_id")
+    return spans.merge_matches(found.where("score >= 0.3").join(sure, ["suspicious_doc_id", "source_doc_id"], "left_semi"))
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,23 @@ CTES: dict[str, str] = {
     coalesce(tfidf_mean_score, 0) * (0.1e0 / 0.25e0) + coalesce(esa_mean_score, 0) * (0.15e0 / 0.25e0) as weighted_mean_score, coalesce(tfidf_max_score, 0) * (0.1e0 / 0.25e0) + coalesce(esa_max_score, 0) * (0.15e0 / 0.25e0) as weighted_max_score from wide""",
     "scored": "select *, 0.2e0 * weighted_mean_score + 0.8e0 * weighted_max_score as final_score from summed",
     "fused": """select * from (select *, row_number() over (partition by suspicious_doc_id order by final_score desc, methods_found_count desc, weighted_mean_score desc, weighted_max_score desc, source_doc_id) as final_rank from scored) where final_rank <= 20""",
+    "gated": f"""select {PAIR} from (select *, max(final_score) over (partition by suspicious_doc_id) as top1,
+    greatest(coalesce(max(tfidf_max_score) over (partition by suspicious_doc_id), 0), coalesce(max(esa_max_score) over (partition by suspicious_doc_id), 0)) as top_branch from fused)
+    where (top1 >= 0.25e0 or top_branch >= 0.5e0) and (final_score >= top1 * 0.85e0 or coalesce(tfidf_rank <= 3, false) or coalesce(esa_rank <= 3, false))""",
+    "lm": "select feature, sum(tf) as total from tfa1 group by feature",
+    "ppl": "select id, exp(-sum(tf * ln(total / (select sum(tf) from tfa1))) / sum(tf)) as perplexity from tfa1 join lm using (feature) group by id",
+    "pairs": f"""select k.*, list_distinct([substr(lower(a.chunk_text), i, 3) for i in range(1, length(a.chunk_text) - 1)]) as x, list_distinct([substr(lower(b.chunk_text), i, 3) for i in range(1, length(b.chunk_text) - 1)]) as y, perplexity
+    from (select *, row_number() over (partition by {PAIR} order by round(score, 9) desc, suspicious_chunk_id, source_chunk_id) as pair_rank from cand2) k
+    join cha a on a.chunk_id = k.suspicious_chunk_id join chb b on b.chunk_id = k.source_chunk_id left join ppl on ppl.id = k.suspicious_chunk_id where pair_rank <= 25""",
+    "shared": f"""select {PAIR}, count(*) as n_pairs, max(len(list_intersect(x, y)) / least(len(x), len(y))) as share, coalesce(avg((perplexity > 20000)::int) filter (pair_rank <= 10) >= 0.5, false) as capped from pairs group by {PAIR}""",
+    "stepped": "select *, case when share >= 0.9e0 then 1e0 when share >= 0.8e0 then 0.95e0 when share >= 0.7e0 then 0.85e0 when share >= 0.5e0 then 0.5e0 when share >= 0.3e0 then 0.25e0 else 0e0 end as step from shared",
+    "confirmed": "select *, case when capped then least(step, 0.25e0) else step end as llm_score from stepped",
+    "final_best": f"""select * from (select *, row_number() over (partition by suspicious_doc_id, suspicious_start_char, suspicious_end_char order by score desc, source_doc_id, source_start_char) as p
+    from cand2 where score >= 0.3 and ({PAIR}) in (select ({PAIR}) from gated) and ({PAIR}) in (select ({PAIR}) from confirmed where llm_score >= 0.85e0)) where p = 1""",
+    "final_marked": f"""select *, case when reach is null or suspicious_start_char - reach > 1800 then 1 else 0 end as new from (
+    select *, max(suspicious_end_char) over (partition by {PAIR} order by suspicious_start_char, suspicious_end_char rows between unbounded preceding and 1 preceding) as reach from final_best)""",
+    "final_isl": f"select *, sum(new) over (partition by {PAIR} order by suspicious_start_char, suspicious_end_char rows unbounded preceding) as island from final_marked",
+    "final_spans": f"select {PAIR}, min(suspicious_start_char) as suspicious_start_char, max(suspicious_end_char) as suspicious_end_char, max(score) as score from final_isl group by {PAIR}, island",
     "planted": """select d.doc_id as suspicious_doc_id, s.doc_id as source_doc_id, strpos(d.clean_text, s.clean_text) - 1 as suspicious_offset, length(s.clean_text) as suspicious_length,
     0 as source_offset, length(s.clean_text) as source_length from docs d join src s on length(s.clean_text) > 0 and contains(d.clean_text, s.clean_text)""",
     "best": f"""select * from (select *, row_number() over (partition by suspicious_doc_id, suspicious_start_char, suspicious_end_char order by score desc, source_doc_id, source_start_char) as p from cand2 where score >= 0.3) where p = 1""",

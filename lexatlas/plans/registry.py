@@ -489,10 +489,9 @@ def d12_branch_diagnostics(spark, sf):
     return fusion.branch_diagnostics(D.branches(spark, sf)).select("suspicious_doc_id", "branch", "top1_source", *r6("top1_score"))
 
 
-@query()
+@query(f"select {SQL_PAIR}, n_pairs::bigint as n_pairs, round(share, 6) as share, llm_score::double as llm_score, llm_score >= 0.85e0 as llm_is_likely_source, capped from confirmed")
 def d9_d10_confirmation(spark, sf):
-    pairs = confirm.build_pairs(D.lexical_candidates(spark, sf), *D.chunks(spark, sf)).withColumn("perplexity", F.lit(0.0))
-    return confirm.confirm(pairs, cap=confirm.word_salad()).select(*PAIR, "n_pairs", *r6("share"), "llm_score", "llm_is_likely_source", "capped")
+    return D.confirmation(spark, sf).select(*PAIR, "n_pairs", *r6("share"), "llm_score", "llm_is_likely_source", "capped")
 
 
 @query("select suspicious_doc_id, source_doc_id, count(*)::bigint as n from (select distinct k.suspicious_doc_id, k.source_doc_id, a.chunk_text as x, b.chunk_text as y from cand2 k join cha a on a.chunk_id = k.suspicious_chunk_id join chb b on b.chunk_id = k.source_chunk_id) group by all")
@@ -501,9 +500,19 @@ def d14_distinct_pairs(spark, sf):
     return confirm.distinct_pairs(pairs).groupBy(*PAIR).agg(F.count("*").alias("n"))
 
 
+_SPAN = ["suspicious_start_char", "suspicious_end_char"]
+
+
+@query(f"select {SQL_PAIR}, {sql_longs(*_SPAN)}, {sql_r6('score')} from final_spans")
+def d11_lexical_end_to_end(spark, sf):
+    """The whole chain over the branches that SQL can follow."""
+    return D.end_to_end(spark, sf, ("tfidf", "esa")).select(*PAIR, *longs(*_SPAN), *r6("score"))
+
+
 @query()
 def d11_end_to_end(spark, sf):
-    return D.end_to_end(spark, sf).select(*PAIR, "suspicious_start_char", "suspicious_end_char", *r6("score"))
+    """The whole chain over all four branches."""
+    return D.end_to_end(spark, sf).select(*PAIR, *longs(*_SPAN), *r6("score"))
 
 
 # evaluation

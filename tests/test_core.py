@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexatlas.functions import text as T
-from lexatlas.operators import chunking, evaluate, spans
+from lexatlas.operators import chunking, confirm, evaluate, simjoin, spans
 from lexatlas.plans import detection, registry
 from lexatlas.sources import io
 from lexatlas.streaming import incremental
@@ -169,3 +169,42 @@ def test_workers_find_the_package_from_any_folder(tmp_path):
     path = registry.__file__.rsplit("/", 3)[0] + "/__spark_entry__.py"
     done = subprocess.run([sys.executable, "-c", WORKER.format(path=path)], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_confirmation(spark):
+    chunk = lambda rows: spark.createDataFrame(rows, "chunk_id string, chunk_text string")
+    a, b = chunk([("q1", "abcdefghij"), ("q2", "zzzzzzzzzz")]), chunk([("s1", "abcdefghij"), ("s2", "abcde")])
+    found = spark.createDataFrame([(1, 5, "q1", "s1", 0.9), (1, 6, "q1", "s2", 0.8), (2, 5, "q2", "s1", 0.1), (3, 5, "q1", "s1", 0.9)], "suspicious_doc_id int, source_doc_id int, suspicious_chunk_id string, source_chunk_id string, score double")
+    pairs = confirm.build_pairs(found, a, b).withColumn("perplexity", F.when(F.col("suspicious_doc_id") == 3, 300.0).otherwise(10.0))
+    got = {(r.suspicious_doc_id, r.source_doc_id): (r.share, r.llm_score, r.llm_is_likely_source, r.capped) for r in confirm.confirm(pairs, cap=confirm.word_salad()).collect()}
+    assert got == {(1, 5): (1.0, 1.0, True, False), (1, 6): (1.0, 1.0, True, False), (2, 5): (0.0, 0.0, False, False), (3, 5): (1.0, 0.25, False, True)}
+    assert not any(r.capped for r in confirm.confirm(pairs).collect())
+
+
+def test_unigram_perplexity(spark):
+    tf = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("b", "x", 1)], "id string, feature string, tf long")
+    got = {r.id: r.perplexity for r in confirm.unigram_perplexity(tf).collect()}
+    assert abs(got["b"] - 4 / 3) < 1e-12 and abs(got["a"] - ((4 / 3) ** 2 * 4) ** (1 / 3)) < 1e-12
+
+
+def test_sparse_top_k(spark, monkeypatch):
+    rng = random.Random(1)
+    side = lambda name, n: [(f"{name}{i}", f"f{j}", rng.random()) for i in range(n) for j in sorted(rng.sample(range(30), 6))]
+    qs, ss = side("q", 40), side("s", 50)
+    want = {}
+    for i, f, w in qs:
+        for j, g, x in ss:
+            if f == g:
+                want[i, j] = want.get((i, j), 0) + w * x
+    q, s = (spark.createDataFrame(rows, "id string, feature string, w double") for rows in (qs, ss))
+    assert {(r.q, r.s): round(r.score, 9) for r in simjoin.sparse_cosine(q, s).collect()} == {k: round(v, 9) for k, v in want.items()}
+    best = {i: [j for _, j in sorted((-v, j) for (x, j), v in want.items() if x == i)[:3]] for i in {k[0] for k in want}}
+    for block, lane in ((4096, 16384), (7, 5)):
+        monkeypatch.setattr(simjoin, "LANE", lane)
+        monkeypatch.setattr(simjoin._sparse_blocks, "__defaults__", (block,))
+        got = {}
+        for r in simjoin.sparse_top_k(q, s, 3).orderBy("q", "rank").collect():
+            got.setdefault(r.q, []).append(r.s)
+        assert got == best
+    assert simjoin.sparse_top_k(q.where("false"), s, 3).count() == 0 == simjoin.sparse_top_k(q, s.where("false"), 3).count()
+    assert simjoin.sparse_cosine(s, s).count() > 50
