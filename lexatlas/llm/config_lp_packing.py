@@ -4,8 +4,10 @@ Documents become token ids plus an end id; only those longer than a sequence are
 piece lengths (at most ``capacity`` rows, whatever the corpus) goes to the driver.  There the configuration
 LP, whose columns are the ways to fill one sequence, is solved by multiplicative weights: prices on
 lengths are raised where an average solution covers too little, and a knapsack dynamic program prices
-the best configuration through each length.  The solution is rounded down to whole configurations and
-what is left is packed by best fit decreasing; sequences left partly empty are filled best-fit too.
+the best configuration through each length.  The solution is rounded down: configurations that fill a sequence
+are used in whole numbers, those of long pieces first.  What is left of the histogram is rounded up by the
+knapsack again, now bounded by what is left: each sequence takes the longest piece and the set of others that
+fills it best, as often as the supply allows.
 Pieces then take their slots by a rank within their length; that rank is made of bucket counts and a
 rank within a bucket, so a length that a third of all pieces share is no single task.
 
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,70 +144,59 @@ def fractional(count: np.ndarray, rounds: int = ROUNDS, near: float = NEAR) -> d
     return total
 
 
-def best_fit(count: np.ndarray, bins: dict[int, list[list]] | None = None) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit decreasing on a histogram; ``bins``: open sequences by room, as [configuration, times]."""
-    capacity = len(count) - 1
-    rooms: dict[int, list[list]] = bins or {}
-    keys = sorted(rooms)
-
-    def put(room: int, config: tuple[int, ...], times: int) -> None:
-        if room not in rooms:
-            rooms[room] = []
-            insort(keys, room)
-        rooms[room].append([config, times])
-
-    for n in range(capacity, 0, -1):
-        left = int(count[n])
-        while left:
-            k = bisect_left(keys, n)
-            if k == len(keys):
-                per = capacity // n
-                if left >= per:
-                    put(capacity - per * n, (n,) * per, left // per)
-                if left % per:
-                    put(capacity - left % per * n, (n,) * (left % per), 1)
-                break
-            room = keys[k]
-            config, times = rooms[room][-1]
-            fit = min(room // n, left)
-            used = min(times, left // fit)
-            rooms[room][-1][1] -= used
-            if not rooms[room][-1][1]:
-                rooms[room].pop()
-                if not rooms[room]:
-                    del rooms[room]
-                    keys.pop(k)
-            put(room - fit * n, (*config, *(n,) * fit), used)
-            left -= used * fit
-    return [(config, times) for group in rooms.values() for config, times in group]
+def fill(left: np.ndarray, capacity: int) -> list[int]:
+    """The longest piece left, and the set of others left that fills its sequence best, long ones preferred.
+
+    A knapsack whose values are the lengths: the reachable sums are the bits of an integer, one for each length tried.
+    """
+    first = int(np.flatnonzero(left)[-1])
+    room = capacity - first
+    reachable, mask, tried = 1, (1 << room + 1) - 1, []
+    for n in np.flatnonzero(left[: min(room, first) + 1])[::-1].tolist():
+        tried.append((n, reachable))
+        more, step = min(int(left[n]) - (n == first), room // n), 1
+        while more > 0:  # any number up to ``more``, by doubling
+            reachable |= reachable << n * min(step, more) & mask
+            more, step = more - step, 2 * step
+        if reachable >> room & 1:
+            break
+    config, total = [first], reachable.bit_length() - 1
+    for n, before in reversed(tried):
+        while not before >> total & 1:
+            config.append(n)
+            total -= n
+    return config
 
 
 def plan(count: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """Whole configurations with multiplicities that hold every piece of the histogram exactly once.
 
-    The fractional solution is rounded in order of weight: a configuration is used as often as its weight
-    says (rounded down) and as pieces remain; a share of its pieces that has run out is left as room, which
-    best fit fills with what remains.
+    Each use of ``fill`` takes all it can, which uses up a length or leaves less of it than one sequence takes; so the
+    number of configurations follows the number of lengths, not that of pieces.
     """
     left = count.astype(np.int64).copy()
     left[0] = 0
-    if not left.any():
-        return []
     out: list[tuple[tuple[int, ...], int]] = []
     capacity = len(count) - 1
-    full, left[capacity] = int(left[capacity]), 0
-    if full:
-        out.append(((capacity,), full))
+    if left[capacity]:
+        out.append(((capacity,), int(left[capacity])))
+        left[capacity] = 0
+
+    def use(config: tuple[int, ...], most: int | None = None) -> None:
+        need = {n: config.count(n) for n in config}
+        times = min(int(left[n]) // k for n, k in need.items())
+        times = times if most is None else min(times, most)
+        if times:
+            for n, k in need.items():
+                left[n] -= k * times
+            out.append((config, times))
+
     if left.any():
-        open_bins: dict[int, list[list]] = {}
-        for config, weight in sorted(fractional(left).items(), key=lambda x: (sum(x[0]) < capacity, -x[1], x[0])):
-            need = {n: config.count(n) for n in config}
-            times = min(int(weight), *(int(left[n]) // k for n, k in need.items()))
-            if times:
-                for n, k in need.items():
-                    left[n] -= k * times
-                open_bins.setdefault(capacity - sum(config), []).append([config, times])
-        out += best_fit(left, open_bins)
+        for config, weight in sorted(fractional(left).items(), key=lambda x: (-x[0][0], -x[1], x[0])):
+            if sum(config) == capacity:
+                use(config, int(weight))
+    while left.any():
+        use(tuple(fill(left, capacity)))
     return out
 
 
@@ -227,18 +217,22 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int | None = None) -
             seen[n] += times
             at += n
         seq += times
-    slots = spark.createDataFrame(rows or [], "slot_length long, lo long, hi long, first_sequence long, at long")
+    # bounded by the histogram, whatever the corpus: at most ROUNDS * capacity configurations and those of ``plan``
+    table = np.array(sorted(rows), np.int64).reshape(-1, 5)
+    keys = table[:, 0] << 48 | table[:, 1]
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rank = pdf["rank"].to_numpy()
+            k = np.searchsorted(keys, pdf["length"].to_numpy() << 48 | rank, side="right") - 1
+            yield pdf.drop(columns="rank").assign(sequence_id=table[k, 3] + rank - table[k, 1], offset=table[k, 4])
+
     # rank within a length: pieces of lower buckets, and the rank within the bucket
     per = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = per.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = cut.withColumn("own", own - 1).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("own"))
-    # a table of slots bounded by the histogram: each row of it names a run of ranks of one length
-    width = 64
-    slots = slots.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
-    hit = (F.col("length") == F.col("slot_length")) & (F.floor(F.col("rank") / width) == F.col("cell")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    placed = ranked.join(slots, hit)
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), F.col("at").alias("offset"))
+    return map_by_id(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, path: str, ranks_path: str, capacity: int = CAPACITY) -> DataFrame:
