@@ -31,14 +31,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_by_id, parts, release_shuffles, staged
+from .common import documents, map_by_id, parts, release_shuffles, staged, trim
 from .induced_sort import suffix_order
 
 LEAST, GRAM = 50, 20
 #: Text bytes for each group of hashes, and passage bytes for each sorted shard.
 GROUP_BYTES, SHARD_BYTES = 12 << 20, 2 << 20
-#: Windows of hot hashes that a worker holds at once.
+#: Windows of hot hashes that a worker holds at once; characters whose passages it collapses at once, and hashes at once.
 WINDOWS = 1 << 17
+COLLAPSED, HASHED = 8 << 20, 1 << 18
 _LAST = (1 << 63) - 1
 _C1, _C2, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -160,11 +161,11 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
         return out.view("<u8").ravel()
 
     h, c = wide(5), wide(6)
-    step, size = take(n, "<u4").astype(np.int64), take(n, "<u4").astype(np.int64)
+    step, size = take(n, "<u4").astype(np.int64), take(n, "<u4").astype(np.int32)
     doc, tag, count = np.cumsum(take(runs, "<i8")), take(runs, "<u4").astype(np.int64), take(runs, "<u4").astype(np.int64)
     first = np.repeat(np.cumsum(count) - count, count)
     total = np.cumsum(step)
-    return {"h": h, "c": c, "doc": np.repeat(doc, count), "tag": np.repeat(tag, count), "start": total - total[first] + step[first], "size": size}
+    return {"h": h, "c": c, "doc": np.repeat(doc, count), "tag": np.repeat(tag, count), "start": (total - total[first] + step[first]).astype(np.int32), "size": size}
 
 
 def _leaders(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +181,8 @@ def _leaders(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _removed(e: dict[str, np.ndarray], gone: np.ndarray) -> list[tuple[int, int, bytes]]:
-    return _spans(e["doc"][gone], e["tag"][gone], e["start"][gone], e["start"][gone] + e["size"][gone])
+    start = e["start"][gone].astype(np.int64)
+    return _spans(e["doc"][gone], e["tag"][gone], start, start + e["size"][gone])
 
 
 def _portions(pdf: pd.DataFrame, chars: int) -> Iterator[pd.DataFrame]:
@@ -191,18 +193,18 @@ def _portions(pdf: pd.DataFrame, chars: int) -> Iterator[pd.DataFrame]:
 
 def _deal(groups: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in (part for whole in batches for part in _portions(whole, 8 << 20)):
+        for pdf in (part for whole in batches for part in _portions(whole, COLLAPSED)):
             found: list[dict] = []
-            for part in _portions(pdf, 1 << 20):
+            for part in _portions(pdf, HASHED):
                 raw = [t.encode() for t in part["text"]]
                 end = np.cumsum([len(x) for x in raw])
                 begin = end - np.array([len(x) for x in raw])
                 owner, a, b, h, c = passages(b"".join(raw), begin, end)
                 if len(owner):
-                    found.append({"h": h, "c": c, "doc": part["rank_id"].to_numpy()[owner], "tag": part["tag"].to_numpy()[owner], "start": a - begin[owner], "size": b - a})
+                    found.append({"h": h, "c": c, "doc": part["rank_id"].to_numpy()[owner], "tag": part["tag"].to_numpy()[owner], "start": (a - begin[owner]).astype(np.int32), "size": (b - a).astype(np.int32)})
             if not found:
                 continue
-            e = {x: np.concatenate([f[x] for f in found]) for x in _ENTRY}
+            e = {x: np.concatenate([f.pop(x) for f in found]) for x in _ENTRY}
             stay, gone = _leaders(e)
             rows: list[tuple] = [(-1, *x, None) for x in _removed(e, gone)]
             shard = (e["h"][stay] % np.uint64(groups)).astype(np.int32)
@@ -211,6 +213,8 @@ def _deal(groups: int):
             stay, shard = stay[order], shard[order]
             cut = _starts(shard).tolist()
             rows += [(int(shard[lo]), 0, 0, None, _pack(e, stay[lo:hi])) for lo, hi in zip(cut, [*cut[1:], len(shard)])]
+            del e, found, stay, gone, shard, order
+            trim()
             yield pd.DataFrame(rows, columns=["shard", "rank_id", "tag", "spans", "entries"])
 
     return run
@@ -226,7 +230,7 @@ def _decide(hot_bytes: int):
         rows: list[tuple] = [(d, t, s, None, None, None, None, 0) for d, t, s in zip(pdf["rank_id"], pdf["tag"], pdf["spans"]) if s is not None]
         blobs = [_unpack(b) for b in pdf["entries"] if b is not None]
         if blobs:
-            e = {x: np.concatenate([b[x] for b in blobs]) for x in _ENTRY}
+            e = {x: np.concatenate([b.pop(x) for b in blobs]) for x in _ENTRY}
             stay, gone = _leaders(e)
             rows += [(*x, None, None, None, None, 0) for x in _removed(e, gone)]
             stay = stay[np.argsort(e["h"][stay], kind="stable")]
@@ -235,16 +239,18 @@ def _decide(hot_bytes: int):
             many = np.diff(np.r_[first, len(h)])
             # different passages of different documents under one hash
             mixed = np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), many)
-            hot = np.repeat(np.add.reduceat(e["size"][stay], first) > hot_bytes, many)[mixed] if len(h) else mixed
+            hot = np.repeat(np.add.reduceat(e["size"][stay].astype(np.int64), first) > hot_bytes, many)[mixed] if len(h) else mixed
             need = stay[mixed]
             order = np.lexsort((e["tag"][need], e["doc"][need]))
             need, hot = need[order], hot[order]
             doc, tag = e["doc"][need], e["tag"][need]
-            weight = np.where(hot, LEAST * (e["size"][need] - LEAST + 1), e["size"][need])
+            weight = np.where(hot, LEAST * (e["size"][need].astype(np.int64) - LEAST + 1), e["size"][need])
             cut = _starts(doc, tag).tolist()
             for lo, hi in zip(cut, [*cut[1:], len(need)]):
                 at = need[lo:hi]
-                rows.append((int(doc[lo]), int(tag[lo]), None, e["h"][at].tobytes(), e["start"][at].tobytes(), e["size"][at].tobytes(), hot[lo:hi].tobytes(), int(weight[lo:hi].sum())))
+                rows.append((int(doc[lo]), int(tag[lo]), None, e["h"][at].tobytes(), e["start"][at].astype(np.int64).tobytes(), e["size"][at].astype(np.int64).tobytes(), hot[lo:hi].tobytes(), int(weight[lo:hi].sum())))
+            del e, blobs
+        trim()
         return pd.DataFrame(rows, columns=["rank_id", "tag", "spans", "h", "start", "size", "hot", "bytes"])
 
     return run
@@ -313,6 +319,8 @@ def _fetch(shards: int):
                             yield rows(*_collapsed(hot, shards))
                             hot, held = [], 0
             yield rows(found)
+            del found
+            trim()
             if hot:
                 yield rows(*_collapsed(hot, shards))
 
@@ -358,6 +366,7 @@ def _sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         place = start[np.repeat(np.cumsum(count)[who] - last, many) + np.arange(many.sum())] + np.repeat(at, many)
         who = np.repeat(who, many)
         rows += _spans(doc[who], tag[who], place, place + LEAST)
+    trim()
     return pd.DataFrame(rows, columns=["rank_id", "tag", "spans"])
 
 
@@ -376,6 +385,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at = b
             kept = b"".join([*kept, raw[at:]])
             rows.append((doc_id, len(raw), int((cut[:, 1] - cut[:, 0]).sum()), len(cut), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in cut.tolist()]))
+        trim()
         yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
