@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import crc_fold, documents
 
 WIDTH, FILTERS, CHUNK, STRIDE = 5, 16, 256, 192
-#: Bounds of training: labelled rows taken, and chunks of each that are learned from (evenly spaced).
-MAX_ROWS, MAX_CHUNKS = 4000, 8
+#: Bounds of the sample that is learned from: labelled rows, and bytes of their texts; whole rows in order of an id hash.
+MAX_ROWS, MAX_BYTES = 4000, 32 << 20
 EPOCHS, BATCH, RATE, DECAY = 14, 32, 0.02, 1e-4
 THRESHOLD = 0.3
 _BLOCK = 4096
@@ -65,14 +65,12 @@ def score_texts(texts: list[bytes], model: dict) -> np.ndarray:
 
 
 def training_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """At most MAX_CHUNKS chunks of each labelled text, evenly spaced over all of it."""
+    """All chunks of each labelled text, as they are scored."""
     for pdf in batches:
         rows = []
         for doc_id, text, label in zip(pdf["doc_id"], pdf["text"], pdf["label"]):
             data = (text or "").encode()
             starts = np.arange(0, max(1, len(data) - (CHUNK - STRIDE)), STRIDE)
-            if len(starts) > MAX_CHUNKS:
-                starts = starts[np.linspace(0, len(starts) - 1, MAX_CHUNKS).astype(int)]
             for s in starts:
                 rows.append((doc_id, int(label), max(1, min(CHUNK, len(data) - int(s))), data[s : s + CHUNK + WIDTH - 1].ljust(CHUNK + WIDTH - 1, b"\0")))
         yield pd.DataFrame(rows, columns=["doc_id", "label", "n", "data"])
@@ -133,12 +131,24 @@ def fit(chunks: pd.DataFrame, seed: int = 7) -> dict:
     return p
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
-    """Fit on the ``max_rows`` labelled rows with the lowest id hash among those not held out."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> dict:
+    """Fit on labelled rows that are not held out: those with the lowest id hash, up to ``max_rows`` and ``max_bytes`` of text.
+
+    A text beyond ``max_bytes`` by itself is passed over; all chunks of the others are learned from.
+    """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label is not null and doc_id is not null").where(crc_fold(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # the sample has max_rows rows of two integers at most, whatever the corpus: its size is proven
-    rows = documents(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+    rows = documents(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    size = {(r["doc_id"], r["n"]): r["times"] for r in rows.groupBy("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).agg(F.count("*").alias("times"), F.min(F.xxhash64("doc_id")).alias("place")).orderBy("place", "doc_id").limit(max_rows).collect()}
+    held, taken = 0, []
+    for (doc_id, n), times in size.items():
+        held += n * times
+        if held > max_bytes:
+            break
+        taken.append(doc_id)
+    if held > max_bytes:  # else every row of the sample is taken
+        rows = rows.where(F.col("doc_id").isin(taken))
     return fit(rows.mapInPandas(training_chunks, "doc_id long, label int, n int, data binary").toPandas())
 
 
