@@ -1,10 +1,15 @@
 """Chat formatting by quotation linking.
 
 Lines that begin with ``>`` are quotes; the number of marks is the nesting level, and consecutive lines of
-one level are a passage.  Quoted lines are normalised (marks off, lower case, white space collapsed) and
-hashed; the hashes are joined to the unquoted lines of original messages, first of the same conversation
-(the earliest message before the quoting one), else of any other (the earliest by conversation and turn).  The message that a first-level quote comes from
-is the parent; the deepest ties go to the latest turn.  Conversations are then ordered by reply: threads by
+one level are a passage, which a blank quoted line ends.  Passages are normalised (marks off, lower case, white
+space collapsed, line breaks included), so a re-wrapped quote equals its original.  A passage of any length links to
+a message whose unquoted text has its words in a row, all of its message or any part.  To find it, runs of words are
+hashed: a passage asks for one of its runs (the one with the smallest hash, of 8 words if it has as many, else of 4, or
+all of it), messages answer with the runs that somebody asks for, and what meets is confirmed on the texts.
+
+The origin is the earliest such message of the same conversation before the quoting one, else the earliest (by
+conversation and turn) of another conversation.  The message that a first-level quote comes from
+is the parent; of several the latest turn.  Conversations are then ordered by reply: threads by
 their root's turn, within a thread by depth and turn, with all quoted lines taken out.
 
 Cases: null texts are empty messages; a message whose quotes are found nowhere, or that has none, begins a
@@ -17,38 +22,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.chunking import bound
 from .common import drop_staged, staged
 
-#: Quoted lines shorter than this after normalisation link nothing.
-MIN_CHARS = 8
+#: Lengths of the runs of words that are hashed; a passage asks with the longest that fits it.
+RUNS = (8, 4, 3, 2, 1)
 
 
 def _marks(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, r"^((?:[ \t]*>)+)", 1), r"[ \t]", ""))
 
 
-def _norm(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, r"^(?:[ \t]*>)+", ""), r"\s+", " ")))
+def _bare(line: Column) -> Column:
+    return F.regexp_replace(line, r"^(?:[ \t]*>)+", "")
 
 
-def quoted_lines(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, line_no, level, passage, norm, h`` of every line; level 0 is unquoted."""
-    lines = messages.select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return lines.select("conv_id", "turn", "line_no", _marks(F.col("line")).alias("level"), _norm(F.col("line")).alias("norm")).withColumn("h", F.xxhash64("norm")).where(F.length("norm") >= MIN_CHARS)
+def passages(messages: DataFrame) -> DataFrame:
+    """``conv_id, turn, place, level, norm``: passages in order, level 0 being unquoted text."""
+    lines = F.split(F.translate(F.coalesce("text", F.lit("")), "\x01\x02", "  "), "\n")
+    marked = F.transform(lines, lambda x: F.struct(_marks(x).alias("level"), F.trim(F.regexp_replace(_bare(x), r"\s+", " ")).alias("words")))
+
+    def glued(rows: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            last = F.element_at(rows, F.greatest(i, F.lit(1)))
+            goes_on = (i > 0) & (last["level"] == x["level"]) & ((x["level"] == 0) | (last["words"] != "") & (x["words"] != ""))
+            return F.when(goes_on, F.concat(F.lit(" "), x["words"])).otherwise(F.concat(F.lit("\x01"), x["level"].cast("string"), F.lit("\x02"), x["words"]))
+
+        return F.split(F.array_join(F.transform(rows, one), ""), "\x01")
+
+    cut = messages.select("conv_id", "turn", F.posexplode(bound(marked, glued)).alias("place", "piece")).where("piece <> ''")
+    half = F.split("piece", "\x02")
+    norm = F.lower(F.trim(F.regexp_replace(half[1], " +", " ")))
+    return cut.select("conv_id", "turn", "place", half[0].cast("int").alias("level"), norm.alias("norm")).where("norm <> ''")
+
+
+def _hashes(words: Column, n: int) -> Column:
+    """Hashes of all runs of ``n`` words."""
+    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(words, i, n), " ")))
+
+
+def _asking(norm: Column) -> Column:
+    """The hash that a passage asks with."""
+    def smallest(words: Column) -> Column:
+        best = F.lit(None).cast("long")
+        for n in reversed(RUNS):
+            best = F.when(F.size(words) >= n, F.array_min(_hashes(words, n))).otherwise(best)
+        return best
+
+    return bound(F.split(norm, " "), smallest)
 
 
 def links(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, level, from_conv, from_turn``: one row for each quoting message, level and origin."""
-    lines = quoted_lines(messages).where("conv_id is not null and turn is not null")
-    quotes = lines.where("level > 0").select("conv_id", "turn", "level", "h", "norm").distinct()
-    plain = lines.where("level = 0").select("conv_id", "turn", "h", "norm")
-    # only what somebody quotes is grouped; a hot line is one row after map-side combine
-    asked = quotes.select("h", "norm").distinct()
-    origin = staged(plain.join(asked, ["h", "norm"], "left_semi").groupBy("h", "norm", "conv_id").agg(F.min("turn").alias("t")), "origins")
-    near = quotes.join(origin, ["h", "norm", "conv_id"], "left").select("conv_id", "turn", "level", "h", "norm", F.when(F.col("t") < F.col("turn"), F.col("t")).alias("t"))
-    found = near.where("t is not null").select("conv_id", "turn", "level", F.col("conv_id").alias("from_conv"), F.col("t").alias("from_turn"))
-    other = origin.groupBy("h", "norm").agg(F.min(F.struct("conv_id", "t")).alias("lo"), F.max(F.struct("conv_id", "t")).alias("hi"))
-    far = near.where("t is null").join(other, ["h", "norm"]).withColumn("o", F.when(F.col("lo.conv_id") != F.col("conv_id"), F.col("lo")).otherwise(F.col("hi"))).where("o.conv_id <> conv_id")
+    parts = passages(messages).where("conv_id is not null and turn is not null")
+    quotes = staged(parts.where("level > 0").select("conv_id", "turn", "level", "norm").distinct().withColumn("h", _asking(F.col("norm"))), "quotes")
+    asked = staged(quotes.select("h").distinct(), "asked")  # its size is known when the join is planned
+    plain = parts.where("level = 0").select("conv_id", "turn", "place", "norm")
+    answers = F.array_distinct(bound(F.split("norm", " "), lambda w: F.concat(*(_hashes(w, n) for n in RUNS))))
+    hits = staged(plain.select("conv_id", "turn", "place", F.explode(answers).alias("h")).join(asked, "h", "left_semi").distinct(), "hits")
+
+    def confirmed(wanted: DataFrame, on: list[str]) -> DataFrame:
+        """``conv_id, turn, norm`` of messages that hold a wanted passage."""
+        met = wanted.withColumnRenamed("norm", "quote").join(hits, on)
+        return met.join(plain, ["conv_id", "turn", "place"]).where(F.concat(F.lit(" "), "norm", F.lit(" ")).contains(F.concat(F.lit(" "), "quote", F.lit(" ")))).select("conv_id", "turn", F.col("quote").alias("norm"))
+
+    # one row for each passage and conversation: quoting a hot passage often doesn't multiply what it meets
+    near = confirmed(quotes.select("conv_id", "norm", "h").distinct(), ["conv_id", "h"]).groupBy("conv_id", "norm").agg(F.min("turn").alias("t"))
+    known = staged(quotes.join(near, ["conv_id", "norm"], "left").withColumn("t", F.when(F.col("t") < F.col("turn"), F.col("t"))), "known")
+    found = known.where("t is not null").select("conv_id", "turn", "level", F.col("conv_id").alias("from_conv"), F.col("t").alias("from_turn"))
+    lost = known.where("t is null")
+    origin = staged(confirmed(lost.select("norm", "h").distinct(), ["h"]).groupBy("norm", "conv_id").agg(F.min("turn").alias("t")), "origins")
+    first = origin.groupBy("norm").agg(F.min(F.struct("conv_id", "t")).alias("first"))
+    second = origin.join(first, "norm").where(F.col("conv_id") != F.col("first.conv_id")).groupBy("norm").agg(F.min(F.struct("conv_id", "t")).alias("second"))
+    far = lost.join(first.join(second, "norm", "left"), "norm").withColumn("o", F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))).where("o is not null")
     return found.union(far.select("conv_id", "turn", "level", "o.conv_id", "o.t")).distinct()
 
 
