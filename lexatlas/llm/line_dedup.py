@@ -4,6 +4,8 @@ Every document is split into units; a unit is normalised (lower case, white spac
 128 bits.  Digests are grouped over the whole corpus with map-side combine, the occurrence with the lowest
 (doc_id, unit) is kept and all others are removed; spans of what is removed are offsets (code points, end
 exclusive) of the original text.  Units of every length take part; ``min_words`` can exempt short ones.
+Texts are parsed once.  The few digests that make up a notable share of all units are looked up by a broadcast, so
+that no task gets all occurrences of one; the others meet their first occurrence by a shuffle.
 
 Cases: a null or empty text has no unit to remove and keeps its (empty) text; blank units stay; a null doc_id ranks last;
 within a document a repeated unit is removed but for its first occurrence; rows equal in doc_id and text
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_by_id
+from .common import documents, map_by_id, parts, staged
 
 MIN_WORDS = 1
 _SEPARATOR = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r\f\v]*\n\s*")}
@@ -45,12 +47,12 @@ def _units(unit: str, min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for key, doc_id, text in zip(pdf["row_key"], pdf["doc_id"], pdf["text"]):
+            for key, rank_id, text in zip(pdf["row_key"], pdf["rank_id"], pdf["text"]):
                 for k, (a, b) in enumerate(split_units(text, unit)):
                     norm = normalise(text[a:b])
                     if norm.count(" ") + 1 >= min_words and norm:
                         d = xxhash.xxh3_128_intdigest(norm.encode())
-                        rows.append((key, doc_id, k, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)))
+                        rows.append((key, rank_id, k, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)))
             yield pd.DataFrame(rows, columns=["row_key", "rank_id", "unit", "d1", "d2"])
 
     return run
@@ -84,11 +86,21 @@ def _apply(unit: str):
 
 def dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, text`` (what is kept), ``n_units, removed`` (spans of the original text) of every document."""
-    docs = documents(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    source = docs.where("text is not null and text <> ''").select("row_key", F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
-    units = source.mapInPandas(_units(unit, min_words), "row_key long, rank_id long, unit int, d1 long, d2 long")
-    # one row for each digest that occurs again; hot digests are combined before the shuffle
-    first = units.groupBy("d1", "d2").agg(F.min(F.struct("rank_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
-    later = units.join(first, ["d1", "d2"]).where((F.col("rank_id") != F.col("first.rank_id")) | (F.col("unit") != F.col("first.unit")))
-    gone = later.groupBy("row_key").agg(F.collect_set("unit").alias("gone"))  # at most a document's units
-    return map_by_id(docs.join(gone, "row_key", "left").select("doc_id", "text", "gone"), _apply(unit), "doc_id long, text string, n_units int, removed array<struct<start:int,end:int>>")
+    spark = docs.sparkSession
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    docs = documents(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", rank.alias("rank_id"), F.xxhash64("doc_id", "text").alias("row_key"))
+    source = docs.where("text is not null and text <> ''").select("row_key", "rank_id", "text")
+    units = staged(source.mapInPandas(_units(unit, min_words), "row_key long, rank_id long, unit int, d1 long, d2 long"), "units")
+    # one row for each digest that occurs again, combined before the shuffle
+    first = units.groupBy("d1", "d2").agg(F.min(F.struct("rank_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = staged(first, "first")
+    # a digest is hot beyond this share of the repeated units, so there are at most ``most`` hot ones, whatever the corpus
+    most = 4 * parts(spark)
+    limit = (first.agg(F.sum("n")).first()[0] or 0) // most
+    hot, cold = (first.where(x).select("d1", "d2", "first") for x in (F.col("n") > limit, F.col("n") <= limit))
+    again = (F.col("rank_id") != F.col("first.rank_id")) | (F.col("unit") != F.col("first.unit"))
+    later = units.join(F.broadcast(hot), ["d1", "d2"]).where(again).select("rank_id", "row_key", "unit")
+    rest = units.join(F.broadcast(hot), ["d1", "d2"], "left_anti").join(cold, ["d1", "d2"]).where(again).select("rank_id", "row_key", "unit")
+    gone = later.union(rest).groupBy("rank_id", "row_key").agg(F.collect_set("unit").alias("gone"))  # at most a document's units
+    out = docs.join(gone, ["rank_id", "row_key"], "left").select("doc_id", "text", "gone")
+    return map_by_id(out, _apply(unit), "doc_id long, text string, n_units int, removed array<struct<start:int,end:int>>")
