@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,14 @@ def shares(df: DataFrame, col: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row for each value
 
 
+def with_subset_shares(df: DataFrame, col: str, inside: Column) -> DataFrame:
+    """Counts and shares of each value over all rows, and over those ``inside`` a subset."""
+    n = df.groupBy(col).agg(F.count("*").alias("n"), F.count_if(inside).alias("n_subset"))
+    total = Window.partitionBy()  # one row for each value
+    share = lambda c: F.when(F.sum(c).over(total) > 0, F.col(c) / F.sum(c).over(total)).otherwise(0.0)
+    return n.withColumns({"share": share("n"), "share_subset": share("n_subset")})
+
+
 def pivot_counts(df: DataFrame, by: str, category: str, values: list[str]) -> DataFrame:
     """Rows of ``by`` with a count for each of the fixed values, 0 where there is none."""
     return df.groupBy(by).agg(*(F.count_if(F.col(category) == v).alias(v) for v in values))

@@ -31,6 +31,11 @@ def first_of(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_first", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_first = 1").drop("_first")
 
 
-def ratio_to_top(ranked: DataFrame, score: str = "final_score", by: str = "suspicious_doc_id") -> DataFrame:
-    top = F.max(score).over(Window.partitionBy(by))
-    return ranked.withColumn("ratio_to_top1", F.col(score) / top)
+def ids_containing(df: DataFrame, part: str, col: str = "doc_id") -> DataFrame:
+    """Rows whose id has ``part`` in it, in any case; an empty part keeps all."""
+    return df.where(F.contains(F.lower(F.col(col).cast("string")), F.lit(part.lower())))
+
+
+def first_documents(df: DataFrame, n: int, col: str = "doc_id") -> DataFrame:
+    """The first ``n`` rows by id: a top-n, so no partition sends more than n."""
+    return df.orderBy(col).limit(n)

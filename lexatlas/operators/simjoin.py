@@ -83,13 +83,23 @@ def _sparse_blocks(queries: DataFrame, sources: DataFrame, k: int | None, block:
 
 def dense_top_k(queries: DataFrame, sources: DataFrame, k: int = 500, block: int = 4096) -> DataFrame:
     """Exact top-k by inner product: sources in blocks, each query meets every block in a matrix product."""
+    return top_k(_dense_blocks(queries, sources, k, block), k)
+
+
+def pairwise(queries: DataFrame, sources: DataFrame, block: int = 4096) -> DataFrame:
+    """``q, s, score``: the whole matrix of inner products of a stated query set, in blocks."""
+    return _dense_blocks(queries, sources, None, block)
+
+
+def _dense_blocks(queries: DataFrame, sources: DataFrame, k: int | None, block: int) -> DataFrame:
     import numpy as np
     import pandas as pd
 
     kind = dict(queries.dtypes)["id"]
     blocks = max(1, -(-sources.count() // block))
     s = sources.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    q = queries.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    # names of their own: both sides may come from one table
+    q = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
 
     def solve(sp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
         if not len(sp) or not len(qp):
@@ -98,13 +108,12 @@ def dense_top_k(queries: DataFrame, sources: DataFrame, k: int = 500, block: int
         x, ids, out = np.stack(sp["v"].to_numpy()).astype(float), sp["id"].to_numpy(), []
         for a in range(0, len(qp), 1024):
             part = qp.iloc[a : a + 1024]
-            scores = np.stack(part["v"].to_numpy()).astype(float) @ x.T
+            scores = np.stack(part["qv"].to_numpy()).astype(float) @ x.T
             order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"q": np.repeat(part["id"].to_numpy(), order.shape[1]), "s": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}))
+            out.append(pd.DataFrame({"q": np.repeat(part["qid"].to_numpy(), order.shape[1]), "s": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}))
         return pd.concat(out)
 
-    local = s.groupBy("b").cogroup(q.groupBy("b")).applyInPandas(solve, f"q {kind}, s {dict(sources.dtypes)['id']}, score double")
-    return top_k(local, k)
+    return s.groupBy("b").cogroup(q.groupBy("qb")).applyInPandas(solve, f"q {kind}, s {dict(sources.dtypes)['id']}, score double")
 
 
 def threshold_search(scored: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:

@@ -22,11 +22,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which goes when the session ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once and read back, for plans that use it several times; the files go when the session ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{fresh_folder(spark, label)}/rows"
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

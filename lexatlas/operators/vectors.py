@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from . import chunking, staging
+
 
 def counts(chunks: DataFrame, id_col: str, grams: str) -> DataFrame:
     """``id, feature, tf`` from an array column of features."""
@@ -40,54 +43,98 @@ def hashed_embedding(tf: DataFrame, dims: int = 64) -> DataFrame:
     return v.select("id", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y))).alias("v"))
 
 
-def lsa(weights: DataFrame, components: int = 200, features: int = 2048, seed: int = 42) -> tuple[DataFrame, np.ndarray, list[str]]:
+#: Features of a latent space at most (by corpus frequency), columns beyond the components, and rounds of the subspace iteration.
+FEATURES, EXTRA, ROUNDS = 100_000, 10, 5
+_PART = 1024
+
+
+def _indexed(weights: DataFrame, vocab: list[str]) -> DataFrame:
+    """``id, j, w``: rows as arrays of feature numbers and weights; rows without a known feature are empty."""
+    places = weights.sparkSession.createDataFrame(pd.DataFrame({"feature": vocab, "place": np.arange(len(vocab), dtype=np.int32)}))
+    known = weights.join(F.broadcast(places), "feature", "left")  # FEATURES rows at most
+    return known.groupBy("id").agg(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "w"))).alias("fs")).select("id", F.col("fs.place").alias("j"), F.col("fs.w").alias("w"))
+
+
+def _times(pdf: pd.DataFrame, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows times ``right``; and the rows' entries as (row, feature, weight)."""
+    sizes = pdf["j"].map(len).to_numpy()
+    row = np.repeat(np.arange(len(pdf)), sizes)
+    j = np.concatenate([np.zeros(0, np.int32), *pdf["j"]]).astype(np.int64)
+    w = np.concatenate([np.zeros(0), *pdf["w"]])
+    out = np.zeros((len(pdf), right.shape[1]))
+    step = max(1, (1 << 22) // right.shape[1])  # entries whose products are held at once
+    for a in range(0, len(j), step):
+        b = row[a : a + step]
+        first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        out[b[first]] += np.add.reduceat(right[j[a : a + step]] * w[a : a + step, None], first, axis=0)
+    return out, row, j, w
+
+
+def _gram_times(rows: DataFrame, right: np.ndarray) -> np.ndarray:
+    """A^T (A right) for the rows A: partitions add up parts of it, parts are added by feature range."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros_like(right)
+        for pdf in batches:
+            for a in range(0, len(pdf), 2048):
+                left, row, j, w = _times(pdf.iloc[a : a + 2048], right)
+                order = np.argsort(j, kind="stable")
+                for lo in range(0, len(order), 1 << 14):
+                    o = order[lo : lo + (1 << 14)]
+                    first = np.flatnonzero(np.r_[True, j[o][1:] != j[o][:-1]])
+                    total[j[o][first]] += np.add.reduceat(left[row[o]] * w[o, None], first, axis=0)
+        some = [k for k in range(0, len(total), _PART) if total[k : k + _PART].any()]
+        yield pd.DataFrame({"part": np.array(some, np.int32), "sums": [total[k : k + _PART].tobytes() for k in some]})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in pdf["sums"])
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "sums": [total.tobytes()]})
+
+    out = np.zeros_like(right)
+    parts = rows.mapInPandas(run, "part int, sums binary").groupBy("part").applyInPandas(added, "part int, sums binary")
+    for r in parts.toLocalIterator():  # as many numbers as ``right`` has
+        x = np.frombuffer(r["sums"]).reshape(-1, right.shape[1])
+        out[r["part"] : r["part"] + len(x)] = x
+    return out
+
+
+def lsa(weights: DataFrame, components: int = 200, features: int = FEATURES, seed: int = 42, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, list[str]]:
     """Latent semantic vectors ``id, v`` (unit length), the projection and its features.
 
-    The ``features`` most frequent ones are kept, so the Gram matrix is bounded; partitions add up their
-    part of it in the workers and only sums travel.  Its eigenvectors are the right singular vectors.
+    A randomised subspace iteration: each round multiplies the rows with a thin matrix of ``features`` times
+    (components + EXTRA) numbers, which is all that the driver and a worker hold (168 MB at the bound).
     """
     vocab = [r["feature"] for r in weights.groupBy("feature").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "feature").limit(features).collect()]
     if len(vocab) < 3:
         raise ValueError("LSA needs at least three features")
     k = min(components, len(vocab) - 1)
-    place = {f: i for i, f in enumerate(vocab)}
-    rows = weights.where(F.col("feature").isin(vocab) if len(vocab) <= 256 else F.lit(True)).groupBy("id").agg(F.collect_list(F.struct("feature", "w")).alias("fs"))
+    rows = staging.written(_indexed(weights, vocab), "latent-rows")
+    wide = min(len(vocab), k + EXTRA)
+    basis = np.eye(wide) if wide == len(vocab) else np.linalg.qr(np.random.default_rng(seed).normal(size=(len(vocab), wide)))[0]
+    for _ in range(0 if wide == len(vocab) else rounds):
+        basis = np.linalg.qr(_gram_times(rows, basis))[0]
+    values, turn = np.linalg.eigh(basis.T @ _gram_times(rows, basis))
+    projection = basis @ turn[:, np.argsort(-values, kind="stable")[:k]]
+    return _projected(rows, projection), projection, vocab
 
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(place), len(place)), np.float64)
-        for pdf in batches:
-            x = dense(pdf["fs"], place)
-            total += x.T @ x
-        yield pd.DataFrame({"k": np.arange(len(place)), "row": list(total)})
-
-    parts = rows.mapInPandas(gram, "k int, row array<double>")
-    summed = parts.select("k", F.posexplode("row").alias("j", "x")).groupBy("k", "j").agg(F.sum("x").alias("x")).where("x <> 0")
-    g = np.zeros((len(vocab), len(vocab)))
-    got = summed.toPandas()  # features^2 numbers at most
-    g[got["k"], got["j"]] = got["x"]
-    values, vectors = np.linalg.eigh(g)
-    projection = vectors[:, np.argsort(-values)[:k]]
-    return project(rows, projection, vocab), projection, vocab
-
-
-def dense(rows: pd.Series, place: dict[str, int]) -> np.ndarray:
-    x = np.zeros((len(rows), len(place)))
-    for i, fs in enumerate(rows):
-        for f in fs:
-            j = place.get(f["feature"])
-            if j is not None:
-                x[i, j] = f["w"]
-    return x
-
-
-def project(rows: DataFrame, projection: np.ndarray, vocab: list[str]) -> DataFrame:
-    """Unit vectors of ``id, fs`` rows in the latent space; rows without a known feature are zero."""
-    place = {f: i for i, f in enumerate(vocab)}
 
+def _projected(rows: DataFrame, projection: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            v = dense(pdf["fs"], place) @ projection
+            v = _times(pdf, projection)[0]
             norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
             yield pd.DataFrame({"id": pdf["id"], "v": list(v / np.where(norm > 0, norm, 1))})
 
     return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, v array<double>")
+
+
+def project(weights: DataFrame, projection: np.ndarray, vocab: list[str]) -> DataFrame:
+    """Unit vectors ``id, v`` of rows (id, feature, w) in the latent space; rows without a known feature are zero."""
+    return _projected(_indexed(weights, vocab), projection)
+
+
+def hashed_index(chunks: DataFrame, id_col: str, text: Column, low: int = 5, high: int = 7, buckets: int = 1 << 20) -> DataFrame:
+    """The hashed tf-idf index: unit rows ``id, feature`` (bucket), ``w`` of character n-grams within words."""
+    grams = chunks.withColumn("grams", F.transform(chunking.char_ngrams_in_words(T.words(F.lower(text)), low, high), lambda g: chunking.hashed(g, buckets)))
+    tf = counts(grams, id_col, "grams")
+    return tfidf(tf, document_frequency(tf))

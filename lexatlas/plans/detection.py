@@ -76,9 +76,8 @@ def dense_candidates(spark: SparkSession, sf_dir: str, branch: str, k: int = 500
     a, b = chunks(spark, sf_dir)
     if branch == "lsa":
         q, s = weighted(a, b, 1)
-        vs, projection, vocab = vectors.lsa(s, components=64)
-        rows = q.groupBy("id").agg(F.collect_list(F.struct("feature", "w")).alias("fs"))
-        vq = vectors.project(rows, projection, vocab)
+        vs, projection, vocab = vectors.lsa(s)
+        vq = vectors.project(q, projection, vocab)
     else:
         grams = lambda d: vectors.counts(d.withColumn("grams", chunking.char_ngrams_in_words(T.words(F.lower("chunk_text")), 5, 5)), "chunk_id", "grams")
         vq, vs = (vectors.hashed_embedding(grams(d), 256) for d in (a, b))

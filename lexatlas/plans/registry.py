@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..functions import text as T
-from ..operators import analytics, chunking, confirm, evaluate, fusion, groundtruth, ranking, simjoin, spans, vectors
+from ..operators import analytics, chunking, confirm, evaluate, fusion, groundtruth, ranking, simjoin, spans, staging, vectors
+from ..sources import vector_index
 from . import detection as D
 from . import oracle as O
 
@@ -200,6 +201,36 @@ def v6_query_weights(spark, sf):
     return D.weights(spark, sf, 1)[0].select("id", "feature", *r6("w"))
 
 
+_HASHED = f"select id, ('0x' || left(md5(g), 8))::bigint % 1048576 as feature, sum(tf) as tf from ({_WB}) group by all"
+
+
+@query(f"""with h as ({_HASHED}), i as (select feature, ln((1.0e0 + (select count(distinct id) from h)) / (1 + count(*))) + 1 as idf from h group by feature),
+w as (select id, feature, (1 + ln(tf)) * idf as w from h join i using (feature))
+select id, feature, round(w / sqrt(sum(w * w) over (partition by id)), 6) as w from w""".replace("with h as", "select * from (with h as", 1) + ")")
+def v6_hashed_index(spark, sf):
+    return vectors.hashed_index(D.sources(spark, sf), "doc_id", F.col("clean_text")).select("id", "feature", *r6("w"))
+
+
+@query("select vec_id as id, len(embedding)::bigint as dims, round(list_dot_product([x::double for x in embedding], [x::double for x in embedding]), 4) as squared from embeddings")
+def v12_v13_v14_v15_vector_index(spark, sf):
+    """An index is built in two runs, the second of which resumes the first, merged, and loaded with its metadata."""
+    e = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    dims = e.select(F.max(F.size("v"))).first()[0]
+    folder = staging.fresh_folder(spark, "index")
+    for part in (e.where("id % 3 = 0"), e.where("id % 3 <> 2")):
+        vector_index.build(part, f"{folder}/a", "given", dims)
+    vector_index.build(e.where("id % 3 <> 1"), f"{folder}/b", "given", dims)
+    vector_index.merge(spark, [f"{folder}/a", f"{folder}/b"], f"{folder}/whole")
+    whole = vector_index.load(spark, f"{folder}/whole", e.select(F.col("id").alias("chunk_id")), "given")
+    d = whole.select("chunk_id", F.col("v").cast("array<double>").alias("v"))
+    return d.select(F.col("chunk_id").alias("id"), F.size("v").cast("long").alias("dims"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4).alias("squared"))
+
+
+@query("select 'moved/to/' || regexp_extract(url, '[^/]*$') as path, page_id from pages")
+def v17_path_rewrite(spark, sf):
+    return D.table(spark, sf, "pages").select(vector_index.moved(F.col("url"), "moved/to/").alias("path"), "page_id")
+
+
 @query()
 def v9_v10_lsa_candidates(spark, sf):
     return D.dense_candidates(spark, sf, "lsa", 20).select("suspicious_chunk_id", "source_chunk_id", *r6("score"), "rank")
@@ -251,6 +282,11 @@ def j5_threshold_search(spark, sf):
     return simjoin.threshold_search(simjoin.dense_top_k(*_embeddings(spark, sf), 5), 5, 0.30)
 
 
+@query(f"select q, s, round(list_dot_product(a.e, b.e), 6) as score from (select vec_id as q, [x::double for x in embedding] as e from embeddings where vec_id % 100 = 0) a cross join (select vec_id as s, [x::double for x in embedding] as e from embeddings) b")
+def j8_pairwise_matrix(spark, sf):
+    return simjoin.pairwise(*_embeddings(spark, sf)).select("q", "s", *r6("score"))
+
+
 @query(f"""with w as (select q.*, list_distinct([substr(lower(part), i, 3) for i in range(1, length(part) - 1)]) as f from (
   {_WINDOWS.replace('from docs', f"from (select doc_id, {O.clean('text')} as clean_text from documents)")}) q where length(part) >= 3),
 p as (select item_id, list_distinct([substr(lower(text), i, 3) for i in range(1, length(text) - 1)]) as f from (select item_id, {O.clean('text')} as text from benchmark)),
@@ -312,6 +348,16 @@ def f9_f10_length_bands(spark, sf):
     return D.suspicious(spark, sf).select(groundtruth.length_band(F.size(F.split("clean_text", " "))).alias("band")).groupBy("band").agg(F.count("*").alias("n_docs"))
 
 
+@query("select doc_id, source from documents where contains(lower(doc_id::varchar), '42')")
+def f11_ids_containing(spark, sf):
+    return ranking.ids_containing(D.table(spark, sf, "documents"), "42").select("doc_id", "source")
+
+
+@query("select doc_id, n_chars from documents order by doc_id limit 308")
+def f12_first_documents(spark, sf):
+    return ranking.first_documents(D.table(spark, sf, "documents").select("doc_id", "n_chars"), 308)
+
+
 # aggregation and ranking
 
 _ROLL = ["max_score", "mean_score", "min_score"]
@@ -570,6 +616,25 @@ def e5_a9_official_by_category(spark, sf):
     return evaluate.official(t, D.found_spans(D.detections(spark, sf)), ["lang"]).select("lang", *r6("precision", "recall", "granularity", "plagdet"), *longs("n_cases", "n_detections"))
 
 
+_V = "avg(coalesce(ck.covered / nullif(t1 - t0, 0), 0)) as recall, count(*) as n_cases, count(ck.n_links) as n_cases_detected, coalesce(avg(ck.n_links), 1) as granularity from t left join ck using (k)"
+_W = "avg(coalesce(cd.covered / nullif(d1 - d0, 0), 0)) as precision, count(*) as n_detections from d left join cd using (det)"
+_SCORED = "round(precision, 6) as precision, round(recall, 6) as recall, round(granularity, 6) as granularity, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) / log2(1 + granularity) else 0 end, 6) as plagdet, n_cases::bigint as n_cases, n_detections::bigint as n_detections, n_cases_detected::bigint as n_cases_detected"
+
+
+@query(f"""select 'all' as variant, {_SCORED} from (select {_V}) r, (select {_W}) p
+union all select 'plagiarised', {_SCORED} from (select {_V}) r, (select {_W} where suspicious_doc_id in (select suspicious_doc_id from t)) p
+union all select 'firing', round(precision, 6), 0, 0, 0, 0, n_detections::bigint, 0 from (select {_W}) p
+union all select 'category_' || lang, {_SCORED} from (select lang, {_V} join documents on doc_id = suspicious_doc_id group by lang) r
+  join (select lang, avg(coalesce(covered / nullif(d1 - d0, 0), 0)) as precision, count(*) as n_detections from (
+    select lang, det, sum(a) as covered from (select lang, det, greatest(0, o1 - greatest(o0, coalesce(max(o1) over (partition by lang, det order by o0, o1 rows between unbounded preceding and 1 preceding), o0))) as a
+      from l2 join documents on doc_id = suspicious_doc_id) group by lang, det) join d using (det) group by lang) p using (lang)""")
+def e5_official_variants(spark, sf):
+    lang = D.table(spark, sf, "documents").select(F.col("doc_id").alias("suspicious_doc_id"), "lang")
+    t = D.as_spans(D.truth(spark, sf)).join(lang, "suspicious_doc_id")
+    v = evaluate.official_variants(D.all_documents(spark, sf), t, D.found_spans(D.detections(spark, sf)), "lang").fillna(0)
+    return v.select("variant", *r6("precision", "recall", "granularity", "plagdet"), *longs("n_cases", "n_detections", "n_cases_detected"))
+
+
 @query("select suspicious_doc_id from pd where det_spans > 0 and suspicious_doc_id % 2 = 0")
 def e6_cache_mismatch(spark, sf):
     rows = D.evaluated(spark, sf)
@@ -594,6 +659,30 @@ def e8_category_distribution(spark, sf):
     return analytics.shares(t, "category").select("category", "n", *r6("share"))
 
 
+_BAND = "case when suspicious_length / 5.5e0 < 150 then 'short' when suspicious_length / 5.5e0 <= 1150 then 'medium' else 'long' end"
+
+
+@query(f"""select *, round(n / sum(n) over (), 6) as share, round(n_subset / sum(n_subset) over (), 6) as share_subset from (
+  select {_BAND} as band, count(*)::bigint as n, count(*) filter (suspicious_doc_id in (select doc_id from documents order by doc_id limit 308))::bigint as n_subset from planted group by 1)""")
+def e8_full_and_subset(spark, sf):
+    """Case lengths of all documents beside those of the first 308; words are taken as 5.5 characters."""
+    first = ranking.first_documents(D.all_documents(spark, sf), 308, "suspicious_doc_id").withColumn("inside", F.lit(True))
+    t = D.truth(spark, sf).join(first, "suspicious_doc_id", "left").withColumn("band", groundtruth.length_band(F.col("suspicious_length") / 5.5))
+    return analytics.with_subset_shares(t, "band", F.coalesce("inside", F.lit(False))).select("band", "n", "n_subset", *r6("share", "share_subset"))
+
+
+@query("""select x.category, category in ('none', 'translation-manual', 'paraphrase-manual', 'paraphrase-auto-low') as known, selection, distribution from (values
+  ('artificial', 'none', 'false', 'none', 'none', 'none'), ('artificial', 'low', 'false', 'paraphrase-auto-low', 'low', 'paraphrasing - automatic (low)'),
+  ('simulated', 'none', 'false', 'paraphrase-manual', 'manual', 'paraphrasing - manual'), ('translation', 'none', 'true', 'translation-manual', 'translation', 'translation - manual correction'),
+  ('', 'none', 'false', 'none', 'other', 'unknown (/none)'), ('other', 'odd', 'false', 'odd', 'other', 'unknown (other/odd)')) x(kind, obfuscation, manual, category, selection, distribution)""")
+def f9_categories(spark, sf):
+    rows = [("artificial", "none", "false"), ("artificial", "low", "false"), ("simulated", "none", "false"), ("translation", "none", "true"), ("", "none", "false"), ("other", "odd", "false")]
+    a = [F.col(c) for c in ("kind", "obfuscation", "manual")]
+    d = spark.createDataFrame(rows, "kind string, obfuscation string, manual string")
+    d = d.select(groundtruth.official_category(*a).alias("category"), groundtruth.selection_category(*a[:2]).alias("selection"), groundtruth.distribution_category(*a).alias("distribution"))
+    return d.select("category", F.col("category").isin("none", "translation-manual", "paraphrase-manual", "paraphrase-auto-low").alias("known"), "selection", "distribution")
+
+
 @query()
 def e9_stratified_addon(spark, sf):
     d = D.table(spark, sf, "documents").select(F.col("doc_id").alias("suspicious_doc_id"), F.col("lang").alias("category"))
