@@ -26,11 +26,13 @@ _own_dir: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees (``spark.checkpoint.dir``).
 
-    A folder of our own is made only where the session names none, as in local tests.
+    A folder of our own is made only where the session names none and the master is local, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own_dir:
         _own_dir["dir"] = "file://" + tempfile.mkdtemp(prefix="lexatlas-shared-")
     return _own_dir["dir"]

@@ -1,19 +1,22 @@
 """Exact top-k search: a Voronoi kNN join by inner product.
 
-Rows are assigned to the nearest of a bounded number of pivots.  Each group is summarised by its count,
+Rows are assigned to the nearest of a number of pivots that grows with the square root of the rows, up to a bound.  Each group is summarised by its count,
 its radius and the k + 1 distances nearest to its pivot.  For a query, Cauchy-Schwarz on these summaries
 gives a lower bound of its k-th best score and an upper bound of what each group can hold; the query is
 sent only to groups that can matter, and these are solved locally.  Groups are split into pieces of at
 most about ``PIECE`` rows, so a hot group (many equal vectors) spreads over tasks.
 
-Cases: vectors that are null, empty, of another length than the pivots' or hold null or non-finite
-components take no part; rows with a null id take no part; ties go to the smaller id; repeated rows count
-each (a query excludes every row of its own id).  Fewer than k candidates: all are returned.
+Cases: vectors that are null, empty or hold null or non-finite components take no part; of vectors of several
+lengths, those of the commonest one (the longest of equally common ones) do, as others have no inner product
+with them; rows with a null id take no part; ties go to the smaller id; repeated rows count
+each as candidates and once as queries (a query excludes every row of its own id; vectors that share a query id
+share its ranks).  Fewer than k candidates: all are returned.
 Integer scores are exact while dimension * max(component)^2 < 2^53.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, staged
+from .common import staged
 
-PIVOTS, PIECE = 64, 4096
+#: Pivots at most: so many vectors, and summaries of k + 1 distances, are held by the driver and each task.
+MAX_PIVOTS, PIECE = 4096, 4096
 
 
 def integer_vectors(emb: DataFrame, scale: int = 256) -> DataFrame:
@@ -44,16 +48,17 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return g, np.sqrt(((x - pivots[g]) ** 2).sum(axis=1))
 
 
-def bounds(queries: np.ndarray, pivots: np.ndarray, summary: list[tuple[int, float, list[float]]], k: int) -> np.ndarray:
-    """Boolean (query, group): whether the group may hold one of the query's k best rows."""
+def bounds(queries: np.ndarray, pivots: np.ndarray, summary: list[tuple[int, float, list[float]]], k: int, own: int = 1) -> np.ndarray:
+    """Boolean (query, group): whether the group may hold one of the query's k best rows; ``own``: rows of one id at most."""
     dot = queries @ pivots.T
     norm = np.sqrt((queries * queries).sum(axis=1))[:, None]
     slack = 1e-6 * (1 + norm * np.sqrt((pivots * pivots).sum(axis=1))[None, :])
     upper = dot + norm * np.array([s[1] for s in summary])[None, :] + slack
     lower = np.concatenate([dot[:, [g]] - norm * np.array(s[2])[None, :] - slack[:, [g]] for g, s in enumerate(summary) if s[2]], axis=1)
-    if lower.shape[1] <= k:  # the query's own row may be among them, hence the (k + 1)-th
+    k += own  # the query's own rows may be among them
+    if lower.shape[1] < k:
         return np.ones_like(upper, bool)
-    kth = np.partition(lower, lower.shape[1] - k - 1, axis=1)[:, [lower.shape[1] - k - 1]]
+    kth = np.partition(lower, lower.shape[1] - k, axis=1)[:, [lower.shape[1] - k]]
     return upper >= kth
 
 
@@ -70,19 +75,26 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def knn(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, piece: int = PIECE) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k largest inner products of each query with all other rows."""
+def knn(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int | None = None, piece: int = PIECE) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k largest inner products of each query with all other rows.
+
+    ``pivots``: how many, by default the square root of the rows, up to MAX_PIVOTS.
+    """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
-    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # bounded by ``pivots``
-    if not chosen:
+    lengths = vectors.where("vec_id is not null").groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"))
+    common = lengths.orderBy(F.desc("rows"), F.desc("n")).first()
+    if common is None:
         return spark.createDataFrame([], schema)
-    dim = len(chosen[0]["v"])
-    centre = np.unique(np.array([r["v"] for r in chosen if len(r["v"]) == dim]), axis=0)
+    dim = common["n"]
+    vectors = vectors.where((F.size("v") == dim) & F.col("vec_id").isNotNull())
+    own = vectors.groupBy("vec_id").count().agg(F.max("count")).first()[0]
+    pivots = pivots or min(MAX_PIVOTS, math.isqrt(common["rows"]) + 1)
+    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # bounded by ``pivots``
+    centre = np.unique(np.array([r["v"] for r in chosen]), axis=0)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[pdf["v"].map(len) == dim]
             if len(pdf):
                 g, d = _nearest(_matrix(pdf["v"]), centre)
                 yield pdf.assign(g=g.astype(np.int32), d=d)
@@ -98,7 +110,7 @@ def knn(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS,
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            may = bounds(_matrix(pdf["v"]), centre, summary, k) if len(pdf) else np.zeros((0, len(centre)), bool)
+            may = bounds(_matrix(pdf["v"]), centre, summary, k, own) if len(pdf) else np.zeros((0, len(centre)), bool)
             may[:, [g for g, s in enumerate(summary) if not s[0]]] = False
             i, g = np.nonzero(may)
             spread = np.array(pieces)[g]
@@ -125,7 +137,7 @@ def knn(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS,
 
     spread = F.element_at(F.array(*map(F.lit, pieces)), F.col("g") + 1)
     data = grouped.select("g", F.pmod(F.xxhash64("vec_id"), spread).cast("int").alias("salt"), "vec_id", "v")
-    asked = grouped.where("asks").select("vec_id", "v").mapInPandas(route, "g int, salt int, query_id long, q array<double>")
+    asked = grouped.where("asks").select("vec_id", "v").distinct().mapInPandas(route, "g int, salt int, query_id long, q array<double>")
     local = data.groupBy("g", "salt").cogroup(asked.groupBy("g", "salt")).applyInPandas(solve, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.select("query_id", F.row_number().over(best).cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").repartition(parts(spark), "query_id")
+    return local.select("query_id", F.row_number().over(best).cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
