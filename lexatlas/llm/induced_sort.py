@@ -12,21 +12,66 @@ agree on ``depth`` symbols stand together in any order.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import numpy as np
+import pyarrow.fs
 
 #: Alphabets up to this size are induced bucket by bucket; larger ones (of names) are sorted by doubling.
 FEW = 1024
 _SLICE = 1 << 16
 
 
+class SpillFile:
+    """One file below a folder that is named by path or URI; without a folder, what is spilled stays in memory."""
+
+    def __init__(self, folder: str | None):
+        self.parts: list[bytes] = []
+        self.fs = None
+        if folder is not None:
+            self.fs, root = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), folder)
+            self.fs.create_dir(root, recursive=True)
+            self.path, self.files = f"{root}/queue-{uuid.uuid4().hex}", 0
+
+    def write(self, blocks: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
+        """Append blocks in one file; each one's (file, offset, entries)."""
+        out, at = [], 0
+        if self.fs is None:
+            self.parts.append(b"".join(x.tobytes() for block in blocks for x in block))
+            name = len(self.parts) - 1
+        else:
+            name = self.files
+            self.files += 1
+            with self.fs.open_output_stream(f"{self.path}-{name}") as f:
+                for block in blocks:
+                    for x in block:
+                        f.write(np.ascontiguousarray(x).data)
+        for pos, _ in blocks:
+            out.append((name, at, len(pos)))
+            at += 9 * len(pos)
+        return out
+
+    def read(self, name: int, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.fs is None:
+            raw = self.parts[name][at : at + 9 * n]
+        else:
+            with self.fs.open_input_file(f"{self.path}-{name}") as f:
+                raw = f.read_at(9 * n, at)
+        return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint8, n, 8 * n)
+
+    def close(self) -> None:
+        self.parts = []
+        if self.fs is not None:
+            for name in range(self.files):
+                self.fs.delete_file(f"{self.path}-{name}")
+
+
 class SymbolQueue:
-    """FIFO blocks of (position, common prefix) for each symbol; blocks beyond ``limit`` entries go to disk."""
+    """FIFO blocks of (position, common prefix) for each symbol; blocks beyond ``limit`` entries go to ``folder``."""
 
-    def __init__(self, symbols: int, limit: int = 1 << 24):
+    def __init__(self, symbols: int, limit: int = 1 << 24, folder: str | None = None):
         self.blocks: list[list] = [[] for _ in range(symbols)]
-        self.limit, self.held, self.file = limit, 0, None
+        self.limit, self.held, self.folder, self.file = limit, 0, folder, None
 
     def push(self, symbol: int, pos: np.ndarray, lcp: np.ndarray) -> None:
         self.blocks[symbol].append((pos, lcp))
@@ -36,15 +81,11 @@ class SymbolQueue:
 
     def spill(self) -> None:
         if self.file is None:
-            self.file = tempfile.TemporaryFile()
-        self.file.seek(0, 2)
-        for blocks in self.blocks:
-            for k, block in enumerate(blocks):
-                if isinstance(block[0], np.ndarray):
-                    at = self.file.tell()
-                    self.file.write(block[0].tobytes())
-                    self.file.write(block[1].tobytes())
-                    blocks[k] = (at, len(block[0]))
+            self.file = SpillFile(self.folder)
+        held = [(blocks, k) for blocks in self.blocks for k, block in enumerate(blocks) if isinstance(block[0], np.ndarray)]
+        places = self.file.write([(blocks[k][0].astype(np.int64, copy=False), blocks[k][1]) for blocks, k in held])
+        for (blocks, k), place in zip(held, places):
+            blocks[k] = place
         self.held = 0
 
     def pop(self, symbol: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -52,8 +93,7 @@ class SymbolQueue:
         out = []
         for block in self.blocks[symbol]:
             if not isinstance(block[0], np.ndarray):
-                self.file.seek(block[0])
-                block = np.frombuffer(self.file.read(8 * block[1]), np.int64), np.frombuffer(self.file.read(block[1]), np.uint8)
+                block = self.file.read(*block)
             else:
                 self.held -= len(block[0])
             out.append(block)
@@ -155,13 +195,13 @@ def _direct(t: np.ndarray, a: int, b: int, cap: int) -> int:
     return int(d[0]) if len(d) else n
 
 
-def _induce(t, s_type, lms, lms_lcp, symbols, cap, limit):
+def _induce(t, s_type, lms, lms_lcp, symbols, cap, limit, folder):
     """All suffixes in order, with common prefixes, from LMS suffixes in order."""
     n = len(t)
     lower = ~s_type
     bounds = np.searchsorted(t[lms], np.arange(symbols + 1)) if len(lms) else np.zeros(symbols + 1, int)
     run = np.zeros(symbols, np.uint8)
-    queue = SymbolQueue(symbols, limit)
+    queue = SymbolQueue(symbols, limit, folder)
     large: list[list] = [[] for _ in range(symbols)]
     for c in range(symbols):
         last = -1
@@ -180,7 +220,7 @@ def _induce(t, s_type, lms, lms_lcp, symbols, cap, limit):
             _scan(t, lower, lms[lo:hi], lcp, run, cap, queue)
     queue.close()
     run[:] = 0
-    queue = SymbolQueue(symbols, limit)
+    queue = SymbolQueue(symbols, limit, folder)
     order, common = np.empty(n, np.int64), np.empty(n, np.uint8)
     at = n
     for c in range(symbols - 1, -1, -1):
@@ -267,7 +307,7 @@ def _by_doubling(names: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def suffix_order(t: np.ndarray, symbols: int, depth: int, limit: int = 1 << 24, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(t: np.ndarray, symbols: int, depth: int, limit: int = 1 << 24, few: int = FEW, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``t`` in order and each one's common prefix with the one before.
 
     ``t`` ends with its only 0.  Both are exact up to ``depth`` (255 at most) symbols.
@@ -279,7 +319,7 @@ def suffix_order(t: np.ndarray, symbols: int, depth: int, limit: int = 1 << 24,
         return np.zeros(1, np.int64), np.zeros(1, np.uint8)
     if len(lms) > 1:
         by_symbol = lms[np.argsort(t[lms], kind="stable")]
-        first, _ = _induce(t, s_type, by_symbol, np.zeros(len(lms), np.uint8), symbols, 0, limit)
+        first, _ = _induce(t, s_type, by_symbol, np.zeros(len(lms), np.uint8), symbols, 0, limit, folder)
         mark = np.zeros(n, bool)
         mark[lms] = True
         found = first[mark[first]]
@@ -296,8 +336,8 @@ def suffix_order(t: np.ndarray, symbols: int, depth: int, limit: int = 1 << 24,
         if top == len(lms) - 1:
             lms = found
         elif top < few:  # few names: induce their order; the last LMS suffix is the end, and so the only name 0
-            lms = lms[suffix_order(names, top + 1, depth, limit, few)[0]]
+            lms = lms[suffix_order(names, top + 1, depth, limit, few, folder)[0]]
         else:  # LMS positions are two apart at least
             lms = lms[_by_doubling(names, depth // 2 + 2)]
     lms_lcp = np.r_[np.uint8(0), _common(t, lms[:-1], lms[1:], depth)]
-    return _induce(t, s_type, lms, lms_lcp, symbols, depth, limit)
+    return _induce(t, s_type, lms, lms_lcp, symbols, depth, limit, folder)

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_by_id, parts, release_shuffles, staged, trim
+from .common import documents, map_by_id, parts, release_shuffles, shared_dir, staged, trim
 from .induced_sort import suffix_order
 
 LEAST, GRAM = 50, 20
@@ -40,6 +40,8 @@ GROUP_BYTES, SHARD_BYTES = 12 << 20, 2 << 20
 #: Windows of hot hashes that a worker holds at once; characters whose passages it collapses at once, and hashes at once.
 WINDOWS = 1 << 17
 COLLAPSED, HASHED = 8 << 20, 1 << 18
+#: Suffix tuples that a shard's queues hold in memory; more of them are blocks in the shared folder.
+QUEUED = 1 << 20
 _LAST = (1 << 63) - 1
 _C1, _C2, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -327,7 +329,7 @@ def _fetch(shards: int):
     return run
 
 
-def repeated_windows(data: bytes, size: np.ndarray, doc: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(data: bytes, size: np.ndarray, doc: np.ndarray, least: int = LEAST, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(passage, offset) of every window of ``least`` bytes that a passage of a smaller document has too."""
     ends = np.cumsum(size)
     begin = ends - size
@@ -336,7 +338,7 @@ def repeated_windows(data: bytes, size: np.ndarray, doc: np.ndarray, least: int
     t[-1] = 0
     shift = np.repeat(np.arange(len(size)), size)
     t[np.arange(len(data)) + shift] = np.frombuffer(data, np.uint8).astype(np.uint16) + 2
-    order, common = suffix_order(t, 258, least)
+    order, common = suffix_order(t, 258, least, QUEUED, folder=folder)
     owner = np.zeros(len(t), np.int64)
     owner[np.arange(len(data)) + shift] = shift
     place = begin + np.arange(len(size))  # of each passage in t
@@ -353,13 +355,13 @@ def repeated_windows(data: bytes, size: np.ndarray, doc: np.ndarray, least: int
     return who[gone], at[gone]
 
 
-def _sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+def _sort_shard(pdf: pd.DataFrame, folder: str | None = None) -> pd.DataFrame:
     known = pdf["spans"].notna()
     rows = list(zip(pdf["rank_id"][known], pdf["text_tag"][known], pdf["spans"][known]))
     pdf = pdf[~known]
     if len(pdf):
         doc, tag, size, count, start = (np.frombuffer(b"".join(pdf[x]), np.int64) for x in ("doc", "tag", "size", "count", "start"))
-        who, at = repeated_windows(b"".join(pdf["data"]), size, doc)
+        who, at = repeated_windows(b"".join(pdf["data"]), size, doc, folder=folder)
         # a window of several places goes from all of them
         many = count[who]
         last = np.cumsum(many)
@@ -418,9 +420,10 @@ def removals(rows: DataFrame) -> DataFrame:
     wanted = decided.where("h is not null")
     weight = wanted.agg(F.sum("bytes")).first()[0] or 0
     shards = max(parts(spark), int(weight) // SHARD_BYTES + 1)
+    folder = f"{shared_dir(spark)}/suffix-queues"
     # merge: the same plan at every size, as what is wanted grows with the corpus
     fetched = rows.join(wanted.select("rank_id", "tag", "h", "start", "size", "hot").hint("merge"), ["rank_id", "tag"]).mapInPandas(_fetch(shards), "shard int, doc binary, tag binary, size binary, count binary, start binary, data binary, rank_id long, text_tag long, spans binary")
-    sorted_out = staged(fetched.groupBy("shard").applyInPandas(_sort_shard, "rank_id long, tag long, spans binary"), "sorted")
+    sorted_out = staged(fetched.groupBy("shard").applyInPandas(lambda pdf: _sort_shard(pdf, folder), "rank_id long, tag long, spans binary"), "sorted")
     del fetched
     release_shuffles(spark)
     return decided.where("spans is not null").select("rank_id", "tag", "spans").union(sorted_out).groupBy("rank_id", "tag").agg(F.collect_list("spans").alias("spans"))

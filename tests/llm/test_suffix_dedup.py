@@ -69,3 +69,36 @@ def test_hot_hash_is_split():
     got = pd.concat(suffix_dedup._fetch(64)([need]))
     load = got[got["data"].notna()].groupby("shard")["data"].agg(lambda x: sum(map(len, x)))
     assert len(load) == 64 and load.max() < 3 * load.mean()
+
+
+def test_queues_on_disk(tmp_path):
+    """A shard whose queues may hold a hundredth of it: the same order, and no file is left behind."""
+    from lexatlas.llm import induced_sort
+
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(300)]
+    data = b" ".join(words[i] for i in rng.integers(0, 300, 20_000))
+    size = np.full(len(data) // 200, 200)
+    doc = rng.integers(0, 50, len(size))
+    data = data[: size.sum()]
+    spilled = []
+    write = induced_sort.SpillFile.write
+    induced_sort.SpillFile.write = lambda self, blocks: spilled.append(sum(len(b[0]) for b in blocks)) or write(self, blocks)
+    try:
+        t = np.r_[np.frombuffer(data, np.uint8).astype(np.uint16) + 2, 0].astype(np.uint16)
+        whole = induced_sort.suffix_order(t, 258, 50)
+        few = induced_sort.suffix_order(t, 258, 50, len(data) // 100, folder=str(tmp_path / "q"))
+    finally:
+        induced_sort.SpillFile.write = write
+    assert sum(spilled) > len(data) and (whole[0] == few[0]).all() and (whole[1] == few[1]).all()
+    assert list((tmp_path / "q").iterdir()) == []
+    uri = induced_sort.suffix_order(t, 258, 50, len(data) // 10, folder=f"file://{tmp_path}/r")
+    assert (uri[0] == whole[0]).all()
+    first, out = {}, set()
+    for k, i in enumerate(doc.tolist()):
+        for a in range(151):
+            first[data[200 * k + a : 200 * k + a + 50]] = min(i, first.get(data[200 * k + a : 200 * k + a + 50], i))
+    for k, i in enumerate(doc.tolist()):
+        out |= {(k, a) for a in range(151) if first[data[200 * k + a : 200 * k + a + 50]] < i}
+    who, at = suffix_dedup.repeated_windows(data, size, doc, folder=str(tmp_path / "q"))
+    assert set(zip(who.tolist(), at.tolist())) == out
