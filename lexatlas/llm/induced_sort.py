@@ -5,9 +5,10 @@ left neighbour, if of type L, to the queue of that neighbour's symbol; then in d
 type S.  A queue is a priority queue over symbols whose entries of one symbol leave in order of arrival; it
 holds tuples (position, common prefix with the entry before) as blocks and writes them to disk beyond a
 limit.  The common prefix of two induced suffixes is one more than the least one between the suffixes
-they come from.  The order of the LMS suffixes comes from their names: by recursion while the names are few,
-else by doubling of ranks.  Orders and common prefixes are exact up to ``depth`` symbols; suffixes that
-agree on ``depth`` symbols stand together in any order.
+they come from.  The order of the LMS suffixes comes from their names, by recursion down to names that differ.
+Names are many, so at those levels a queue's entries are taken out a range of symbols at a time: what came from other
+ranges is in order already, and chains within the range are ranked by pointer jumping.  Orders and common prefixes are
+exact up to ``depth`` symbols; suffixes that agree on ``depth`` symbols stand together in any order.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ import uuid
 import numpy as np
 import pyarrow.fs
 
-#: Alphabets up to this size are induced bucket by bucket; larger ones (of names) are sorted by doubling.
+#: Alphabets up to this size have a queue bucket for each symbol, larger ones (of names) for each range of symbols.
 FEW = 1024
 _SLICE = 1 << 16
+#: Suffixes of a range of symbols, about; a symbol with more of them is a range of its own.
+_SPAN = 1 << 16
 
 
 class SpillFile:
@@ -288,56 +291,155 @@ def _common(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray
     return out
 
 
-def _by_doubling(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of ``names`` by their first ``depth`` names."""
-    rank, h = names.astype(np.int64), 1
-    n = len(rank)
-    order = np.argsort(rank, kind="stable")
-    while h < depth:
-        ahead = np.zeros(n, np.int64)
-        ahead[:-h or None] = (rank[h:] + 1) if h < n else 0
-        key = rank << 32 | ahead
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.r_[0, np.cumsum(key[1:] != key[:-1])]
-        rank[order] = new
-        if new[-1] == n - 1:
-            break
-        h *= 2
+def _ranked(key: np.ndarray, source: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Nodes in order of ``key``, ties among the nodes ``inner`` broken by the order of their sources."""
+    _, rank = np.unique(key, return_inverse=True)
+    source = source.copy()
+    while len(inner) and rank.max() < len(rank) - 1:
+        ahead = np.zeros(len(rank), np.int64)
+        ahead[inner] = rank[source[inner]]
+        _, rank = np.unique(rank << 32 | ahead, return_inverse=True)
+        source = source[source]
+    order = np.empty(len(rank), np.int64)
+    order[rank] = np.arange(len(rank))
     return order
 
 
-def suffix_order(t: np.ndarray, symbols: int, depth: int, limit: int = 1 << 24, few: int = FEW, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of ``t`` in order and each one's common prefix with the one before.
+def _bounds(kind: np.ndarray, n: int) -> list[int]:
+    """Where each of ``n`` kinds begins in ascending ``kind``, and the end."""
+    return np.searchsorted(kind, np.arange(n + 1)).tolist()
+
+
+def _hand_on(queue, pos: np.ndarray, wanted: np.ndarray, where: np.ndarray, t: np.ndarray, beyond) -> None:
+    """Push the left neighbours of ``pos``, in this order, that are ``wanted`` and of a range ``beyond`` the present one."""
+    left = pos[pos > 0] - 1
+    left = left[wanted[left]]
+    target = where[t[left]]
+    far = beyond(target)
+    left, target = left[far], target[far]
+    order = np.argsort(target, kind="stable")
+    left, target = left[order], target[order]
+    begin = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(target) else []
+    for lo, hi in zip(begin, [*begin[1:], len(target)]):
+        queue.push(int(target[lo]), left[lo:hi], np.zeros(hi - lo, np.uint8))
+
+
+def _popped(queue, r: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(pos for pos, _ in queue.pop(r))])
 
-    ``t`` ends with its only 0.  Both are exact up to ``depth`` (255 at most) symbols.
+
+def _induce_ranges(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, symbols: int, limit: int, folder: str | None, span: int) -> np.ndarray:
+    """All suffixes in order, from LMS suffixes in order; queue buckets are ranges of symbols.
+
+    In a range, the suffixes of a type are those whose source lies in another range, which the queue hands over in order,
+    and those whose source lies in the range itself.  Of one symbol, the former come before the latter for type L
+    and after them for type S, and L comes before S.
     """
+    total = np.cumsum(np.bincount(t, minlength=symbols))
+    where = np.searchsorted(np.unique(total[np.searchsorted(total, np.arange(span, len(t) + span, span)).clip(max=symbols - 1)]), total)
+    ranges = int(where[-1]) + 1
+    home = where[t]
+    members = []
+    for kind in (~s_type, s_type):
+        pos = np.flatnonzero(kind)
+        pos = pos[np.argsort(home[pos], kind="stable")]
+        members.append((pos, _bounds(home[pos], ranges)))
+    lms_bounds = _bounds(home[lms], ranges)
+
+    def order_of(r: int, mine: np.ndarray, came: np.ndarray, other: np.ndarray, down: bool) -> np.ndarray:
+        """Suffixes of range ``r`` in order: ``mine`` (by position) of the type in hand, ``other`` in order already."""
+        m = len(mine)
+        seq = np.full(m, -1)
+        seq[np.searchsorted(mine, came)] = np.arange(len(came))
+        inner = np.flatnonzero(seq < 0)
+        pos = np.r_[mine, other]
+        # the order of classes within a symbol: ascending, L: came, inner, other (S); S: other (L), inner, came
+        kind = np.r_[np.where(seq < 0, 1, 2 if down else 0), np.full(len(other), 0 if down else 2)]
+        place = np.r_[np.where(seq < 0, 0, len(came) - seq if down else seq), np.arange(len(other))]
+        source = np.arange(len(pos))
+        if len(inner):
+            nxt = mine[inner] + 1
+            at = np.searchsorted(mine, nxt)
+            same = at < m
+            same[same] = mine[at[same]] == nxt[same]
+            by = np.argsort(other)
+            if len(other):
+                at[~same] = m + by[np.searchsorted(other[by], nxt[~same])]
+            source[inner] = at
+        return pos[_ranked((t[pos].astype(np.int64) * 3 + kind) << 32 | place, source, inner)]
+
+    queue = SymbolQueue(ranges, limit, folder)
+    large = []
+    pos, bound = members[0]
+    for r in range(ranges):
+        order = order_of(r, pos[bound[r] : bound[r + 1]], _popped(queue, r), lms[lms_bounds[r] : lms_bounds[r + 1]], False)
+        large.append(order[~s_type[order]])
+        _hand_on(queue, order, ~s_type, where, t, lambda x, r=r: x > r)
+    queue.close()
+    queue = SymbolQueue(ranges, limit, folder)
+    out = np.empty(len(t), np.int64)
+    end = len(t)
+    pos, bound = members[1]
+    for r in range(ranges - 1, -1, -1):
+        came = _popped(queue, r)
+        if r == 0:  # the end of the text has no source
+            came = np.r_[came, len(t) - 1]
+        order = order_of(r, pos[bound[r] : bound[r + 1]], came, large[r], True)
+        large[r] = None
+        out[end - len(order) : end] = order
+        end -= len(order)
+        _hand_on(queue, order[::-1], s_type, where, t, lambda x, r=r: x < r)
+    queue.close()
+    return out
+
+
+def _lms_order(t: np.ndarray, s_type: np.ndarray, symbols: int, depth: int, limit: int, few: int, folder: str | None, span: int) -> np.ndarray:
+    """LMS positions in the order of their suffixes: sorted by their substrings, named, and the names sorted in turn."""
     n = len(t)
-    s_type = types(t)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    if n == 1:
+    if len(lms) < 2:
+        return lms
+    first = _induced(t, s_type, lms[np.argsort(t[lms], kind="stable")], symbols, limit, few, folder, span)
+    mark = np.zeros(n, bool)
+    mark[lms] = True
+    found = first[mark[first]]
+    nxt = np.full(n, n, np.int64)
+    nxt[lms[:-1]] = lms[1:]
+    size = np.minimum(nxt[found] + 1, n) - found
+    a, b = found[:-1], found[1:]
+    equal = (size[:-1] == size[1:]) & (nxt[a] < n) & (nxt[b] < n)
+    equal[equal] = _same(t, a[equal], b[equal], size[:-1][equal])
+    if not equal.any():
+        return found
+    name = np.empty(n, np.int64)
+    name[found] = np.r_[0, np.cumsum(~equal)]
+    names = name[lms]
+    top = int(names.max())
+    # the last LMS suffix is the end of the text and so the only name 0; LMS positions are two apart at least
+    return lms[_name_order(names, top + 1, depth // 2 + 2, limit, few, folder, span)]
+
+
+def _induced(t, s_type, lms, symbols: int, limit: int, few: int, folder: str | None, span: int) -> np.ndarray:
+    if symbols <= few:
+        return _induce(t, s_type, lms, np.zeros(len(lms), np.uint8), symbols, 0, limit, folder)[0]
+    return _induce_ranges(t, s_type, lms, symbols, limit, folder, span)
+
+
+def _name_order(t: np.ndarray, symbols: int, depth: int, limit: int, few: int, folder: str | None, span: int) -> np.ndarray:
+    """Order of the suffixes of names, by ``depth`` of them at least."""
+    s_type = types(t)
+    return _induced(t, s_type, _lms_order(t, s_type, symbols, depth, limit, few, folder, span), symbols, limit, few, folder, span)
+
+
+def suffix_order(t: np.ndarray, symbols: int, depth: int, limit: int = 1 << 24, few: int = FEW, folder: str | None = None, span: int = _SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of ``t`` in order and each one's common prefix with the one before.
+
+    ``t`` ends with its only 0.  Both are exact up to ``depth`` (255 at most) symbols.  ``limit``: tuples that a queue holds
+    in memory, ``folder``: where it writes others; ``few`` and ``span`` set how symbols share buckets.
+    """
+    s_type = types(t)
+    if len(t) == 1:
         return np.zeros(1, np.int64), np.zeros(1, np.uint8)
-    if len(lms) > 1:
-        by_symbol = lms[np.argsort(t[lms], kind="stable")]
-        first, _ = _induce(t, s_type, by_symbol, np.zeros(len(lms), np.uint8), symbols, 0, limit, folder)
-        mark = np.zeros(n, bool)
-        mark[lms] = True
-        found = first[mark[first]]
-        nxt = np.full(n, n, np.int64)
-        nxt[lms[:-1]] = lms[1:]
-        size = np.minimum(nxt[found] + 1, n) - found
-        a, b = found[:-1], found[1:]
-        equal = (size[:-1] == size[1:]) & (nxt[a] < n) & (nxt[b] < n)
-        equal[equal] = _same(t, a[equal], b[equal], size[:-1][equal])
-        name = np.zeros(n, np.int64)
-        name[found] = np.r_[0, np.cumsum(~equal)]
-        names = name[lms]
-        top = int(names.max())
-        if top == len(lms) - 1:
-            lms = found
-        elif top < few:  # few names: induce their order; the last LMS suffix is the end, and so the only name 0
-            lms = lms[suffix_order(names, top + 1, depth, limit, few, folder)[0]]
-        else:  # LMS positions are two apart at least
-            lms = lms[_by_doubling(names, depth // 2 + 2)]
+    lms = _lms_order(t, s_type, symbols, depth, limit, few, folder, span)
     lms_lcp = np.r_[np.uint8(0), _common(t, lms[:-1], lms[1:], depth)]
     return _induce(t, s_type, lms, lms_lcp, symbols, depth, limit, folder)

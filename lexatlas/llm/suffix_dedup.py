@@ -8,7 +8,8 @@ hash.  So a shard needs only the passages of its hashes, not the corpus:
    several documents, all but those of the smallest doc_id are removed outright; a batch does this before
    the shuffle, so a passage that a third of all documents share is one entry for each batch.
 2. Hashes with one document only, nearly all, are done.  Where different passages share a hash, their bytes
-   are fetched, and each shard sorts its suffixes by external induced sorting (``induced_sort``: disk-backed
+   are fetched; a passage whose gram has other surroundings in every other document is left out, and
+   each shard sorts the suffixes of the rest by external induced sorting (``induced_sort``: disk-backed
    queues that carry suffix positions and common-prefix values).  Suffixes that agree on LEAST bytes stand
    together in the order; a window is removed if its group has a smaller doc_id.
    Where the passages of one hash exceed SHARD_BYTES, their windows are dealt one by one, by content: equal
@@ -53,6 +54,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _grams(data: bytes) -> np.ndarray:
+    """Hash of the GRAM bytes at each place."""
+    n = len(data) - GRAM + 1
+    gram = np.ndarray((n,), "<u8", data, 0, (1,)) * _C1
+    gram ^= np.ndarray((n,), "<u8", data, 8, (1,)) * _C2
+    gram ^= (np.ndarray((n,), "<u8", data, GRAM - 8, (1,)) >> np.uint64(1)) * _ODD  # its lowest bits are in the word before
+    return _mix(gram)
+
+
 def passages(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Passages of the documents data[begin:end]: (document, start, end, hash, content hash), places in ``data``."""
     width = LEAST - GRAM + 1
@@ -60,10 +70,7 @@ def passages(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
     none = np.zeros(0, np.int64)
     if n < width:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    gram = np.ndarray((n,), "<u8", data, 0, (1,)) * _C1
-    gram ^= np.ndarray((n,), "<u8", data, 8, (1,)) * _C2
-    gram ^= (np.ndarray((n,), "<u8", data, GRAM - 8, (1,)) >> np.uint64(1)) * _ODD  # its lowest bits are in the word before
-    gram = _mix(gram)
+    gram = _grams(data)
     low, span = gram, 1
     while 2 * span <= width:
         low = np.minimum(low[:-span], low[span:])
@@ -329,8 +336,49 @@ def _fetch(shards: int):
     return run
 
 
+def may_repeat(data: bytes, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which passages can have a window in common with one of another document.
+
+    All windows of a passage hold its gram of the smallest hash.  Equal windows have LEAST - GRAM more bytes in common
+    around it, so half as many on one side of it at least: a passage whose gram has the same bytes neither before
+    nor behind it in another document is out.  Passages that hold their gram several times stay.
+    """
+    side = (LEAST - GRAM) // 2
+    begin = np.cumsum(size) - size
+    gram = _grams(data + b"\0" * 8)[: len(data) - GRAM + 1]
+    inside = np.ones(len(data), bool)
+    for k in range(1, GRAM):
+        inside[begin + size - k] = False
+    masked = np.where(inside[: len(gram)], gram, ~np.uint64(0))
+    first = np.minimum.reduceat(np.r_[masked, np.full(GRAM - 1, ~np.uint64(0))], begin)
+    owner = np.repeat(np.arange(len(size)), size)[: len(gram)]
+    hit = np.flatnonzero((masked == first[owner]) & inside[: len(gram)])
+    who, at = owner[hit], hit
+    count = np.bincount(who, minlength=len(size))
+    stays = count != 1
+    single = count[who] == 1
+    who, at = who[single], at[single]
+    power = np.cumprod(np.full(side, int(_C1), np.uint64))
+    raw = np.frombuffer(data, np.uint8)
+    for shift, ok in ((-side, at - begin[who] >= side), (GRAM, at - begin[who] + GRAM + side <= size[who])):
+        w, a = who[ok], at[ok] + shift
+        key = first[w].copy()
+        for k in range(side):
+            key += raw[a + k] * power[k]
+        key = _mix(key)
+        order = np.argsort(key, kind="stable")
+        w, key = w[order], key[order]
+        run = _starts(key)
+        if len(run):
+            differ = np.minimum.reduceat(doc[w], run) != np.maximum.reduceat(doc[w], run)
+            stays[w[np.repeat(differ, np.diff(np.r_[run, len(w)]))]] = True
+    return stays
+
+
 def repeated_windows(data: bytes, size: np.ndarray, doc: np.ndarray, least: int = LEAST, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(passage, offset) of every window of ``least`` bytes that a passage of a smaller document has too."""
+    if not len(size):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.cumsum(size)
     begin = ends - size
     # bytes become 2 to 257, a 1 ends each passage and the only 0 ends the text
@@ -361,7 +409,13 @@ def _sort_shard(pdf: pd.DataFrame, folder: str | None = None) -> pd.DataFrame:
     pdf = pdf[~known]
     if len(pdf):
         doc, tag, size, count, start = (np.frombuffer(b"".join(pdf[x]), np.int64) for x in ("doc", "tag", "size", "count", "start"))
-        who, at = repeated_windows(b"".join(pdf["data"]), size, doc, folder=folder)
+        data = b"".join(pdf["data"])
+        del pdf
+        stays = may_repeat(data, size, doc)
+        some = np.frombuffer(data, np.uint8)[np.repeat(stays, size)].tobytes()
+        place = np.flatnonzero(stays)
+        who, at = repeated_windows(some, size[stays], doc[stays], folder=folder)
+        who = place[who]
         # a window of several places goes from all of them
         many = count[who]
         last = np.cumsum(many)

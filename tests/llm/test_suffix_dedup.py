@@ -102,3 +102,41 @@ def test_queues_on_disk(tmp_path):
         out |= {(k, a) for a in range(151) if first[data[200 * k + a : 200 * k + a + 50]] < i}
     who, at = suffix_dedup.repeated_windows(data, size, doc, folder=str(tmp_path / "q"))
     assert set(zip(who.tolist(), at.tolist())) == out
+
+
+def test_may_repeat_loses_nothing():
+    """Passages that are left out of a sort have no window that another document has."""
+    rng = np.random.default_rng(8)
+    left_out = 0
+    for _ in range(40):
+        shared = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in rng.integers(20, 70, 6)]
+        raw = [b"".join([bytes(rng.integers(97, 100, rng.integers(0, 40)).astype(np.uint8)), shared[rng.integers(6)], bytes(rng.integers(97, 100, rng.integers(0, 40)).astype(np.uint8))]) for _ in range(30)]
+        raw = [x.ljust(50, b"a") for x in raw] + [b"ab" * 40, b"ab" * 30]
+        # as dealt: runs of windows that have their smallest gram in common
+        end = np.cumsum([len(x) for x in raw])
+        owner, a, b, h, _ = suffix_dedup.passages(b"".join(raw), end - [len(x) for x in raw], end)
+        doc = rng.integers(0, 9, len(raw))[owner]
+        parts = [b"".join(raw)[x:y] for x, y in zip(a, b)]
+        stays = suffix_dedup.may_repeat(b"".join(parts), b - a, doc)
+        windows = [{p[i : i + 50] for i in range(len(p) - 49)} for p in parts]
+        for i in np.flatnonzero(~stays):
+            left_out += 1
+            assert not any(windows[i] & windows[j] for j in range(len(parts)) if doc[j] != doc[i])
+    assert left_out > 100
+
+
+def test_induction_by_ranges():
+    """Periodic, sorted, constant and random texts, with ranges of a few symbols at every level of names."""
+    from lexatlas.llm import induced_sort
+
+    rng = np.random.default_rng(1)
+    texts = [np.ones(700), np.tile([1, 2], 300), np.tile([2, 1, 1, 3], 150), np.sort(rng.integers(1, 200, 500)), np.sort(rng.integers(1, 200, 500))[::-1]]
+    texts += [rng.integers(1, rng.integers(2, 40), rng.integers(1, 300)) for _ in range(60)]
+    for k, t in enumerate(texts):
+        t = np.r_[t, 0].astype(np.uint16)
+        order, common = induced_sort.suffix_order(t, 258, 50, limit=16, few=1, span=1 + k % 50)
+        cut = [tuple(t[i : i + 50]) for i in order]
+        assert sorted(order.tolist()) == list(range(len(t))) and cut == sorted(cut)
+        for i in range(1, len(cut)):
+            n = next((j for j, (x, y) in enumerate(zip(cut[i - 1], cut[i])) if x != y), min(len(cut[i - 1]), len(cut[i])))
+            assert common[i] == n
