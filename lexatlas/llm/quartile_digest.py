@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_by_id, parts
+from .common import NO_ID, documents, map_by_id, parts
 
 BUCKETS = 256
 #: Offsets of the bytes of each kind of triplet.
@@ -127,27 +127,30 @@ def edited_pairs(docs: DataFrame, bands: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     bands = bands or 3 * parts(spark)
     cuts = docs.agg(F.percentile_approx("doc_id", [k / bands for k in range(1, bands)], 100 * bands)).first()[0] or []
-    cuts = sorted(set(cuts))
-    key = F.array(*(F.lit(int(c)).cast("long") for c in cuts)) if cuts else F.lit(None).cast("array<long>")
-    # band 0 holds the largest ids; rows without an id come in a last band
-    band = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - F.coalesce(F.size(F.filter(key, lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0))
-    banded = docs.withColumn("band", band.cast("int"))
+    cuts = np.array(sorted(set(cuts)), np.int64)
+
+    def bands_of(ids: pd.Series) -> np.ndarray:
+        """Band 0 holds the largest ids; rows without an id come in a last band."""
+        ids = ids.to_numpy(np.int64)
+        return np.where(ids == NO_ID, len(cuts) + 1, len(cuts) - np.searchsorted(cuts, ids, side="right"))
+
+    @F.pandas_udf("int")
+    def band(ids: pd.Series) -> pd.Series:
+        return pd.Series(bands_of(ids), dtype="int32")
+
+    solid = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     # at most one row for each band: bounded by the number of bands
-    heads = {r["band"]: r["top"] for r in banded.groupBy("band").agg(F.max("doc_id").alias("top")).collect()}
+    heads = {r["band"]: r["top"] for r in solid.select("doc_id", band("doc_id").alias("band")).groupBy("band").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(heads)
-    copies = [(order[i], heads[order[(i + 1) % len(order)]]) for i in range(len(order))]
-    last = [b for b, top in copies if top is None]
-    groups: dict[int, list[int]] = {}
-    for b, top in copies:
-        if top is not None:
-            groups.setdefault(int(top), []).append(b)
-    look = F.lit(None).cast("array<int>")
-    if groups:
-        table = F.create_map(*(x for top, into in groups.items() for x in (F.lit(top).cast("long"), F.array(*map(F.lit, into)))))
-        look = F.try_element_at(table, F.col("doc_id"))
-    if last:
-        look = F.when(F.col("doc_id").isNull(), F.array(*map(F.lit, last))).otherwise(look)
-    targets = F.concat(F.array(F.struct(F.col("band").alias("band"), F.lit(0).alias("look"))), F.transform(F.coalesce(look, F.array().cast("array<int>")), lambda b: F.struct(b.cast("int").alias("band"), F.lit(1).alias("look"))))
-    dealt = banded.select("doc_id", "text", F.explode(targets).alias("t")).select("doc_id", "text", "t.band", "t.look")
+    copies: dict[int, list[int]] = {}
+    for i, b in enumerate(order):
+        copies.setdefault(heads[order[(i + 1) % len(order)]], []).append(b)
+
+    # only ids go to Python; cuts and copies travel with the function, so the plan doesn't grow with the bands
+    @F.pandas_udf("array<struct<band:int,look:int>>")
+    def targets(ids: pd.Series) -> pd.Series:
+        return pd.Series([[{"band": int(b), "look": 0}, *({"band": x, "look": 1} for x in copies.get(i, ()))] for i, b in zip(ids.tolist(), bands_of(ids))])
+
+    dealt = solid.select("doc_id", "text", F.explode(targets("doc_id")).alias("t")).select(F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), "text", "t.band", "t.look")
     dealt = dealt.repartition(parts(spark), "band").sortWithinPartitions("band", "look", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
     return map_by_id(dealt, _emit, _SCHEMA)
