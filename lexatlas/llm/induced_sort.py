@@ -198,23 +198,54 @@ def _direct(t: np.ndarray, a: int, b: int, cap: int) -> int:
     return int(d[0]) if len(d) else n
 
 
-def _induce(t, s_type, lms, lms_lcp, symbols, cap, limit, folder):
+def _run_starts(t: np.ndarray) -> np.ndarray:
+    """For each place, where its run of equal symbols begins."""
+    new = np.arange(len(t))
+    new[1:][t[1:] == t[:-1]] = 0
+    return np.maximum.accumulate(new)
+
+
+def _rest_of_runs(pos: np.ndarray, lcp: np.ndarray, starts: np.ndarray, cap: int) -> tuple[np.ndarray, ...]:
+    """All that a run's suffixes still induce in their own bucket, as (positions, common prefixes), and the same of run starts.
+
+    For suffixes that begin with more than ``depth`` equal symbols: their order no longer matters.
+    """
+    begin = starts[pos]
+    size = pos - begin + 1
+    last = np.cumsum(size)
+    every = np.repeat(pos + (last - size), size) - np.arange(last[-1])
+    common = np.full(len(every), cap, np.uint8)
+    common[0] = lcp[0]
+    ends = np.full(len(begin), cap, np.uint8)
+    ends[0] = lcp[0]
+    return every, common, begin, ends
+
+
+def _induce(t, s_type, lms, lms_lcp, symbols, cap, limit, folder, depth):
     """All suffixes in order, with common prefixes, from LMS suffixes in order."""
     n = len(t)
+    starts = None
     lower = ~s_type
     bounds = np.searchsorted(t[lms], np.arange(symbols + 1)) if len(lms) else np.zeros(symbols + 1, int)
     run = np.zeros(symbols, np.uint8)
     queue = SymbolQueue(symbols, limit, folder)
     large: list[list] = [[] for _ in range(symbols)]
     for c in range(symbols):
-        last = -1
+        last, rounds = -1, 0
         while blocks := queue.pop(c):
+            rounds += 1  # the entries of a round begin with as many symbols c at least
             for pos, lcp in blocks:
                 if last < 0:
                     lcp = lcp.copy()
                     lcp[0] = 0
-                large[c].append((pos, lcp))
-                last = int(pos[-1])
+                if rounds > depth:
+                    starts = _run_starts(t) if starts is None else starts
+                    every, common, pos, lcp = _rest_of_runs(pos, lcp, starts, cap)
+                    large[c].append((every, common))
+                    last = int(every[-1])
+                else:
+                    large[c].append((pos, lcp))
+                    last = int(pos[-1])
                 _scan(t, lower, pos, lcp, run, cap, queue)
         lo, hi = bounds[c], bounds[c + 1]
         if lo < hi:
@@ -228,14 +259,21 @@ def _induce(t, s_type, lms, lms_lcp, symbols, cap, limit, folder):
     at = n
     for c in range(symbols - 1, -1, -1):
         small: list = []
-        last = -1
+        last, rounds = -1, 0
         while blocks := queue.pop(c):
+            rounds += 1
             for pos, lcp in blocks:
                 if last < 0:
                     lcp = lcp.copy()
                     lcp[0] = 0
-                small.append((pos, lcp))
-                last = int(pos[-1])
+                if rounds > depth:
+                    starts = _run_starts(t) if starts is None else starts
+                    every, common_run, pos, lcp = _rest_of_runs(pos, lcp, starts, cap)
+                    small.append((every, common_run))
+                    last = int(every[-1])
+                else:
+                    small.append((pos, lcp))
+                    last = int(pos[-1])
                 _scan(t, s_type, pos, lcp, run, cap, queue)
         if c == 0 and s_type[n - 1]:
             small.append((np.array([n - 1]), np.zeros(1, np.uint8)))
@@ -261,12 +299,12 @@ def _induce(t, s_type, lms, lms_lcp, symbols, cap, limit, folder):
     return order, common
 
 
-def _same(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether t[a : a + size] equals t[b : b + size]."""
+def _same(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, depth: int) -> np.ndarray:
+    """Whether t[a : a + size] equals t[b : b + size], as far as ``depth`` symbols and one more."""
     out = np.ones(len(a), bool)
     live = np.arange(len(a))
     j = 0
-    while len(live):
+    while len(live) and j <= depth:
         live = live[size[live] > j]
         bad = t[a[live] + j] != t[b[live] + j]
         out[live[bad]] = False
@@ -399,7 +437,7 @@ def _lms_order(t: np.ndarray, s_type: np.ndarray, symbols: int, depth: int, limi
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if len(lms) < 2:
         return lms
-    first = _induced(t, s_type, lms[np.argsort(t[lms], kind="stable")], symbols, limit, few, folder, span)
+    first = _induced(t, s_type, lms[np.argsort(t[lms], kind="stable")], symbols, depth, limit, few, folder, span)
     mark = np.zeros(n, bool)
     mark[lms] = True
     found = first[mark[first]]
@@ -408,7 +446,7 @@ def _lms_order(t: np.ndarray, s_type: np.ndarray, symbols: int, depth: int, limi
     size = np.minimum(nxt[found] + 1, n) - found
     a, b = found[:-1], found[1:]
     equal = (size[:-1] == size[1:]) & (nxt[a] < n) & (nxt[b] < n)
-    equal[equal] = _same(t, a[equal], b[equal], size[:-1][equal])
+    equal[equal] = _same(t, a[equal], b[equal], size[:-1][equal], depth)
     if not equal.any():
         return found
     name = np.empty(n, np.int64)
@@ -419,16 +457,16 @@ def _lms_order(t: np.ndarray, s_type: np.ndarray, symbols: int, depth: int, limi
     return lms[_name_order(names, top + 1, depth // 2 + 2, limit, few, folder, span)]
 
 
-def _induced(t, s_type, lms, symbols: int, limit: int, few: int, folder: str | None, span: int) -> np.ndarray:
+def _induced(t, s_type, lms, symbols: int, depth: int, limit: int, few: int, folder: str | None, span: int) -> np.ndarray:
     if symbols <= few:
-        return _induce(t, s_type, lms, np.zeros(len(lms), np.uint8), symbols, 0, limit, folder)[0]
+        return _induce(t, s_type, lms, np.zeros(len(lms), np.uint8), symbols, 0, limit, folder, depth)[0]
     return _induce_ranges(t, s_type, lms, symbols, limit, folder, span)
 
 
 def _name_order(t: np.ndarray, symbols: int, depth: int, limit: int, few: int, folder: str | None, span: int) -> np.ndarray:
     """Order of the suffixes of names, by ``depth`` of them at least."""
     s_type = types(t)
-    return _induced(t, s_type, _lms_order(t, s_type, symbols, depth, limit, few, folder, span), symbols, limit, few, folder, span)
+    return _induced(t, s_type, _lms_order(t, s_type, symbols, depth, limit, few, folder, span), symbols, depth, limit, few, folder, span)
 
 
 def suffix_order(t: np.ndarray, symbols: int, depth: int, limit: int = 1 << 24, few: int = FEW, folder: str | None = None, span: int = _SPAN) -> tuple[np.ndarray, np.ndarray]:
@@ -442,4 +480,4 @@ def suffix_order(t: np.ndarray, symbols: int, depth: int, limit: int = 1 << 24,
         return np.zeros(1, np.int64), np.zeros(1, np.uint8)
     lms = _lms_order(t, s_type, symbols, depth, limit, few, folder, span)
     lms_lcp = np.r_[np.uint8(0), _common(t, lms[:-1], lms[1:], depth)]
-    return _induce(t, s_type, lms, lms_lcp, symbols, depth, limit, folder)
+    return _induce(t, s_type, lms, lms_lcp, symbols, depth, limit, folder, depth)

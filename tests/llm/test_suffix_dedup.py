@@ -140,3 +140,23 @@ def test_induction_by_ranges():
         for i in range(1, len(cut)):
             n = next((j for j, (x, y) in enumerate(zip(cut[i - 1], cut[i])) if x != y), min(len(cut[i - 1]), len(cut[i])))
             assert common[i] == n
+
+
+def test_long_runs():
+    """Runs of equal symbols shorter and longer than the depth, and two megabytes of runs and periods in a moment."""
+    import time
+
+    from lexatlas.llm import induced_sort
+
+    rng = np.random.default_rng(3)
+    for k in range(60):
+        symbols = rng.integers(1, 5, rng.integers(1, 8))
+        t = np.r_[np.repeat(symbols, rng.integers(1, 160, len(symbols))), 0].astype(np.uint16)
+        order, common = induced_sort.suffix_order(t, 258, 50, limit=50 if k % 2 else 1 << 20, few=1 if k % 3 else 1024, span=1 + k)
+        cut = [tuple(t[i : i + 50]) for i in order]
+        assert sorted(order.tolist()) == list(range(len(t))) and cut == sorted(cut)
+        assert all(common[i] == next((j for j, (x, y) in enumerate(zip(cut[i - 1], cut[i])) if x != y), min(len(cut[i - 1]), len(cut[i]))) for i in range(1, len(cut)))
+    t = np.r_[np.full(1_000_000, 122), 1, np.full(1_000_000, 122), 1, np.tile([97, 98], 300_000), 1, 0].astype(np.uint16)
+    began = time.process_time()
+    induced_sort.suffix_order(t, 258, 50)
+    assert time.process_time() - began < 20
