@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_pair_index, config_lp_packing, entropy_secrets, line_dedup, quality_cnn, quartile_digest, quote_linking, suffix_dedup, tensored_minhash, voronoi_knn
+from . import annulus_kmeans, bpe_pair_index, config_lp_packing, entropy_secrets, language_id, line_dedup, merkle_manifest, quality_cnn, quartile_digest, quote_linking, suffix_dedup, tensored_minhash, voronoi_knn
 from .common import table
 
 #: Vocabulary files are parameters; nothing of them is kept in this repository.
@@ -62,12 +62,101 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "kept")
 
 
+def op11_annulus_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus_kmeans.clustered(table(spark, sf_dir, "embeddings"), k=16, rounds=3).drop("compared")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.document_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.classify(docs, language_id.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_cnn, op2_quartile_digest, op3_voronoi_knn, op4_line_dedup, op5_config_lp_packing, op6_quote_linking, op7_bpe_pair_index, op8_suffix_dedup, op9_entropy_secrets, op10_tensored_minhash)
+    for f in (op1_quality_cnn, op2_quartile_digest, op3_voronoi_knn, op4_line_dedup, op5_config_lp_packing, op6_quote_linking, op7_bpe_pair_index, op8_suffix_dedup, op9_entropy_secrets, op10_tensored_minhash, op11_annulus_kmeans, op12_merkle_manifest, op13_language_id)
 }
 
+
+
+def _kmeans_sql(rounds: int = 3) -> str:
+    """One pair of expressions a round: the nearest centroid of each vector, and the floor of each cluster's mean."""
+    out = ["""v as (
+  select row_number() over () as r, vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as e from embeddings
+  where embedding is not null and len(embedding) = 64 and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), c0 as (
+  select row_number() over (order by sha256('1:' || cast(vec_id as varchar)), e) - 1 as cluster, e from v
+  qualify row_number() over (order by sha256('1:' || cast(vec_id as varchar)), e) <= 16
+)"""]
+    for i in range(rounds + 1):
+        out.append(f"""a{i} as (
+  select r, vec_id, v.e, cluster, list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v.e, c.e)]) as distance from v cross join c{i} c
+  qualify row_number() over (partition by r order by distance, cluster) = 1
+)""")
+        if i < rounds:
+            out.append(f"""s{i} as (
+  select cluster, place, sum(x) as s, count(*) as n from (select cluster, generate_subscripts(e, 1) as place, unnest(e) as x from a{i}) group by cluster, place
+), m{i} as (
+  select cluster, list(cast((s - ((s % n) + n) % n) // n as bigint) order by place) as e from s{i} group by cluster
+), c{i + 1} as (
+  select c.cluster, coalesce(m.e, c.e) as e from c{i} c left join m{i} m on m.cluster = c.cluster
+)""")
+    return "with " + ", ".join(out) + f"""
+select vec_id, cast(a.cluster as integer) as cluster, cast(distance as bigint) as distance,
+  cast(sum(distance) over (partition by a.cluster) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia,
+  sha256(array_to_string(c.e, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} c on c.cluster = a.cluster"""
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """One expression a level of the languages' trees and of the tree above; 8^levels leaves a tree at most."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    field = lambda c: f"coalesce(cast(octet_length(encode(cast({c} as varchar))) as varchar) || ':' || cast({c} as varchar), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    crc = "list_reduce([4294967295] || [ascii(x) for x in string_split(cast(doc_id as varchar), '')], lambda c, b: list_reduce([xor(c, b)] || range(8), lambda v, i: xor(v >> 1, (v & 1) * 3988292384)))"
+    out = [f"""d as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n
+  from (select doc_id, lang, {leaf("text")} as leaf, case when xor({crc}, 4294967295) % 3 = 0 then {leaf(lower)} end as other from documents)
+), n0 as (
+  select lang, i, n, leaf as h from d
+)"""]
+
+    def step(name: str, key: str, k: int) -> str:
+        same = f"p.{key} is not distinct from q.{key} and p.i = q.i // 8" if key else "p.i = q.i // 8"
+        by = f"{key}, " if key else ""
+        return f"""{name}{k + 1} as (
+  select {by}i // 8 as i, any_value((n + 7) // 8) as n, case when any_value(n) = 1 then min(h) else sha256(string_agg(h, '' order by i)) end as h from {name}{k} group by {by}i // 8
+), {name}p{k} as (
+  select {"q." + key + ", " if key else ""}q.i, coalesce(string_agg(s.h, '' order by s.i) filter (s.i < q.i), '') as before,
+    coalesce(string_agg(s.h, '' order by s.i) filter (s.i > q.i), '') as after, any_value(q.n) as n
+  from {name}{k} q join {name}{k} s on {"s." + key + " is not distinct from q." + key + " and " if key else ""}s.i // 8 = q.i // 8 group by {"q." + key + ", " if key else ""}q.i
+)"""
+
+    out += [step("n", "lang", k) for k in range(levels)]
+    out.append(f"l as (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as li, count(*) over () as n from n{levels}), t0 as (select li as i, n, subroot as h from l)")
+    out += [step("t", "", k) for k in range(levels)]
+    proof, joins = [], []
+    for name, key, i in (("n", "lang", "d.i"), ("t", "", "l.li")):
+        for k in range(levels):
+            p = f"{name}p{k}"
+            joins.append(f"join {p} on " + (f"{p}.lang is not distinct from d.lang and " if key else "") + f"{p}.i = {i} // {8**k}")
+            proof.append(f"{p}.before || {p}.after")
+    out.append(f"u as (select d.doc_id, d.leaf, d.other, d.i, l.li, l.subroot, (select h from t{levels}) as root, sha256({' || '.join(proof)}) as proof_sha256, coalesce(d.other, d.leaf) as f0, "
+               + ", ".join(f"{n}p{k}.before as {n}b{k}, {n}p{k}.after as {n}a{k}, {n}p{k}.n as {n}n{k}" for n in "nt" for k in range(levels))
+               + " from d join l on l.lang is not distinct from d.lang " + " ".join(joins) + ")")
+    last = "u"
+    for m, (n, k) in enumerate([(n, k) for n in "nt" for k in range(levels)]):
+        out.append(f"f{m + 1} as (select *, case when {n}n{k} = 1 then f{m} else sha256({n}b{k} || f{m} || {n}a{k}) end as f{m + 1} from {last})")
+        last = f"f{m + 1}"
+    return "with " + ", ".join(out) + f"\nselect doc_id, leaf, subroot, root, proof_sha256, f{2 * levels} as folded_root, f{2 * levels} = root as verified from {last}"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_annulus_kmeans": _kmeans_sql(),
+    "op12_merkle_manifest": _merkle_sql(),
     "op3_voronoi_knn": """
 with v as (
   select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as e from embeddings
