@@ -12,18 +12,18 @@ learned from; with no usable row every text is ``und``; with one language, that
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_fold, map_by_id
 
 MAX_N, BUCKETS = 4, 1 << 15
-#: Bounds of the sample that weights are learned from: rows of all languages together, and features of one row (BUCKETS by itself).
-MAX_ROWS = 4000
+#: Bounds of the sample that weights are learned from: rows of all languages together, and features of them as far as their lengths tell.
+MAX_ROWS, MAX_FEATURES = 4000, 24_000_000
 FOLDS, HELD_OUT = 4, 2
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.05, 0.01
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -60,8 +60,8 @@ def unit(found: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / np.sqrt((w * w).sum())
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_labels: int, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
-    """Weights (BUCKETS + 1, n_labels), the last row being the bias, which is not regularised by L1."""
+def fit_ftrl(row: Callable[[int], tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_labels: int, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
+    """Weights (BUCKETS + 1, n_labels) from ``row(i)`` (features, values); the last row is the bias, which L1 leaves alone."""
     z, n = np.zeros((BUCKETS + 1, n_labels)), np.zeros((BUCKETS + 1, n_labels))
     l1 = np.full(BUCKETS + 1, L1)
     l1[BUCKETS] = 0
@@ -72,8 +72,8 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_la
         return -np.sign(zi) * np.maximum(np.abs(zi) - li, 0) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
 
     for _ in range(epochs):
-        for r in rng.permutation(len(rows)):
-            at, x = rows[r]
+        for r in rng.permutation(len(labels)):
+            at, x = row(r)
             at, x = np.append(at, BUCKETS), np.append(x, 1.0)
             w = weights(at)
             s = x @ w
@@ -129,26 +129,34 @@ def _document_frequency(rows: DataFrame) -> tuple[np.ndarray, int]:
     return total[:BUCKETS], int(total[BUCKETS])
 
 
-def _sample(rows: DataFrame, max_rows: int) -> pd.DataFrame:
-    """``lang, feature, tf`` (arrays) of at most ``max_rows`` rows, as evenly over the languages as they have rows; chosen by a hash of the id.
+def _sample(rows: DataFrame, max_rows: int, max_features: int = MAX_FEATURES) -> pd.DataFrame:
+    """``lang, feature, tf`` (16-bit and 32-bit numbers as bytes) of at most ``max_rows`` texts, as evenly over the languages as they have rows.
 
-    Rows under a language's share of the hash range are kept, so no language is gathered anywhere to be cut.
+    Texts are chosen by a hash of id and text, whose range is cut by a language's number of rows: no language is gathered anywhere, and copies
+    of a row count once.  Rows beyond ``max_features``, in hash order, are left out.
     """
-    # a language gets a row in 2 * max_rows at least; more of them than that can't be learned from so few rows
     found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows).collect()
     each = max_rows // max(1, len(found))
-    share = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * each / r["n"])) for r in found], "lang string, share double")
-    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(1)), 11) / F.lit(float(1 << 53))
-    drawn = rows.withColumn("place", place).join(F.broadcast(share), "lang").where(F.col("place") < F.col("share"))  # ``share`` has max_rows rows at most
+    spark = rows.sparkSession
+    share = spark.createDataFrame([(r["lang"], min(1.0, 2.0 * each / r["n"])) for r in found], "lang string, share double")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11)
+    drawn = rows.withColumn("place", place).join(F.broadcast(share), "lang").where(F.col("place") / float(1 << 53) < F.col("share"))  # ``share`` has max_rows rows at most
+    # about 2 * each different places a language, of which the first are taken: max_rows rows of three numbers
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    sizes = drawn.groupBy("lang", "place").agg(F.max(F.least(MAX_N * F.length("text").cast("long"), F.lit(BUCKETS))).alias("size"))
+    chosen = sorted(sizes.withColumn("r", first).where(F.col("r") <= each).collect(), key=lambda r: (r["place"], r["lang"]))
+    fits = np.cumsum([r["size"] for r in chosen]) <= max_features
+    taken = spark.createDataFrame([(r["lang"], r["place"]) for r, ok in zip(chosen, fits) if ok], "lang string, place long")
+    once = drawn.join(F.broadcast(taken), ["lang", "place"]).groupBy("lang", "place").agg(F.min("text").alias("text"))
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf[[has_letter(t) for t in pdf["text"]]]
             both = [counts(t) for t in pdf["text"]]
-            yield pd.DataFrame({"lang": pdf["lang"].to_numpy(), "place": pdf["place"].to_numpy(), "feature": [f.astype(np.int32) for f, _ in both], "tf": [t for _, t in both]})
+            yield pd.DataFrame({"lang": pdf["lang"].to_numpy(), "place": pdf["place"].to_numpy(), "feature": [f.astype(np.uint16).tobytes() for f, _ in both], "tf": [t.astype(np.uint32).tobytes() for _, t in both]})
 
-    got = drawn.select("lang", "place", "text").orderBy("place").limit(2 * max_rows).mapInPandas(featured, "lang string, place double, feature array<int>, tf array<long>").toPandas()
-    return got.sort_values(["place", "lang"], kind="stable").groupby("lang", sort=False).head(each).reset_index(drop=True)
+    got = once.mapInPandas(featured, "lang string, place long, feature binary, tf binary").toPandas()
+    return got.sort_values(["place", "lang"], kind="stable").reset_index(drop=True)
 
 
 def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> dict:
@@ -160,12 +168,16 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> dict:
     df, n = _document_frequency(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
     names, label = np.unique(sample["lang"].to_numpy().astype(str), return_inverse=True)
-    x = [(f, unit(f, t, idf)) for f, t in zip(sample["feature"], sample["tf"])]
-    later = np.arange(len(x)) % 5 == 4  # rows lie in hash order
-    seen = np.flatnonzero(~later)
-    w = fit_ftrl([x[i] for i in seen], label[seen], len(names))
-    scores = np.array([v @ w[f] + w[BUCKETS] for f, v in (x[i] for i in np.flatnonzero(later))]).reshape(-1, len(names))
-    return {"names": names, "weights": w.astype(np.float32), "idf": idf, "temperature": fit_temperature(scores, label[later])}
+
+    def row(i: int) -> tuple[np.ndarray, np.ndarray]:
+        found = np.frombuffer(sample["feature"][i], np.uint16).astype(np.int64)
+        return found, unit(found, np.frombuffer(sample["tf"][i], np.uint32), idf)
+
+    later = np.arange(len(sample)) % 5 == 4  # rows lie in hash order
+    seen, left = np.flatnonzero(~later), np.flatnonzero(later)
+    w = fit_ftrl(lambda r: row(seen[r]), label[seen], len(names))
+    scores = np.array([v @ w[f] + w[BUCKETS] for f, v in map(row, left)]).reshape(-1, len(names))
+    return {"names": names, "weights": w.astype(np.float32), "idf": idf, "temperature": fit_temperature(scores, label[left])}
 
 
 def predict(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray]:
