@@ -168,21 +168,33 @@ with v as (
   select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s
 )
 select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from r where rank <= 5""",
+    # pieces end at line and sentence ends; they are joined until they have 15 words, the rest of a text joins its last unit
     "op4_line_dedup": r"""
-with lines as (
-  select doc_id, generate_subscripts(ls, 1) as k, unnest(ls) as line
-  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)
-), placed as (
-  select doc_id, k, line, sum(length(line) + 1) over (partition by doc_id order by k) - length(line) - 1 as s,
-    lower(trim(regexp_replace(line, '[ \t\r\f\v]+', ' ', 'g'), ' ')) as norm
-  from lines
+with recursive p as (
+  select doc_id, text, string_split(regexp_replace(text, '([.!?][ \t\n\r\f]+|\n[ \t\n\r\f]*)', '\1' || chr(1), 'g'), chr(1)) as ps
+  from (select doc_id, coalesce(text, '') as text from documents)
+), a as (
+  select doc_id, k, piece, sum(length(piece)) over (partition by doc_id order by k) - length(piece) as s,
+    len([x for x in string_split_regex(piece, '[ \t\n\r\f\v]+') if x <> '']) as words
+  from (select doc_id, generate_subscripts(ps, 1) as k, unnest(ps) as piece from p) where piece <> ''
+), r(doc_id, k, e, start, words) as (
+  select doc_id, k, s + length(piece), s, words from a where k = 1
+  union all
+  select a.doc_id, a.k, a.s + length(a.piece), case when r.words >= 15 then a.s else r.start end, case when r.words >= 15 then a.words else r.words + a.words end
+  from r join a on a.doc_id = r.doc_id and a.k = r.k + 1
+), u as (
+  select doc_id, start, max(e) as e, max(words) >= 15 as whole from r group by doc_id, start
+), v as (
+  select doc_id, case when whole then start else coalesce(lag(start) over (partition by doc_id order by start), start) end as start, e from u
+), t as (
+  select v.doc_id, start::bigint as s, max(e)::bigint as e, substr(any_value(text), start::bigint + 1, (max(e) - start)::bigint) as unit from v join p using (doc_id) group by v.doc_id, start
 ), ranked as (
-  select *, len(string_split(norm, ' ')) >= 5 and row_number() over (partition by norm order by doc_id, k) > 1 as gone from placed
+  select *, norm <> '' and row_number() over (partition by norm order by doc_id, s) > 1 as gone
+  from (select *, lower(trim(regexp_replace(unit, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) as norm from t)
 )
-select doc_id, case when sum(length(line)) + count(*) = 1 then 0 else count(*) end as n_units, count(*) filter (gone) as n_removed,
-  coalesce(string_agg(s::bigint || ':' || (s + length(line))::bigint, ',' order by k) filter (gone), '') as removed,
-  sha256(coalesce(string_agg(line, chr(10) order by k) filter (not gone), '')) as kept_sha256
-from ranked group by doc_id""",
+select p.doc_id, count(s) as n_units, count(*) filter (gone) as n_removed, coalesce(string_agg(s || ':' || e, ',' order by s) filter (gone), '') as removed,
+  sha256(coalesce(string_agg(unit, '' order by s) filter (not gone), '')) as kept_sha256
+from p left join ranked on ranked.doc_id = p.doc_id group by p.doc_id""",
     "op8_suffix_dedup": """
 with d as (
   select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents
