@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import staging
+
 
 def shares(df: DataFrame, col: str) -> DataFrame:
     """Count and share of each value."""
@@ -25,14 +27,51 @@ def pivot_counts(df: DataFrame, by: str, category: str, values: list[str]) -> Da
     return df.groupBy(by).agg(*(F.count_if(F.col(category) == v).alias(v) for v in values))
 
 
+#: Relative rank error of the sketch that narrows a quantile down is at most 1 / ACCURACY.
+ACCURACY = 2000
+
+
+def quantiles(df: DataFrame, col: str, by: str, wanted: dict[str, float]) -> DataFrame:
+    """``by`` and the exact quantiles of ``col`` in each group, linear between neighbours; nulls are left out.
+
+    Equal values are counted first.  A sketch of bounded size gives a range of values for each quantile that holds about 4 / ACCURACY of the rows; the
+    rows below it are counted and only the values within are put in order, so no buffer holds all values of a group.
+    """
+    rows = df.where(F.col(col).isNotNull()).select(F.col(by).alias("_by"), F.col(col).alias("_v"))
+    counted = staging.written(rows.groupBy("_by", "_v").agg(F.count("*").alias("_n")), "counted-values")
+    edge = 2.0 / ACCURACY
+    around = [(name, p, max(0.0, p - edge), min(1.0, p + edge)) for name, p in wanted.items()]
+    sketch = F.percentile_approx("_v", [x for _, _, a, b in around for x in (a, b)], F.lit(ACCURACY))
+    total = rows.groupBy("_by").agg(F.count("*").alias("_rows"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_s"))
+    ranges = F.array(*(F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("_rows") - 1)).alias("at"), F.col("_s")[2 * i].alias("lo"), F.col("_s")[2 * i + 1].alias("hi")) for i, (name, p, _, _) in enumerate(around)))
+    state = total.select(F.col("_by").alias("_g"), "_min", "_max", F.explode(ranges).alias("_q")).select("_g", "_min", "_max", "_q.*")
+    state = staging.written(state, "quantile-ranges")
+
+    def met(ranges: DataFrame) -> DataFrame:
+        return counted.join(ranges, F.col("_by").eqNullSafe(F.col("_g")))
+
+    below = met(state).groupBy("_g", "name").agg(F.sum(F.when(F.col("_v") < F.col("lo"), F.col("_n")).otherwise(0)).alias("below"), F.sum(F.when(F.col("_v").between(F.col("lo"), F.col("hi")), F.col("_n")).otherwise(0)).alias("inside"))
+    both = state.join(below.withColumnsRenamed({"_g": "_h", "name": "_name"}), F.col("_g").eqNullSafe(F.col("_h")) & (F.col("name") == F.col("_name")))
+    held = (F.col("below") <= F.floor("at")) & (F.ceil("at") < F.col("below") + F.col("inside"))  # else the whole range is searched
+    sure = both.select("_g", "name", "at", F.when(held, F.col("lo")).otherwise(F.col("_min")).alias("lo"), F.when(held, F.col("hi")).otherwise(F.col("_max")).alias("hi"), F.when(held, F.col("below")).otherwise(0).alias("below"))
+    inner = met(sure).where(F.col("_v").between(F.col("lo"), F.col("hi")))
+    upto = F.col("below") + F.sum("_n").over(Window.partitionBy("_g", "name").orderBy("_v"))
+    ends = inner.withColumn("_upto", upto).groupBy("_g", "name", "at").agg(F.min(F.when(F.col("_upto") > F.floor("at"), F.col("_v"))).alias("a"), F.min(F.when(F.col("_upto") > F.ceil("at"), F.col("_v"))).alias("b"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
+    return ends.groupBy(F.col("_g").alias(by)).agg(*(F.max(F.when(F.col("name") == name, value)).alias(name) for name in wanted))
+
+
 def describe(df: DataFrame, col: str, by: str) -> DataFrame:
-    q = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    return df.groupBy(by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev(col).alias("std"), F.min(col).alias("min"), *(F.percentile(col, v).alias(k) for k, v in q.items()), F.max(col).alias("max"))
+    base = df.groupBy(by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
+    q = quantiles(df, col, by, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).withColumnRenamed(by, "_by")
+    return base.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def span_lengths(df: DataFrame, start: str, end: str) -> DataFrame:
-    n = F.col(end) - F.col(start)
-    return df.agg(F.min(n).alias("min_length"), F.percentile(n, 0.5).alias("median_length"), F.max(n).alias("max_length"), F.count("*").alias("n"))
+    rows = staging.written(df.select((F.col(end) - F.col(start)).alias("length"), F.lit(0).alias("all")), "span-lengths")
+    base = rows.agg(F.min("length").alias("min_length"), F.max("length").alias("max_length"), F.count("*").alias("n"))
+    middle = quantiles(rows, "length", "all", {"median_length": 0.5}).select("median_length")
+    return base.join(middle, F.lit(True), "left").select("min_length", "median_length", "max_length", "n")  # one row each
 
 
 def gate_breakdown(rows: DataFrame, min_top1: float = 0.60) -> DataFrame:

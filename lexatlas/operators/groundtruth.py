@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import chunking
 
 _ATTRIBUTES = ("name", "type", "obfuscation", "this_language", "source_language", "manual_obfuscation", "this_offset", "this_length", "source_reference", "source_offset", "source_length")
 XML_SCHEMA = "struct<_reference:string,feature:array<struct<" + ",".join(f"_{a}:string" for a in _ATTRIBUTES) + ">>>"
@@ -43,19 +44,51 @@ def to_xml_text(spans: DataFrame) -> DataFrame:
     return one.select("suspicious_reference", F.concat(F.lit('<document reference="'), "suspicious_reference", F.lit('">\n'), F.array_join("xs", "\n"), F.lit("\n</document>")).alias("xml"))
 
 
+#: Code points of a passage that the automaton looks for, and bounds of a portion of passages: their number and their characters, about.
+ANCHOR, PASSAGES, CHARACTERS = 16, 1 << 16, 1 << 24
+
+
 def planted(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """First place of every passage in every text that contains it: an equi-join on the passage's first four words, then a search."""
-    p = passages.select("item_id", F.col("text").alias("passage"), F.split("text", " ").alias("pw")).where(F.length("passage") > 0)
-    p = p.select("item_id", "passage", F.array_join(F.slice("pw", 1, 4), " ").alias("anchor"), F.size("pw").alias("n"))
-    long, short = p.where("n > 4"), p.where("n <= 4").select("item_id", "passage")
-    w = docs.select("doc_id", "text", F.split("text", r"\s+").alias("tk"))
-    grams = F.array_distinct(chunking.word_ngrams(F.col("tk"), 4, 4))
-    keys = w.select("doc_id", F.explode(grams).alias("anchor")).join(long.select("anchor", "item_id"), "anchor").select("doc_id", "item_id").distinct()
-    hits = keys.join(docs.select("doc_id", "text"), "doc_id").join(long.select("item_id", "passage"), "item_id")
-    if short.limit(1).count():  # passages of a few words have no anchor of their own
-        hits = hits.select("item_id", "doc_id", "text", "passage").union(short.join(docs.select("doc_id", "text"), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id", "text", "passage"))
-    at = F.instr("text", F.col("passage"))
-    return hits.where(at > 0).select(F.col("doc_id").alias("suspicious_doc_id"), F.col("item_id").alias("source_doc_id"), (at - 1).alias("suspicious_offset"), F.length("passage").alias("suspicious_length"), F.lit(0).alias("source_offset"), F.length("passage").alias("source_length"))
+    """First place of every passage in every text that contains it, wherever it begins and however short it is.
+
+    Every text is read once for each portion of passages: an automaton finds the beginnings of all of them at once, and the rest is
+    compared in place.  Different passages go out in portions of bounded size; texts are never shuffled, and ids are joined to what was found.
+    """
+    import pandas as pd
+
+    p = passages.select("item_id", F.col("text").alias("passage")).where(F.length("passage") > 0)
+    texts = p.select("passage").distinct()
+    n, chars = texts.agg(F.count("*"), F.sum(F.length("passage"))).first()
+    portions = max(1, -(-n // PASSAGES), -(-(chars or 0) // CHARACTERS))
+    source = docs.select("doc_id", "text").where("text is not null")
+    hits = None
+    for portion in range(portions):
+        some = [r["passage"] for r in texts.where(F.pmod(F.xxhash64("passage"), F.lit(portions)) == portion).collect()]  # a portion's share
+
+        def scan(batches: Iterator[pd.DataFrame], some: list[str] = some) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            begins: dict[str, list[str]] = {}
+            for x in some:
+                begins.setdefault(x[:ANCHOR], []).append(x)
+            automaton = ahocorasick.Automaton()
+            for anchor, mine in begins.items():
+                automaton.add_word(anchor, (len(anchor), mine))
+            automaton.make_automaton()
+            for pdf in batches:
+                rows = []
+                for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                    seen: dict[str, int] = {}
+                    for end, (size, mine) in automaton.iter(text) if begins else ():
+                        for x in mine:
+                            if x not in seen and text.startswith(x, end + 1 - size):
+                                seen[x] = end + 1 - size
+                    rows += [(doc_id, x, at) for x, at in seen.items()]
+                yield pd.DataFrame(rows, columns=["doc_id", "passage", "at"])
+
+        found = source.mapInPandas(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, passage string, at int")
+        hits = found if hits is None else hits.unionByName(found)
+    return hits.join(p, "passage").select(F.col("doc_id").alias("suspicious_doc_id"), F.col("item_id").alias("source_doc_id"), F.col("at").alias("suspicious_offset"), F.length("passage").alias("suspicious_length"), F.lit(0).alias("source_offset"), F.length("passage").alias("source_length"))
 
 
 def pair_rollup(spans: DataFrame, keys: tuple[str, ...] = ("suspicious_doc_id", "source_doc_id")) -> DataFrame:

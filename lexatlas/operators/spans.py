@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import intervals as I
 from ..functions import text as T
-from . import chunking, simjoin
+from . import chunking, interval_join, simjoin
 
 
 def islands(df: DataFrame, by: list[str], start: str, end: str, gap: int = 0) -> DataFrame:
@@ -52,13 +51,12 @@ def extend_by_trigrams(confirmed: DataFrame, suspicious: DataFrame, sources: Dat
     lead = F.row_number().over(Window.partitionBy("suspicious_doc_id").orderBy(F.desc("chars"), "source_doc_id"))
     lead = size.withColumn("_r", lead).where("_r = 1").select("suspicious_doc_id", F.col("source_doc_id").alias("lead"))
     q = chunking.char_windows(suspicious.join(lead, suspicious["doc_id"] == lead["suspicious_doc_id"]).select("doc_id", "text"), "doc_id", "text", window, stride)
-    inside = (q["doc_id"] == confirmed["suspicious_doc_id"]) & I.contains(confirmed["suspicious_start_char"], confirmed["suspicious_end_char"], q["start"], q["end"])
-    q = q.join(confirmed, inside, "left_anti")
+    sure = confirmed.select(F.col("suspicious_doc_id").alias("doc_id"), "suspicious_start_char", "suspicious_end_char")
+    q = interval_join.contained(sure, q, ["doc_id"], ("suspicious_start_char", "suspicious_end_char"), ("start", "end"), how="left_anti")
     s = chunking.char_windows(sources, "doc_id", "text", window, stride)
-    feats = lambda d: d.select(F.col("doc_id").alias("id"), F.col("start").alias("pos"), chunking.trigram_set(F.col("part")).alias("features"))
-    qf = feats(q).join(lead, F.col("id") == F.col("suspicious_doc_id")).select("id", "pos", F.transform("features", lambda x: F.concat_ws("|", "lead", x)).alias("features"))
-    sf = feats(s).select("id", "pos", F.transform("features", lambda x: F.concat_ws("|", "id", x)).alias("features"))
-    best = simjoin.jaccard_best(qf, sf, least)
+    feats = lambda d: d.select(F.col("doc_id").alias("id"), F.col("start").alias("pos"), F.lower("part").alias("text"))
+    qf = feats(q).join(lead, F.col("id") == F.col("suspicious_doc_id")).select("id", "pos", "text", "lead")
+    best = simjoin.trigram_best(qf, feats(s).withColumn("lead", F.col("id")), least, group="lead")
     found = best.select(F.col("q").alias("suspicious_doc_id"), F.col("s").alias("source_doc_id"), F.col("qpos").alias("suspicious_start_char"), (F.col("qpos") + window).alias("suspicious_end_char"), F.col("spos").alias("source_start_char"), (F.col("spos") + window).alias("source_end_char"), "score")
     return confirmed.unionByName(merge_matches(found, gap), allowMissingColumns=True)
 

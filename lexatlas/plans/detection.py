@@ -67,7 +67,12 @@ def with_chunks(found: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def lexical_candidates(spark: SparkSession, sf_dir: str, high: int = 2, k: int = 500) -> DataFrame:
-    a, b = chunks(spark, sf_dir)
+    return candidates_of(suspicious(spark, sf_dir), sources(spark, sf_dir), high, k)
+
+
+def candidates_of(docs: DataFrame, passages: DataFrame, high: int = 2, k: int = 500) -> DataFrame:
+    """Lexical candidates of any documents against any sources (doc_id, clean_text); each document's are its own, whatever the others."""
+    a, b = chunking.chunk_table(docs, SIZE, OVERLAP, MIN_SUSPICIOUS), chunking.chunk_table(passages, SIZE, OVERLAP, MIN_SOURCE)
     return with_chunks(simjoin.sparse_top_k(*weighted(a, b, high), k), a, b)
 
 

@@ -82,10 +82,14 @@ CTES: dict[str, str] = {
     where (top1 >= 0.25e0 or top_branch >= 0.5e0) and (final_score >= top1 * 0.85e0 or coalesce(tfidf_rank <= 3, false) or coalesce(esa_rank <= 3, false))""",
     "lm": "select feature, sum(tf) as total from tfa1 group by feature",
     "ppl": "select id, exp(-sum(tf * ln(total / (select sum(tf) from tfa1))) / sum(tf)) as perplexity from tfa1 join lm using (feature) group by id",
-    "pairs": f"""select k.*, list_distinct([substr(lower(a.chunk_text), i, 3) for i in range(1, length(a.chunk_text) - 1)]) as x, list_distinct([substr(lower(b.chunk_text), i, 3) for i in range(1, length(b.chunk_text) - 1)]) as y, perplexity
-    from (select *, row_number() over (partition by {PAIR} order by round(score, 9) desc, suspicious_chunk_id, source_chunk_id) as pair_rank from cand2) k
-    join cha a on a.chunk_id = k.suspicious_chunk_id join chb b on b.chunk_id = k.source_chunk_id left join ppl on ppl.id = k.suspicious_chunk_id where pair_rank <= 25""",
-    "shared": f"""select {PAIR}, count(*) as n_pairs, max(len(list_intersect(x, y)) / least(len(x), len(y))) as share, coalesce(avg((perplexity > 20000)::int) filter (pair_rank <= 10) >= 0.5, false) as capped from pairs group by {PAIR}""",
+    "pairs": f"""select k.*, perplexity from (select *, row_number() over (partition by {PAIR} order by round(score, 9) desc, suspicious_chunk_id, source_chunk_id) as pair_rank from cand2) k
+    left join ppl on ppl.id = k.suspicious_chunk_id where pair_rank <= 25""",
+    **{f"tri{x}": f"select distinct chunk_id, unnest([substr(lower(chunk_text), i, 3) for i in range(1, length(chunk_text) - 1)]) as g from ch{x}" for x in "ab"},
+    **{f"ntri{x}": f"select chunk_id, count(*) as n from tri{x} group by chunk_id" for x in "ab"},
+    "met": "select distinct suspicious_chunk_id, source_chunk_id from pairs",
+    "common": "select suspicious_chunk_id, source_chunk_id, count(*) as n from met join trib y on y.chunk_id = source_chunk_id join tria x on x.chunk_id = suspicious_chunk_id and x.g = y.g group by suspicious_chunk_id, source_chunk_id",
+    "shared": f"""select {PAIR}, count(*) as n_pairs, max(coalesce(c.n, 0) / nullif(least(coalesce(x.n, 0), coalesce(y.n, 0)), 0)) as share, coalesce(avg((perplexity > 20000)::int) filter (pair_rank <= 10) >= 0.5, false) as capped
+    from pairs p left join common c using (suspicious_chunk_id, source_chunk_id) left join ntria x on x.chunk_id = suspicious_chunk_id left join ntrib y on y.chunk_id = source_chunk_id group by {PAIR}""",
     "stepped": "select *, case when share >= 0.9e0 then 1e0 when share >= 0.8e0 then 0.95e0 when share >= 0.7e0 then 0.85e0 when share >= 0.5e0 then 0.5e0 when share >= 0.3e0 then 0.25e0 else 0e0 end as step from shared",
     "confirmed": "select *, case when capped then least(step, 0.25e0) else step end as llm_score from stepped",
     "final_best": f"""select * from (select *, row_number() over (partition by suspicious_doc_id, suspicious_start_char, suspicious_end_char order by score desc, source_doc_id, source_start_char) as p

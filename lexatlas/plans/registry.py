@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..functions import text as T
-from ..operators import analytics, chunking, confirm, evaluate, fusion, groundtruth, ranking, simjoin, spans, staging, vectors
-from ..sources import vector_index
+from ..operators import analytics, chunking, confirm, evaluate, fusion, groundtruth, interval_join, ranking, simjoin, spans, staging, vectors
+from ..sources import cell_index, vector_index
 from . import detection as D
+from . import incremental
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,14 +96,27 @@ def n8_n9_n10_n16_slices(spark, sf):
     return D.texts(spark, sf).select("doc_id", T.substring(t, F.lit(10), F.lit(100)).alias("part"), T.find(t, F.lit("the")).cast("long").alias("first_the"), F.left(t, F.lit(120)).alias("head"), T.snippet(t).alias("snippet"))
 
 
-@query()
+def _escaped(e: str) -> str:
+    for raw, put in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        e = f"replace({e}, '{raw}', '{put}')"
+    return e
+
+
+@query(f"""select * from (with mr as (select suspicious_doc_id as doc_id, suspicious_start_char as a, suspicious_end_char as b,
+  max(suspicious_end_char) over (partition by suspicious_doc_id order by suspicious_start_char, suspicious_end_char rows between unbounded preceding and 1 preceding) as reach from merged),
+mi as (select *, sum(case when reach is null or a > reach then 1 else 0 end) over (partition by doc_id order by a, b rows unbounded preceding) as isl from mr),
+mu as (select doc_id, isl, least(min(a), 8000) as a, least(max(b), 8000) as b from mi group by doc_id, isl),
+mp as (select *, coalesce(lag(b) over (partition by doc_id order by isl), 0) as z from mu)
+select doc_id, string_agg(case when b > a then {_escaped("substr(clean_text, z + 1, a - z)")} || '<mark>' || {_escaped("substr(clean_text, a + 1, b - a)")} || '</mark>' else '' end, '' order by isl)
+  || {_escaped("substr(left(any_value(clean_text), 8000), max(b) + 1)")} as html from mp join docs using (doc_id) group by doc_id)""")
 def n15_m8_highlight(spark, sf):
     found = spans.union(D.detections(spark, sf).select("suspicious_doc_id", F.col("suspicious_start_char").alias("start"), F.col("suspicious_end_char").alias("end")), ["suspicious_doc_id"])
     marks = found.groupBy("suspicious_doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("marks"))
     return D.suspicious(spark, sf).join(marks, F.col("doc_id") == F.col("suspicious_doc_id")).select("doc_id", T.highlight(F.col("clean_text"), F.col("marks")).alias("html"))
 
 
-@query()
+@query(f"""select {SQL_PAIR}, string_agg('Pair ' || pair_rank || chr(10) || 'Suspicious: ' || left(a.chunk_text, 600) || chr(10) || 'Source: ' || left(b.chunk_text, 600), chr(10) || chr(10) order by pair_rank) as prompt
+  from pairs p join cha a on a.chunk_id = p.suspicious_chunk_id join chb b on b.chunk_id = p.source_chunk_id group by {SQL_PAIR}""")
 def n17_d8_prompts(spark, sf):
     return confirm.prompts(confirm.build_pairs(D.lexical_candidates(spark, sf), *D.chunks(spark, sf)))
 
@@ -241,7 +255,12 @@ def v11_v12_embedding_candidates(spark, sf):
     return D.dense_candidates(spark, sf, "embedding", 20).select("suspicious_chunk_id", "source_chunk_id", *r6("score"), "rank")
 
 
-@query()
+@query("""select q, s, round(score, 6) as score, rank::integer as rank from (
+  select *, row_number() over (partition by q order by score desc, s) as rank from (
+    select p.q, c.q as s, sum(p.w * c.w) as score from
+      (select q, s, score / sqrt(sum(score * score) over (partition by q)) as w from sc1) p join
+      (select q, s, score / sqrt(sum(score * score) over (partition by q)) as w from (select a.id as q, b.id as s, sum(a.w * b.w) as score from wb1 a join wb1 b using (feature) group by a.id, b.id)) c on c.s = p.s
+    group by p.q, c.q) where score > 0) where rank <= 5""")
 def v8_concept_space(spark, sf):
     """Two chained sparse joins: chunks to concepts (the passages), then chunk profiles to passage profiles."""
     q, s = D.weights(spark, sf, 1)
@@ -277,6 +296,15 @@ def j3_j4_dense_top_k(spark, sf):
     return simjoin.dense_top_k(*_embeddings(spark, sf), 20).select("q", "s", *r6("score"), "rank")
 
 
+@query(f"select q, s, {sql_r6('score')}, rank::integer as rank from ({_DENSE}) where rank <= 20")
+def v12_j4_stored_search(spark, sf):
+    """The vectors are written in cells once; the search reopens the folder and reads only cells that can hold a query's best rows."""
+    asked, e = _embeddings(spark, sf)
+    folder = staging.fresh_folder(spark, "cells")
+    cell_index.build(e, folder)
+    return cell_index.search(spark, folder, asked, 20)[0].select("q", "s", *r6("score"), "rank")
+
+
 @query(f"select q, s, round(score, 4) as score, rank::integer as rank from ({_DENSE}) where rank <= 5 and round(score, 4) >= 0.3")
 def j5_threshold_search(spark, sf):
     return simjoin.threshold_search(simjoin.dense_top_k(*_embeddings(spark, sf), 5), 5, 0.30)
@@ -294,9 +322,9 @@ wf as (select doc_id, start, len(f) as n, unnest(f) as g from w), pf as (select
 c as (select doc_id, start, item_id, count(*) / (n + m - count(*)) as score from wf join pf using (g) group by doc_id, start, item_id, n, m)
 select doc_id as q, start::bigint as qpos, item_id as s, round(score, 6) as score from (select *, row_number() over (partition by doc_id, start order by score desc, item_id) as r from c) where r = 1 and score >= 0.12e0""")
 def j7_trigram_jaccard(spark, sf):
-    q = chunking.char_windows(D.suspicious(spark, sf), "doc_id", "clean_text").select(F.col("doc_id").alias("id"), F.col("start").cast("long").alias("pos"), chunking.trigram_set(F.col("part")).alias("features"))
-    s = D.sources(spark, sf).select(F.col("doc_id").alias("id"), F.lit(0).alias("pos"), chunking.trigram_set(F.col("clean_text")).alias("features"))
-    return simjoin.jaccard_best(q, s).select("q", "qpos", "s", *r6("score"))
+    q = chunking.char_windows(D.suspicious(spark, sf), "doc_id", "clean_text").select(F.col("doc_id").alias("id"), F.col("start").cast("long").alias("pos"), F.lower("part").alias("text"))
+    s = D.sources(spark, sf).select(F.col("doc_id").alias("id"), F.lit(0).alias("pos"), F.lower("clean_text").alias("text"))
+    return simjoin.trigram_best(q, s).select("q", "qpos", "s", *r6("score"))
 
 
 # relational
@@ -329,8 +357,8 @@ def r9_two_sided_overlap_join(spark, sf):
 @query("select c.chunk_id, m.source_doc_id from cha c join merged m on m.suspicious_doc_id = c.doc_id and m.suspicious_start_char <= c.start_char and c.end_char <= m.suspicious_end_char")
 def r10_containment_join(spark, sf):
     c, m = D.chunks(spark, sf)[0], D.detections(spark, sf)
-    on = (m["suspicious_doc_id"] == c["doc_id"]) & I.contains(m["suspicious_start_char"], m["suspicious_end_char"], c["start_char"], c["end_char"])
-    return c.join(m, on).select("chunk_id", "source_doc_id")
+    found = interval_join.contained(m.withColumnRenamed("suspicious_doc_id", "doc_id"), c, ["doc_id"], ("suspicious_start_char", "suspicious_end_char"), ("start_char", "end_char"))
+    return found.select("chunk_id", "source_doc_id")
 
 
 @query(f"select {SQL_PAIR}, suspicious_offset::bigint as suspicious_offset, suspicious_length::bigint as suspicious_length from planted")
@@ -482,10 +510,24 @@ def m4_m5_overlap_measures(spark, sf):
     return t.join(d, PAIR).select(*PAIR, *longs("t0", "d0"), I.overlap(*a).cast("long").alias("overlap"), I.overlaps(*a).alias("touches"))
 
 
-@query()
+_TRIGRAMS = "list_distinct([substr(lower(part), i, 3) for i in range(1, length(part) - 1)])"
+
+
+@query(f"""select * from (with lead as (select suspicious_doc_id as doc_id, source_doc_id as src_id from (
+  select {SQL_PAIR}, row_number() over (partition by suspicious_doc_id order by sum(suspicious_end_char - suspicious_start_char) desc, source_doc_id) as r from merged group by {SQL_PAIR}) where r = 1),
+w as (select doc_id, src_id, start, part from ({_WINDOWS}) join lead using (doc_id)
+  where not exists (select 1 from merged m where m.suspicious_doc_id = doc_id and m.suspicious_start_char <= start and stop <= m.suspicious_end_char)),
+x as (select doc_id, s as start, substr(clean_text, s + 1, 800) as part from (select doc_id, clean_text, unnest(range(0, greatest(0, length(clean_text) - 800) + 1, 400)) as s from src where length(clean_text) > 0)),
+wt as (select doc_id, src_id, start, len(f) as n, unnest(f) as g from (select *, {_TRIGRAMS} as f from w)), xt as (select doc_id as src_id, start as sstart, len(f) as m, unnest(f) as g from (select *, {_TRIGRAMS} as f from x)),
+j as (select doc_id, src_id, start, sstart, count(*) / (n + m - count(*)) as score from wt join xt using (src_id, g) group by doc_id, src_id, start, sstart, n, m),
+best as (select * from (select *, row_number() over (partition by doc_id, start order by score desc, sstart) as r from j) where r = 1 and score >= 0.12e0),
+far as (select *, max(start + 800) over (partition by doc_id, src_id order by start rows between unbounded preceding and 1 preceding) as reach from best),
+isl as (select *, sum(case when reach is null or start - reach > 1800 then 1 else 0 end) over (partition by doc_id, src_id order by start rows unbounded preceding) as i from far)
+select {SQL_PAIR}, {sql_longs("suspicious_start_char", "suspicious_end_char")} from merged
+union all select doc_id, src_id, min(start)::bigint, (max(start) + 800)::bigint from isl group by doc_id, src_id, i)""")
 def m6_a16_extended_spans(spark, sf):
     docs, src = (d.withColumnRenamed("clean_text", "text") for d in (D.suspicious(spark, sf), D.sources(spark, sf)))
-    return spans.extend_by_trigrams(D.detections(spark, sf), docs, src).select(*PAIR, "suspicious_start_char", "suspicious_end_char")
+    return spans.extend_by_trigrams(D.detections(spark, sf), docs, src).select(*PAIR, *longs("suspicious_start_char", "suspicious_end_char"))
 
 
 @query("select suspicious_doc_id, source_doc_id, suspicious_offset::bigint as start, (suspicious_offset + suspicious_length)::bigint as stop from planted")

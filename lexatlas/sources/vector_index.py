@@ -46,19 +46,68 @@ def build(vectors: DataFrame, path: str, model: str, dims: int, shard_rows: int
         raise ValueError(f"vector {wrong[0]['id']} has {len(wrong[0]['v'])} dimensions, not {dims}")
     base = 0
     if known is not None and _has_vectors(spark, path):
-        there = read(spark, path)
-        rows = rows.join(there.select("id"), "id", "left_anti")
-        base = (there.agg(F.max("shard")).first()[0] or 0) + 1
+        rows = rows.join(read(spark, path).select("id"), "id", "left_anti")
+        numbers = spark.read.parquet(f"{path}/vectors").select("shard")
+        if _exists(spark, f"{path}/records"):  # numbers of quarantined shards aren't used again
+            numbers = numbers.union(_records(spark, path).select("shard"))
+        last = numbers.agg(F.max("shard")).first()[0]
+        base = 0 if last is None else last + 1
     n = rows.count()
     if n:
         shards = max(1, -(-n // shard_rows))
         dealt = rows.withColumn("shard", (F.lit(base) + F.pmod(F.xxhash64("id"), F.lit(shards))).cast("int"))
         dealt.repartition(shards, "shard").write.mode("append").partitionBy("shard").parquet(f"{path}/vectors")
+        added = spark.read.parquet(f"{path}/vectors").where((F.col("shard") >= base) & (F.col("shard") < base + shards))
+        _contents(added).coalesce(1).write.mode("append").parquet(f"{path}/records")
     return n
 
 
+def _contents(rows: DataFrame) -> DataFrame:
+    """``shard, n, digest``: row counts, and a sum of row hashes that the order of rows doesn't change."""
+    return rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "v").cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("shard int, n long, digest string").parquet(f"{path}/records")
+
+
+def damaged(spark: SparkSession, path: str) -> list[int]:
+    """Shards whose rows aren't those that were written: files lost, cut short, altered or unreadable.  Quarantined ones don't count."""
+    rows = spark.read.schema("id " + dict(_readable(spark, path).dtypes)["id"] + ", v array<float>, shard int").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(f"{path}/vectors")
+    now = _contents(rows).withColumnsRenamed({"shard": "s", "n": "m", "digest": "d"})
+    wrong = _records(spark, path).join(now, F.col("shard") == F.col("s"), "left").where(~(F.col("n").eqNullSafe(F.col("m")) & F.col("digest").eqNullSafe(F.col("d"))))
+    if _exists(spark, f"{path}/quarantined"):
+        wrong = wrong.join(spark.read.schema("shard int").parquet(f"{path}/quarantined"), "shard", "left_anti")
+    return sorted(r["shard"] for r in wrong.select("shard").distinct().collect())  # numbers of shards
+
+
+def repair(vectors: DataFrame, path: str, model: str, dims: int, shard_rows: int = SHARD_ROWS) -> tuple[list[int], int]:
+    """Move damaged shards to ``quarantine`` and build only what they held; returns their numbers and how many vectors were written."""
+    spark = vectors.sparkSession
+    bad = damaged(spark, path)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for n in bad:
+        old, new = files.Path(f"{path}/vectors/shard={n}"), files.Path(f"{path}/quarantine/shard={n}")
+        system = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(new.getParent())
+        if system.exists(old) and not system.rename(old, new):
+            raise OSError(f"could not move {old.toString()}")
+    if bad:
+        spark.createDataFrame([(n,) for n in bad], "shard int").coalesce(1).write.mode("append").parquet(f"{path}/quarantined")
+    return bad, build(vectors, path, model, dims, shard_rows)
+
+
+def _readable(spark: SparkSession, path: str) -> DataFrame:
+    """The index read by the schema of any file that can be opened."""
+    return spark.read.option("ignoreCorruptFiles", "true").parquet(f"{path}/vectors")
+
+
 def _has_vectors(spark: SparkSession, path: str) -> bool:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/vectors/_SUCCESS")
+    return _exists(spark, f"{path}/vectors/_SUCCESS")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
@@ -73,7 +122,7 @@ def validate(spark: SparkSession, path: str, expected: int | None = None) -> int
     config, found = _config(spark, path), shards(spark, path)
     wrong = found.where((F.col("n_bad") > 0) | (F.col("min_dims") != config["dims"]) | (F.col("max_dims") != config["dims"])).limit(1).collect()
     if wrong:
-        raise ValueError(f"shard {wrong[0]['shard']} of {path} is corrupt: delete it and build again")
+        raise ValueError(f"shard {wrong[0]['shard']} of {path} is corrupt: repair the index")
     n = found.agg(F.sum("n_vectors")).first()[0] or 0
     if read(spark, path).groupBy("id").count().where("count > 1").limit(1).count():
         raise ValueError(f"an id occurs twice in {path}")
