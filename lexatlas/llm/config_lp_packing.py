@@ -5,9 +5,9 @@ piece lengths (at most ``capacity`` rows, whatever the corpus) goes to the drive
 LP, whose columns are the ways to fill one sequence, is solved by multiplicative weights: prices on
 lengths are raised where an average solution covers too little, and a knapsack dynamic program prices
 the best configuration through each length.  The solution is rounded down: configurations that fill a sequence
-are used in whole numbers, those of long pieces first.  What is left of the histogram is rounded up by the
-knapsack again, now bounded by what is left: each sequence takes the longest piece and the set of others that
-fills it best, as often as the supply allows.
+are used in whole numbers, those of long pieces first.  Then the rest is rounded by diving: the longest piece left is fixed, a knapsack bounded
+by what is left prices the fullest configuration through it at the program's prices, it is used as often as the supply allows,
+and whenever the rest has halved the program goes on from these prices for a few rounds on what is left.
 Pieces then take their slots by a rank within their length; that rank is made of bucket counts and a
 rank within a bucket, so a length that a third of all pieces share is no single task.
 
@@ -31,50 +31,60 @@ from .common import documents, map_by_id, parts, staged
 
 CAPACITY, END_ID = 2048, 0
 ROUNDS, NEAR = 60, 0.02
-
-# Characters on whose classes the two libraries' pattern engines agree; other texts go to the first library.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞₠-₿]*")
+#: Rounds that the program goes on for each time the rest has halved, and lengths that a dive's knapsack takes in at once; what
+#: a dive charges for a piece, as a share of the highest price: short pieces are left for sequences that nothing else fills.
+MORE, CHUNK, CHARGE = 4, 32, 0.1
+
+# A change from any other character to one of these four is the end of a word to the tokenizer, so words are encoded once and joined.
+_WORD = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+_OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
+_LONGEST, _WORDS = 48, 1 << 18
 _encoders: dict[str, tuple] = {}
 
 
-def _encoder(path: str, ranks_path: str):
+def _encoder(path: str):
     if path not in _encoders:
-        import base64
-
-        import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        full = Tokenizer.from_file(path)
-        full.no_truncation()
-        full.no_padding()
-        _encoders[path] = plain, full, [t.content for t in full.get_added_tokens_decoder().values()]
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        _encoders[path] = library, {}, [t.content for t in library.get_added_tokens_decoder().values()]
     return _encoders[path]
 
 
-def token_ids(text: str, path: str, ranks_path: str) -> list[int]:
-    """Ids as the tokenizers library gives for ``path``.
+def token_ids(text: str, path: str) -> np.ndarray:
+    """Ids that the tokenizers library gives for ``path``, as unsigned 32-bit numbers.
 
-    Plain texts take the same vocabulary as ranks, which is several times faster; texts with characters
-    outside the classes both libraries agree on, or with an added token, go to the library itself.
+    The library encodes each distinct word, with the white space before it, once; a text with other white space or with an
+    added token is encoded as a whole, as their runs can reach over a word's end.
     """
-    plain, full, added = _encoder(path, ranks_path)
-    if _PLAIN.fullmatch(text) and not any(a in text for a in added):
-        return plain.encode_ordinary(text)
-    return full.encode(text, add_special_tokens=False).ids
-
-
-def pieces(docs: DataFrame, path: str, ranks_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    library, known, added = _encoder(path)
+    if _OTHER_SPACE.search(text) or any(a in text for a in added):
+        return np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
+    words = _WORD.findall(text)
+    new = list({w for w in words if w not in known})
+    if new:
+        if len(known) + len(new) > _WORDS:
+            known.clear()
+            new = list(set(words))
+        for w, e in zip(new, library.encode_batch(new, add_special_tokens=False)):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+    ids = np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+    for w in new:
+        if len(w) > _LONGEST:  # not kept beyond this text
+            del known[w]
+    return ids
+
+
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: every document's tokens, cut only where too long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.array([*token_ids(text or "", path, ranks_path), end_id], "<u4")
+                ids = np.append(token_ids(text or "", path), np.array([end_id], "<u4"))
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
@@ -112,16 +122,16 @@ def _trace(took: np.ndarray, c: int) -> list[int]:
     return out
 
 
-def fractional(count: np.ndarray, rounds: int = ROUNDS, near: float = NEAR) -> dict[tuple[int, ...], float]:
-    """Approximate solution of the configuration LP: weight by configuration (descending lengths).
+def fractional(count: np.ndarray, rounds: int = ROUNDS, near: float = NEAR, price: np.ndarray | None = None) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+    """Approximate solution of the configuration LP, weight by configuration (descending lengths), and its prices; ``price``: where to go on from.
 
     Each round prices all lengths at once: for every length, the best configuration that contains it; those
     near the best value overall are taken in proportion to the demand of their length.
     """
     capacity = len(count) - 1
     lengths = np.flatnonzero(count)
-    price = np.zeros(capacity + 1)
-    price[lengths] = lengths / capacity
+    start, price = price, np.zeros(capacity + 1)
+    price[lengths] = lengths / capacity if start is None else start[lengths]
     demand = count.astype(float)
     covered = np.zeros(capacity + 1)
     total: dict[tuple[int, ...], float] = {}
@@ -141,46 +151,52 @@ def fractional(count: np.ndarray, rounds: int = ROUNDS, near: float = NEAR) -> d
         price[lengths] *= np.exp(-0.5 * np.clip(gap, -1, 1))
         price[lengths] = np.clip(price[lengths], 1e-6, None)
         price /= price.max()
-    return total
+    return total, price
 
 
-def fill(left: np.ndarray, capacity: int) -> list[int]:
-    """The longest piece left, and the set of others left that fills its sequence best, long ones preferred.
+def dive(left: np.ndarray, price: np.ndarray) -> tuple[int, ...]:
+    """The best-priced of the fullest configurations through the longest piece left that what is left can supply.
 
-    A knapsack whose values are the lengths: the reachable sums are the bits of an integer, one for each length tried.
+    A knapsack on exact sums: long pieces come in first, each as often as it is left, until the sequence can be full; if it can't be, all do.
     """
+    capacity = len(left) - 1
     first = int(np.flatnonzero(left)[-1])
     room = capacity - first
-    reachable, mask, tried = 1, (1 << room + 1) - 1, []
-    for n in np.flatnonzero(left[: min(room, first) + 1])[::-1].tolist():
-        tried.append((n, reachable))
-        more, step = min(int(left[n]) - (n == first), room // n), 1
-        while more > 0:  # any number up to ``more``, by doubling
-            reachable |= reachable << n * min(step, more) & mask
-            more, step = more - step, 2 * step
-        if reachable >> room & 1:
+    best = np.full(room + 1, -np.inf)
+    best[0] = 0.0
+    lengths = np.flatnonzero(left[: room + 1])
+    lengths = lengths[::-1]  # long ones first: short ones fit anywhere later
+    steps: list[tuple[int, int, np.ndarray]] = []
+    for a in range(0, len(lengths), CHUNK):
+        for n in lengths[a : a + CHUNK].tolist():
+            more, step = min(int(left[n]) - (n == first), room // n), 1
+            while more > 0:  # any number up to ``more``, by doubling
+                k = min(step, more)
+                gain = best[: room + 1 - k * n] + k * (price[n] - CHARGE)
+                better = gain > best[k * n :]
+                best[k * n :][better] = gain[better]
+                steps.append((n, k, better))
+                more, step = more - k, 2 * step
+        if best[room] > -np.inf:
             break
-    config, total = [first], reachable.bit_length() - 1
-    for n, before in reversed(tried):
-        while not before >> total & 1:
-            config.append(n)
-            total -= n
-    return config
+    config, at = [first], int(np.flatnonzero(best > -np.inf)[-1])
+    for n, k, better in reversed(steps):
+        if at >= k * n and better[at - k * n]:
+            config += [n] * k
+            at -= k * n
+    return tuple(sorted(config, reverse=True))
 
 
 def plan(count: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """Whole configurations with multiplicities that hold every piece of the histogram exactly once.
 
-    Each use of ``fill`` takes all it can, which uses up a length or leaves less of it than one sequence takes; so the
+    Each dive takes all it can, which uses up a length or leaves less of it than one sequence takes; so the
     number of configurations follows the number of lengths, not that of pieces.
     """
     left = count.astype(np.int64).copy()
     left[0] = 0
     out: list[tuple[tuple[int, ...], int]] = []
     capacity = len(count) - 1
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
 
     def use(config: tuple[int, ...], most: int | None = None) -> None:
         need = {n: config.count(n) for n in config}
@@ -191,12 +207,25 @@ def plan(count: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
                 left[n] -= k * times
             out.append((config, times))
 
-    if left.any():
-        for config, weight in sorted(fractional(left).items(), key=lambda x: (-x[0][0], -x[1], x[0])):
-            if sum(config) == capacity:
-                use(config, int(weight))
+    if not left.any():
+        return out
+    weights, price = fractional(left)
+    whole: dict[int, list[tuple[tuple[int, ...], float]]] = {}
+    for config, weight in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+        if sum(config) == capacity:
+            whole.setdefault(config[0], []).append((config, weight))
+    tokens = np.arange(capacity + 1)
+    halved = int((left * tokens).sum())
     while left.any():
-        use(tuple(fill(left, capacity)))
+        longest = int(np.flatnonzero(left)[-1])
+        for config, weight in whole.pop(longest, ()):
+            use(config, int(weight + 1e-9))
+        if not left[longest]:
+            continue
+        if 2 * int((left * tokens).sum()) <= halved and halved > capacity:
+            halved = int((left * tokens).sum())
+            price = fractional(left, MORE, price=price)[1]
+        use(dive(left, price))
     return out
 
 
@@ -235,6 +264,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int | None = None) -
     return map_by_id(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, path: str, ranks_path: str, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenise once (staged, a few dozen bytes for each piece), then plan and place."""
-    return pack(staged(pieces(docs, path, ranks_path, capacity), "pieces"), capacity)
+    return pack(staged(pieces(docs, path, capacity), "pieces"), capacity)

@@ -12,7 +12,7 @@ from . import annulus_kmeans, bpe_pair_index, config_lp_packing, entropy_secrets
 from .common import table
 
 #: Vocabulary files are parameters; nothing of them is kept in this repository.
-BPE_FILE, BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+BPE_FILE = "byte_bpe_50k.json"
 
 
 def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +37,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_config_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path
-    return config_lp_packing.packed(table(spark, sf_dir, "documents"), path(BPE_FILE), path(BPE_RANKS))
+    return config_lp_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
 def op6_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
