@@ -45,7 +45,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens in as few sequences as can be found."""
-    return config_lp_packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return config_lp_packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality_filter", quality_filter), ("near_dedup", near_dedup), ("repeat_dedup", repeat_dedup), ("secret_redaction", secret_redaction), ("packing", packing)]
