@@ -18,6 +18,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,50 +32,56 @@ from .common import documents, map_by_id, parts, staged
 
 CAPACITY, END_ID = 2048, 0
 ROUNDS, NEAR = 60, 0.02
+#: Texts whose words are looked up together.
+TEXTS = 64
 #: Rounds that the program goes on for each time the rest has halved, and lengths that a dive's knapsack takes in at once; what
 #: a dive charges for a piece, as a share of the highest price: short pieces are left for sequences that nothing else fills.
 MORE, CHUNK, CHARGE = 4, 32, 0.1
 
-# A change from any other character to one of these four is the end of a word to the tokenizer, so words are encoded once and joined.
-_WORD = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-_OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
-_LONGEST, _WORDS = 48, 1 << 18
+# The tokenizer gives a word the one space before it, and no word reaches over that space: texts are cut there and words are encoded once.  Where
+# a space is followed by more white space or stands last, their run is one; other white space is left to the library, too.
+_RUN = re.compile(r" (?:\s|$)|[^\S \t\n\r]")
+_WORDS = 1 << 19
 _encoders: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
     if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
         library.no_truncation()
         library.no_padding()
-        _encoders[path] = library, {}, [t.content for t in library.get_added_tokens_decoder().values()]
+        added = {t.content for t in library.get_added_tokens_decoder().values()}
+        size = np.zeros(library.get_vocab_size(), np.int64)  # bytes of each token: the vocabulary writes a byte as one character
+        for token, i in library.get_vocab().items():
+            size[i] = len(token)
+        _encoders[path] = library, {}, sorted(added), size
     return _encoders[path]
 
 
-def token_ids(text: str, path: str) -> np.ndarray:
+def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids that the tokenizers library gives for ``path``, as unsigned 32-bit numbers.
 
-    The library encodes each distinct word, with the white space before it, once; a text with other white space or with an
-    added token is encoded as a whole, as their runs can reach over a word's end.
+    The new words of all ``texts`` are encoded in one go; the bytes that a token stands for tell where a word's ids end.
     """
-    library, known, added = _encoder(path)
-    if _OTHER_SPACE.search(text) or any(a in text for a in added):
-        return np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
-    words = _WORD.findall(text)
-    new = list({w for w in words if w not in known})
+    library, known, added, size = _encoder(path)
+    if len(known) > _WORDS:
+        known.clear()
+    cut = [None if _RUN.search(t) or any(a in t for a in added) else t.split(" ") for t in texts]
+    new = list(set().union(*filter(None, cut)) - known.keys())
     if new:
-        if len(known) + len(new) > _WORDS:
-            known.clear()
-            new = list(set(words))
-        for w, e in zip(new, library.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    ids = np.frombuffer(b"".join([known[w] for w in words]), "<u4")
-    for w in new:
-        if len(w) > _LONGEST:  # not kept beyond this text
-            del known[w]
-    return ids
+        ids = np.array(library.encode("".join([f" {w}" for w in new]), add_special_tokens=False).ids, "<u4")
+        ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(w.encode()) + 1 for w in new])) + 1
+        raw = ids.tobytes()
+        known.update(zip(new, [raw[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist())]))
+    out = []
+    for text, words in zip(texts, cut):
+        head = library.encode(text if words is None else words[0], add_special_tokens=False).ids
+        rest = b"" if words is None else b"".join(map(known.__getitem__, words[1:]))
+        out.append(np.frombuffer(np.array(head, "<u4").tobytes() + rest, "<u4"))
+    return out
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -83,8 +90,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.append(token_ids(text or "", path), np.array([end_id], "<u4"))
+            found = (x for a in range(0, len(pdf), TEXTS) for x in token_ids([t or "" for t in pdf["text"].iloc[a : a + TEXTS]], path))
+            for doc_id, ids in zip(pdf["doc_id"], found):
+                ids = np.append(ids, np.array([end_id], "<u4"))
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
