@@ -105,8 +105,13 @@ def validate(retrieved: DataFrame, truth_pairs: DataFrame) -> DataFrame:
     return out.withColumns({cols[0]: F.coalesce(cols[0], F.lit(False)), cols[1]: F.coalesce(cols[1], F.lit(0).cast("long")), cols[2]: F.coalesce(cols[2], F.lit(0).cast("long"))})
 
 
+def pair_order() -> list[Column]:
+    """Order of the pairs of a document: two descending keys and an ascending one."""
+    return [F.desc("true_plagiarism_passage_count"), F.desc("total_suspicious_chars"), F.asc("source_doc_id")]
+
+
 def for_document(truth_pairs: DataFrame, doc_id) -> DataFrame:
-    return truth_pairs.where(F.col("suspicious_doc_id") == F.lit(doc_id)).orderBy(F.desc("true_plagiarism_passage_count"), F.desc("total_suspicious_chars"), F.asc("source_doc_id"))
+    return truth_pairs.where(F.col("suspicious_doc_id") == F.lit(doc_id)).orderBy(*pair_order())
 
 
 def official_category(kind: Column, obfuscation: Column, manual: Column) -> Column:

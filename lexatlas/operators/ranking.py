@@ -39,3 +39,11 @@ def ids_containing(df: DataFrame, part: str, col: str = "doc_id") -> DataFrame:
 def first_documents(df: DataFrame, n: int, col: str = "doc_id") -> DataFrame:
     """The first ``n`` rows by id: a top-n, so no partition sends more than n."""
     return df.orderBy(col).limit(n)
+
+
+def of_document(found: DataFrame, doc_id, col: str = "suspicious_doc_id") -> DataFrame:
+    """Rows of one document; none is an error, while runs over all documents leave it out."""
+    rows = found.where(F.col(col) == F.lit(doc_id))
+    if rows.isEmpty():
+        raise LookupError(f"nothing was found for {doc_id}")
+    return rows

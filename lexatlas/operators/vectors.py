@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -45,7 +45,9 @@ def hashed_embedding(tf: DataFrame, dims: int = 64) -> DataFrame:
 
 #: Features of a latent space at most (by corpus frequency), columns beyond the components, and rounds of the subspace iteration.
 FEATURES, EXTRA, ROUNDS = 100_000, 10, 5
-_PART = 1024
+#: Features of a block of a tall matrix, columns that a task multiplies with at once, and rows of the corpus it takes.
+_PART, _COLUMNS, _ROWS = 1024, 32, 16384
+_TALL = "part int, data binary"
 
 
 def _indexed(weights: DataFrame, vocab: list[str]) -> DataFrame:
@@ -70,67 +72,186 @@ def _times(pdf: pd.DataFrame, right: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, row, j, w
 
 
-def _gram_times(rows: DataFrame, right: np.ndarray) -> np.ndarray:
-    """A^T (A right) for the rows A: partitions add up parts of it, parts are added by feature range."""
+class Tall:
+    """A matrix with a row for each feature, as blocks of _PART rows in a table (part, data); no machine holds all of it."""
+
+    def __init__(self, blocks: DataFrame, height: int, width: int):
+        self.blocks, self.height, self.width = blocks, height, width
+
+    def mapped(self, turn: np.ndarray) -> Tall:
+        """This times a small matrix."""
+        width = self.width
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf.assign(data=[(np.frombuffer(x).reshape(-1, width) @ turn).tobytes() for x in pdf["data"]])
+
+        return Tall(self.blocks.mapInPandas(run, _TALL), self.height, turn.shape[1])
+
+    def staged(self) -> Tall:
+        return Tall(staging.written(self.blocks, "tall-matrix"), self.height, self.width)
+
+    def by_columns(self, lanes: int) -> DataFrame:
+        """``g, lane, part, data``: groups of _COLUMNS columns, once for each lane."""
+        width = self.width
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for part, data in zip(pdf["part"], pdf["data"]):
+                    x = np.frombuffer(data).reshape(-1, width)
+                    yield pd.DataFrame([(g, part, x[:, a : a + _COLUMNS].tobytes()) for g, a in enumerate(range(0, width, _COLUMNS))], columns=["g", "part", "data"])
+
+        return self.blocks.mapInPandas(run, "g int, " + _TALL).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+
+    def collected(self) -> np.ndarray:
+        """All of it on the driver, for small ones."""
+        rows = sorted(self.blocks.collect(), key=lambda r: r["part"])
+        return np.concatenate([np.frombuffer(r["data"]).reshape(-1, self.width) for r in rows])
+
+
+def _group(known: pd.DataFrame, height: int, width: int) -> np.ndarray:
+    """One group of columns from its blocks."""
+    out = np.zeros((height, width))
+    for part, data in zip(known["part"], known["data"]):
+        x = np.frombuffer(data).reshape(-1, width)
+        out[part * _PART : part * _PART + len(x)] = x
+    return out
+
+
+def _lanes(rows: DataFrame, n: int) -> tuple[DataFrame, int]:
+    lanes = max(1, -(-n // _ROWS))
+    return rows.withColumn("lane", F.pmod(F.xxhash64("id"), F.lit(lanes)).cast("int")), lanes
+
+
+def _column_groups(rows: DataFrame, width: int) -> DataFrame:
+    return rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit((width - 1) // _COLUMNS))))
+
+
+def _gram_times(rows: DataFrame, n: int, right: Tall) -> Tall:
+    """A^T (A right) for the rows A: each task takes a lane of rows and a group of columns; blocks of features are then added up and joined."""
+    height, width = right.height, right.width
+    dealt, lanes = _lanes(rows, n)
+
+    def multiply(mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(known):
+            return pd.DataFrame({"part": [], "g": [], "data": []}, dtype=object)
+        g = int(known["g"].iloc[0])
+        some = _group(known, height, min(_COLUMNS, width - g * _COLUMNS))
+        total = np.zeros_like(some)
+        for a in range(0, len(mine), 2048):
+            left, row, j, w = _times(mine.iloc[a : a + 2048], some)
+            order = np.argsort(j, kind="stable")
+            for lo in range(0, len(order), 1 << 16):
+                o = order[lo : lo + (1 << 16)]
+                first = np.flatnonzero(np.r_[True, j[o][1:] != j[o][:-1]])
+                total[j[o][first]] += np.add.reduceat(left[row[o]] * w[o, None], first, axis=0)
+        return pd.DataFrame([(k // _PART, g, total[k : k + _PART].tobytes()) for k in range(0, height, _PART)], columns=["part", "g", "data"])
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups = []
+        for g, a in enumerate(range(0, width, _COLUMNS)):
+            groups.append(sum(np.frombuffer(x) for x in pdf["data"][pdf["g"] == g]).reshape(-1, min(_COLUMNS, width - a)))
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "data": [np.hstack(groups).tobytes()]})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "g": pdf["g"].iloc[:1], "data": [sum(np.frombuffer(x) for x in pdf["data"]).tobytes()]})
+
+    met = _column_groups(dealt, width).groupBy("g", "lane").cogroup(right.by_columns(lanes).groupBy("g", "lane"))
+    parts = met.applyInPandas(multiply, "part int, g int, data binary")
+    if lanes > 1:
+        parts = parts.groupBy("part", "g").applyInPandas(added, "part int, g int, data binary")
+    return Tall(parts.groupBy("part").applyInPandas(joined, _TALL), height, width).staged()
+
+
+def _orthonormal(z: Tall) -> Tall:
+    """Orthonormal columns of the same span, fewer where the rank is less: each block is factored where it lies, their small factors on the driver; twice, for accuracy."""
+    width = z.width
+
+    for _ in range(2):
+
+        def factor(batches: Iterator[pd.DataFrame], width: int = width) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"r": [np.linalg.qr(np.frombuffer(x).reshape(-1, width), mode="r").tobytes() for x in pdf["data"]]})
+
+        small = [np.frombuffer(r["r"]).reshape(-1, width) for r in z.blocks.mapInPandas(factor, "r binary").toLocalIterator()]  # FEATURES / _PART factors
+        _, sizes, turn = np.linalg.svd(np.linalg.qr(np.concatenate(small), mode="r"))
+        keep = np.flatnonzero(sizes > 1e-13 * sizes[0]) if sizes[0] > 0 else np.arange(1)  # directions that the rows have
+        z = z.mapped(turn[keep].T / np.where(sizes[keep] > 0, sizes[keep], 1)).staged()
+        width = z.width
+    return z
+
+
+def _inner(a: Tall, b: Tall) -> np.ndarray:
+    """a^T b: a small matrix from each pair of blocks, added up."""
+    wide_a, wide_b = a.width, b.width
+
+    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"x": [(np.frombuffer(x).reshape(-1, wide_a).T @ np.frombuffer(y).reshape(-1, wide_b)).tobytes() for x, y in zip(pdf["data"], pdf["other"])]})
+
+    both = a.blocks.join(b.blocks.withColumnRenamed("data", "other"), "part").select("data", "other")
+    return sum(np.frombuffer(r["x"]).reshape(wide_a, wide_b) for r in both.mapInPandas(product, "x binary").toLocalIterator())
+
+
+def _start(spark: SparkSession, height: int, width: int, seed: int) -> Tall:
+    """Random columns, or all of the identity where there are no more features than columns; each block makes its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros_like(right)
         for pdf in batches:
-            for a in range(0, len(pdf), 2048):
-                left, row, j, w = _times(pdf.iloc[a : a + 2048], right)
-                order = np.argsort(j, kind="stable")
-                for lo in range(0, len(order), 1 << 14):
-                    o = order[lo : lo + (1 << 14)]
-                    first = np.flatnonzero(np.r_[True, j[o][1:] != j[o][:-1]])
-                    total[j[o][first]] += np.add.reduceat(left[row[o]] * w[o, None], first, axis=0)
-        some = [k for k in range(0, len(total), _PART) if total[k : k + _PART].any()]
-        yield pd.DataFrame({"part": np.array(some, np.int32), "sums": [total[k : k + _PART].tobytes() for k in some]})
+            for part in pdf["part"]:
+                n = min(_PART, height - part * _PART)
+                x = np.eye(height)[part * _PART : part * _PART + n] if width == height else np.random.default_rng([seed, int(part)]).normal(size=(n, width))
+                yield pd.DataFrame({"part": [part], "data": [x.tobytes()]})
 
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x) for x in pdf["sums"])
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "sums": [total.tobytes()]})
-
-    out = np.zeros_like(right)
-    parts = rows.mapInPandas(run, "part int, sums binary").groupBy("part").applyInPandas(added, "part int, sums binary")
-    for r in parts.toLocalIterator():  # as many numbers as ``right`` has
-        x = np.frombuffer(r["sums"]).reshape(-1, right.shape[1])
-        out[r["part"] : r["part"] + len(x)] = x
-    return out
+    parts = spark.range(-(-height // _PART)).select(F.col("id").cast("int").alias("part")).repartition("part")
+    return Tall(parts.mapInPandas(run, _TALL), height, width)
 
 
-def lsa(weights: DataFrame, components: int = 200, features: int = FEATURES, seed: int = 42, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, list[str]]:
+def lsa(weights: DataFrame, components: int = 200, features: int = FEATURES, seed: int = 42, rounds: int = ROUNDS) -> tuple[DataFrame, Tall, list[str]]:
     """Latent semantic vectors ``id, v`` (unit length), the projection and its features.
 
-    A randomised subspace iteration: each round multiplies the rows with a thin matrix of ``features`` times
-    (components + EXTRA) numbers, which is all that the driver and a worker hold (168 MB at the bound).
+    A randomised subspace iteration on matrices in blocks of features: a task holds a group of columns twice (51 MB at the bound of features),
+    the driver the features' names and matrices of (components + EXTRA) columns and rows.
     """
     vocab = [r["feature"] for r in weights.groupBy("feature").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "feature").limit(features).collect()]
     if len(vocab) < 3:
         raise ValueError("LSA needs at least three features")
     k = min(components, len(vocab) - 1)
     rows = staging.written(_indexed(weights, vocab), "latent-rows")
+    n = rows.count()
     wide = min(len(vocab), k + EXTRA)
-    basis = np.eye(wide) if wide == len(vocab) else np.linalg.qr(np.random.default_rng(seed).normal(size=(len(vocab), wide)))[0]
+    basis = _start(weights.sparkSession, len(vocab), wide, seed).staged()
     for _ in range(0 if wide == len(vocab) else rounds):
-        basis = np.linalg.qr(_gram_times(rows, basis))[0]
-    values, turn = np.linalg.eigh(basis.T @ _gram_times(rows, basis))
-    projection = basis @ turn[:, np.argsort(-values, kind="stable")[:k]]
-    return _projected(rows, projection), projection, vocab
+        basis = _orthonormal(_gram_times(rows, n, basis))
+    values, turn = np.linalg.eigh(_inner(basis, _gram_times(rows, n, basis)))
+    k = min(k, basis.width)
+    projection = basis.mapped(turn[:, np.argsort(-values, kind="stable")[:k]]).staged()
+    return _projected(rows, n, projection), projection, vocab
 
 
-def _projected(rows: DataFrame, projection: np.ndarray) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            v = _times(pdf, projection)[0]
-            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            yield pd.DataFrame({"id": pdf["id"], "v": list(v / np.where(norm > 0, norm, 1))})
+def _projected(rows: DataFrame, n: int, projection: Tall) -> DataFrame:
+    """Unit vectors: each group of columns is made by itself, the groups of a row are then joined."""
+    height, width = projection.height, projection.width
+    dealt, lanes = _lanes(rows, n)
+    kind = dict(rows.dtypes)["id"]
 
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, v array<double>")
+    def multiply(mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(known):
+            return pd.DataFrame({"id": mine["id"].iloc[:0], "g": [], "v": []}, dtype=object)
+        g = int(known["g"].iloc[0])
+        v = _times(mine, _group(known, height, min(_COLUMNS, width - g * _COLUMNS)))[0]
+        return pd.DataFrame({"id": mine["id"].to_numpy(), "g": g, "v": list(v)})
 
+    met = _column_groups(dealt, width).groupBy("g", "lane").cogroup(projection.by_columns(lanes).groupBy("g", "lane"))
+    parts = met.applyInPandas(multiply, f"id {kind}, g int, v array<double>").groupBy("id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("g", "v"))), lambda x: x["v"])).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return parts.select("id", "v", norm.alias("norm")).select("id", F.when(F.col("norm") > 0, F.transform("v", lambda x: x / F.col("norm"))).otherwise(F.col("v")).alias("v"))
 
-def project(weights: DataFrame, projection: np.ndarray, vocab: list[str]) -> DataFrame:
+
+def project(weights: DataFrame, projection: Tall, vocab: list[str]) -> DataFrame:
     """Unit vectors ``id, v`` of rows (id, feature, w) in the latent space; rows without a known feature are zero."""
-    return _projected(_indexed(weights, vocab), projection)
+    rows = staging.written(_indexed(weights, vocab), "latent-rows")
+    return _projected(rows, rows.count(), projection)
 
 
 def hashed_index(chunks: DataFrame, id_col: str, text: Column, low: int = 5, high: int = 7, buckets: int = 1 << 20) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import intervals as I
 from ..functions import text as T
 from ..operators import analytics, chunking, confirm, evaluate, fusion, groundtruth, interval_join, ranking, simjoin, spans, staging, vectors
-from ..sources import cell_index, vector_index
+from ..sources import cell_index, services, vector_index
 from . import detection as D
 from . import incremental
 from . import oracle as O
@@ -397,9 +397,49 @@ def a1_document_rollup(spark, sf):
     return ranking.roll_up(D.lexical_candidates(spark, sf)).select(*PAIR, *r6(*_ROLL), *longs(*_ROLL_N))
 
 
-@query(f"""select {SQL_PAIR}, count(*)::bigint as true_plagiarism_passage_count, min(suspicious_offset)::bigint as min_suspicious_offset, max(suspicious_offset + suspicious_length)::bigint as max_suspicious_end, sum(suspicious_length)::bigint as total_suspicious_chars from planted group by {SQL_PAIR}""")
+@query(f"select {SQL_PAIR}, {sql_r6(*_ROLL)}, {sql_longs(*_ROLL_N)} from roll2")
+def d11_d13_incremental_rollup(spark, sf):
+    """A run over an older state of the documents (some missing, some other, some since deleted), then the run of now, which computes the difference."""
+    docs, src = D.table(spark, sf, "documents").select("doc_id", "text"), D.sources(spark, sf)
+    older = docs.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Once more. "), "text")).otherwise(F.col("text")))
+    older = older.union(docs.where("doc_id % 11 = 0").select(F.col("doc_id") + (1 << 40), "text"))
+    settings = {"n": 2, "k": 500, "sources": incremental.table_fingerprint(src)}
+
+    def compute(d):
+        rolled = ranking.roll_up(D.candidates_of(d.select("doc_id", T.clean(F.col("text")).alias("clean_text")), src))
+        return rolled.withColumnRenamed("suspicious_doc_id", "doc_id")
+
+    folder = staging.fresh_folder(spark, "incremental")
+    for state in (older, docs):
+        found, _ = incremental.refresh(state, "doc_id", compute, folder, settings)
+    return found.withColumnRenamed("doc_id", "suspicious_doc_id").select(*PAIR, *r6(*_ROLL), *longs(*_ROLL_N))
+
+
+@query(f"""select {SQL_PAIR}, count(*)::bigint as true_plagiarism_passage_count, min(suspicious_offset)::bigint as min_suspicious_offset, max(suspicious_offset + suspicious_length)::bigint as max_suspicious_end, sum(suspicious_length)::bigint as total_suspicious_chars,
+  '[' || string_agg('{{"suspicious_offset":' || suspicious_offset || ',"suspicious_length":' || suspicious_length || ',"source_offset":' || source_offset || ',"source_length":' || source_length || '}}', ',' order by suspicious_offset, suspicious_length, source_offset, source_length) || ']' as passages_json
+  from planted group by {SQL_PAIR}""")
 def a2_pair_rollup(spark, sf):
-    return groundtruth.pair_rollup(D.truth(spark, sf)).select(*PAIR, "true_plagiarism_passage_count", *longs("min_suspicious_offset", "max_suspicious_end", "total_suspicious_chars"))
+    return groundtruth.pair_rollup(D.truth(spark, sf)).select(*PAIR, "true_plagiarism_passage_count", *longs("min_suspicious_offset", "max_suspicious_end", "total_suspicious_chars"), "passages_json")
+
+
+_MERGED_ORDER = "source_doc_id, suspicious_start_char, suspicious_end_char, source_start_char, source_end_char"
+
+
+@query(f"select {SQL_PAIR}, suspicious_start_char::bigint as suspicious_start_char, row_number() over (partition by suspicious_doc_id order by {_MERGED_ORDER})::bigint as place from merged")
+def w10_spans_in_order(spark, sf):
+    """Spans of each document by five keys."""
+    place = F.row_number().over(Window.partitionBy("suspicious_doc_id").orderBy(*_MERGED_ORDER.split(", ")))
+    return D.detections(spark, sf).select(*PAIR, *longs("suspicious_start_char"), place.cast("long").alias("place"))
+
+
+@query("""select suspicious_doc_id, source_doc_id, row_number() over (partition by suspicious_doc_id order by true_plagiarism_passage_count desc, total_suspicious_chars desc, source_doc_id)::bigint as place,
+  true_plagiarism_passage_count, total_suspicious_chars from (select suspicious_doc_id, source_doc_id, count(*)::bigint as true_plagiarism_passage_count, sum(suspicious_end_char - suspicious_start_char)::bigint as total_suspicious_chars from merged group by all)""")
+def w11_pairs_in_order(spark, sf):
+    """Rolled-up pairs of each document by two descending keys and an ascending one."""
+    d = D.detections(spark, sf)
+    spans_of = d.select(*PAIR, *(x for s in ("suspicious", "source") for x in (F.col(f"{s}_start_char").alias(f"{s}_offset"), (F.col(f"{s}_end_char") - F.col(f"{s}_start_char")).alias(f"{s}_length"))))
+    rolled = groundtruth.pair_rollup(spans_of)
+    return rolled.select(*PAIR, F.row_number().over(Window.partitionBy("suspicious_doc_id").orderBy(*groundtruth.pair_order())).cast("long").alias("place"), *longs("true_plagiarism_passage_count", "total_suspicious_chars"))
 
 
 @query("select source, lang, count(*)::bigint as n, round(count(*) / sum(count(*)) over (), 6) as share from documents group by source, lang")
@@ -423,10 +463,11 @@ def a13_span_lengths(spark, sf):
     return analytics.span_lengths(D.found_spans(D.detections(spark, sf)), "s0", "s1").select(*longs("min_length"), "median_length", *longs("max_length", "n"))
 
 
-@query(f"select {SQL_PAIR}, coalesce(avg((score < 0.5)::int) filter (rank <= 10) >= 0.5, false) as word_salad from cand2 group by {SQL_PAIR}")
+@query(f"select {SQL_PAIR}, coalesce(avg((perplexity > 20000)::int) filter (pair_rank <= 10) >= 0.5, false) as word_salad from pairs group by {SQL_PAIR}")
 def a14_majority_share(spark, sf):
-    c = D.lexical_candidates(spark, sf).withColumn("perplexity", 1 - F.col("score"))
-    return c.groupBy(*PAIR).agg(confirm.word_salad("perplexity", "rank", 0.5).alias("word_salad"))
+    a, b = D.chunks(spark, sf)
+    c = confirm.build_pairs(D.lexical_candidates(spark, sf), a, b).join(D.perplexities(a), "suspicious_chunk_id", "left")
+    return c.groupBy(*PAIR).agg(confirm.word_salad(threshold=confirm.UNIGRAM_SALAD).alias("word_salad"))
 
 
 @query(f"""select {SQL_PAIR}, round(1 / (1 + exp(-max(score))), 6) as rerank_score from (select *, row_number() over (partition by {SQL_PAIR} order by score desc, suspicious_chunk_id, source_chunk_id) as r from cand2) where r <= 40 group by {SQL_PAIR}""")
@@ -513,6 +554,50 @@ def m4_m5_overlap_measures(spark, sf):
 _TRIGRAMS = "list_distinct([substr(lower(part), i, 3) for i in range(1, length(part) - 1)])"
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    """The stand-in for a sentence encoder: how often each letter occurs."""
+    return [[float(t.lower().count(c)) for c in _LETTERS] for t in texts]
+
+
+_LETTER_UNIT = "select chunk_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from (select chunk_id, [(length(t) - length(replace(t, c, '')))::double for c in string_split('" + _LETTERS + "', '')] as v from (select chunk_id, lower(chunk_text) as t from {0})) where list_sum(v) > 0"
+
+
+@query(f"""select q, round(max(score), 6) as score from (select a.chunk_id as q, list_dot_product(a.v, b.v) as score from ({_LETTER_UNIT.format('cha')}) a cross join ({_LETTER_UNIT.format('chb')}) b) group by q""")
+def v11_encoder_hook(spark, sf):
+    """Both sides go through the encoder hook; each chunk's best passage by inner product."""
+    vq, vs = (services.encode(d, _letters, max_words=None) for d in D.chunks(spark, sf))
+    found = simjoin.dense_top_k(vq, vs, 1).where("score > 0")
+    return found.select("q", *r6("score"))
+
+
+@query(f"""select * from (with x as ({O.chunks("src")}), y as ({O.chunks("docs", least=D.MIN_SOURCE)}), xt as ({O.grams("x", 1)}), yt as ({O.grams("y", 1)}),
+i as (select feature, ln((1.0e0 + (select count(distinct id) from yt)) / (1 + count(*))) + 1 as idf from yt group by feature), xw as ({O.weights("xt", "i")}), yw as ({O.weights("yt", "i")})
+select a.id as q, b.id as s, round(sum(a.w * b.w), 6) as score from xw a join yw b using (feature) group by a.id, b.id having sum(a.w * b.w) >= 0.25e0)""")
+def v16_custom_corpus(spark, sf):
+    """The same chain on other tables: the passages are looked up in the documents, whose vocabulary and idf it is."""
+    a, b = chunking.chunk_table(D.sources(spark, sf), D.SIZE, D.OVERLAP, D.MIN_SUSPICIOUS), chunking.chunk_table(D.suspicious(spark, sf), D.SIZE, D.OVERLAP, D.MIN_SOURCE)
+    return simjoin.sparse_cosine(*D.weighted(a, b, 1)).where("score >= 0.25").select("q", "s", *r6("score"))
+
+
+def _shared_words(pairs: list[tuple[str, str]]) -> list[float]:
+    """The stand-in for a cross-encoder: the share of the source's distinct words that the suspicious chunk has."""
+    return [len(set(x.split(" ")) & set(y.split(" "))) / len(set(y.split(" "))) for x, y in pairs]
+
+
+@query(f"""select {SQL_PAIR}, round(1 / (1 + exp(-max(s))), 6) as rerank_score from (
+  select {SQL_PAIR}, len(list_intersect(x, y)) / len(y) as s from (select k.*, list_distinct(string_split(a.chunk_text, ' ')) as x, list_distinct(string_split(b.chunk_text, ' ')) as y
+    from (select *, row_number() over (partition by {SQL_PAIR} order by round(score, 9) desc, suspicious_chunk_id, source_chunk_id) as r from cand2) k
+    join cha a on a.chunk_id = k.suspicious_chunk_id join chb b on b.chunk_id = k.source_chunk_id where r <= 10)) group by {SQL_PAIR}""")
+def d7_cross_encoder(spark, sf):
+    """The best ten chunk pairs of each source, scored by a cross-encoder in batches, and the sources ranked by their best pair."""
+    pairs = confirm.build_pairs(D.lexical_candidates(spark, sf), *D.chunks(spark, sf), k=10)
+    scored = services.cross_scores(pairs.select(*PAIR, "suspicious_chunk_id", "source_chunk_id", "score", "suspicious_text", "source_text"), _shared_words)
+    return fusion.rerank(scored, F.col("pair_score"), 10).select(*PAIR, *r6("rerank_score"))
+
+
 @query(f"""select * from (with lead as (select suspicious_doc_id as doc_id, source_doc_id as src_id from (
   select {SQL_PAIR}, row_number() over (partition by suspicious_doc_id order by sum(suspicious_end_char - suspicious_start_char) desc, source_doc_id) as r from merged group by {SQL_PAIR}) where r = 1),
 w as (select doc_id, src_id, start, part from ({_WINDOWS}) join lead using (doc_id)
@@ -545,9 +630,12 @@ def u2_intersection(spark, sf):
     return D.truth(spark, sf).select("suspicious_doc_id").intersect(D.detections(spark, sf).select("suspicious_doc_id"))
 
 
-@query("select suspicious_doc_id from planted except select suspicious_doc_id from d")
+@query("select 'missed' as side, * from (select suspicious_doc_id from planted except select suspicious_doc_id from d) union all select 'unplanted', * from (select suspicious_doc_id from d except select suspicious_doc_id from planted)")
 def u3_difference(spark, sf):
-    return D.truth(spark, sf).select("suspicious_doc_id").subtract(D.detections(spark, sf).select("suspicious_doc_id"))
+    """Documents with a planted passage that nothing was found in, and those with a find but no planted passage."""
+    t, d = (x.select("suspicious_doc_id") for x in (D.truth(spark, sf), D.detections(spark, sf)))
+    side = lambda name, df: df.select(F.lit(name).alias("side"), "suspicious_doc_id")
+    return side("missed", t.subtract(d)).union(side("unplanted", d.subtract(t)))
 
 
 @query(f"select {SQL_PAIR}, string_agg(distinct branch, '+' order by branch) as branches from long where source_doc_rank <= 3 group by {SQL_PAIR}")
@@ -633,9 +721,11 @@ def e2_document_plagdet(spark, sf):
 
 
 @query("""select round(avg(precision) filter (gt_spans > 0), 6) as macro_precision, round(avg(recall) filter (gt_spans > 0), 6) as macro_recall, round(avg(plagdet) filter (gt_spans > 0), 6) as macro_plagdet,
-  round((sum(tp_chars) / sum(det_chars))::double, 6) as micro_precision, round((sum(tp_chars) / sum(gt_chars))::double, 6) as micro_recall from pd""")
+  round((sum(tp_chars) / sum(det_chars))::double, 6) as micro_precision, round((sum(tp_chars) / sum(gt_chars))::double, 6) as micro_recall, round(avg(f1) filter (gt_spans > 0), 6) as macro_f1,
+  round((2 * (sum(tp_chars) / sum(det_chars)) * (sum(tp_chars) / sum(gt_chars)) / (sum(tp_chars) / sum(det_chars) + sum(tp_chars) / sum(gt_chars)))::double, 6) as micro_f1,
+  round((2 * (sum(tp_chars) / sum(det_chars)) * (sum(tp_chars) / sum(gt_chars)) / (sum(tp_chars) / sum(det_chars) + sum(tp_chars) / sum(gt_chars)) / log2(1 + avg(granularity) filter (gt_spans > 0)))::double, 6) as micro_plagdet from pd""")
 def e3_plagdet_macro_micro(spark, sf):
-    return evaluate.plagdet_macro_micro(D.evaluated(spark, sf)).select(*r6("macro_precision", "macro_recall", "macro_plagdet", "micro_precision", "micro_recall"))
+    return evaluate.plagdet_macro_micro(D.evaluated(spark, sf)).select(*r6("macro_precision", "macro_recall", "macro_plagdet", "micro_precision", "micro_recall", "macro_f1", "micro_f1", "micro_plagdet"))
 
 
 @query("""select round(precision, 6) as precision, round(recall, 6) as recall, round(granularity, 6) as granularity, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) / log2(1 + granularity) else 0 end, 6) as plagdet,
@@ -687,9 +777,9 @@ def e6_cache_mismatch(spark, sf):
 _SCOPES = {"1-80": (1, 80), "81-308": (81, 308), "all": (0, 1 << 40)}
 
 
-@query("select scope, count(*) filter (gt_spans > 0)::bigint as plagiarized_docs, count(*) filter (gt_spans > 0 and tp_chars > 0)::bigint as plagiarized_detected, count(*) filter (gt_spans = 0)::bigint as clean_docs, count(*) filter (gt_spans = 0 and det_spans > 0)::bigint as clean_docs_with_fp, count(*) filter (det_spans > 0)::bigint as firing_docs, true as sum_matches_firing from pd join (values ('1-80', 1, 80), ('81-308', 81, 308), ('all', 0, 1099511627776)) s(scope, lo, hi) on suspicious_doc_id between lo and hi group by scope")
+@query("select scope, count(*) filter (gt_spans > 0)::bigint as plagiarized_docs, count(*) filter (gt_spans > 0 and tp_chars > 0)::bigint as plagiarized_detected, count(*) filter (gt_spans = 0)::bigint as clean_docs, count(*) filter (gt_spans = 0 and det_spans > 0)::bigint as clean_docs_with_fp, count(*) filter (det_spans > 0)::bigint as firing_docs, true as sum_matches_firing, round(coalesce(count(*) filter (gt_spans > 0 and tp_chars > 0) / nullif(count(*) filter (gt_spans > 0), 0), 0)::double, 6) as detection_rate, round(coalesce(count(*) filter (gt_spans = 0 and det_spans > 0) / nullif(count(*) filter (gt_spans = 0), 0), 0)::double, 6) as fp_rate from pd join (values ('1-80', 1, 80), ('81-308', 81, 308), ('all', 0, 1099511627776)) s(scope, lo, hi) on suspicious_doc_id between lo and hi group by scope")
 def e7_a8_detection_rates(spark, sf):
-    return evaluate.rates(D.evaluated(spark, sf), F.col("suspicious_doc_id"), _SCOPES).select("scope", "plagiarized_docs", "plagiarized_detected", "clean_docs", "clean_docs_with_fp", "firing_docs", "sum_matches_firing")
+    return evaluate.rates(D.evaluated(spark, sf), F.col("suspicious_doc_id"), _SCOPES).select("scope", "plagiarized_docs", "plagiarized_detected", "clean_docs", "clean_docs_with_fp", "firing_docs", "sum_matches_firing", *r6("detection_rate", "fp_rate"))
 
 
 @query("select category, count(*)::bigint as n, round(count(*) / sum(count(*)) over (), 6) as share from (select case when lang = 'en' then 'none' when lang = 'de' then 'paraphrase-manual' when lang = 'fr' then 'translation-auto' else 'paraphrase-auto-low' end as category from planted join documents on doc_id = suspicious_doc_id) group by category")
@@ -701,15 +791,16 @@ def e8_category_distribution(spark, sf):
     return analytics.shares(t, "category").select("category", "n", *r6("share"))
 
 
-_BAND = "case when suspicious_length / 5.5e0 < 150 then 'short' when suspicious_length / 5.5e0 <= 1150 then 'medium' else 'long' end"
+_BAND = "case when (suspicious_end_char - suspicious_start_char) / 5.5e0 < 150 then 'short' when (suspicious_end_char - suspicious_start_char) / 5.5e0 <= 1150 then 'medium' else 'long' end"
 
 
 @query(f"""select *, round(n / sum(n) over (), 6) as share, round(n_subset / sum(n_subset) over (), 6) as share_subset from (
-  select {_BAND} as band, count(*)::bigint as n, count(*) filter (suspicious_doc_id in (select doc_id from documents order by doc_id limit 308))::bigint as n_subset from planted group by 1)""")
+  select {_BAND} as band, count(*)::bigint as n, count(*) filter (suspicious_doc_id in (select doc_id from documents order by doc_id limit 308))::bigint as n_subset from merged group by 1)""")
 def e8_full_and_subset(spark, sf):
-    """Case lengths of all documents beside those of the first 308; words are taken as 5.5 characters."""
+    """Lengths of the found spans of all documents beside those of the first 308; words are taken as 5.5 characters."""
     first = ranking.first_documents(D.all_documents(spark, sf), 308, "suspicious_doc_id").withColumn("inside", F.lit(True))
-    t = D.truth(spark, sf).join(first, "suspicious_doc_id", "left").withColumn("band", groundtruth.length_band(F.col("suspicious_length") / 5.5))
+    length = F.col("suspicious_end_char") - F.col("suspicious_start_char")
+    t = D.detections(spark, sf).join(first, "suspicious_doc_id", "left").withColumn("band", groundtruth.length_band(length / 5.5))
     return analytics.with_subset_shares(t, "band", F.coalesce("inside", F.lit(False))).select("band", "n", "n_subset", *r6("share", "share_subset"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,17 +38,26 @@ def _name(path: Column) -> Column:
 def read_text_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Every ``*.txt`` below ``root`` as one row: doc_id, file_name, relative_path, part, raw_text.
 
-    Files are decoded as UTF-8; bytes that are no UTF-8 are left out.  An empty file is a row with an empty text.
+    Files are decoded as UTF-8; bytes that are no UTF-8 are left out, replacement characters of the text itself stay.  An empty file is a
+    row with an empty text.  Only files that aren't valid go to a Python worker.
     """
     raw = _files(spark, root, "*.txt").where(_name(F.col("path")).endswith(".txt"))
     top = root.split("://")[-1].rstrip("/").lstrip("/")
     rel = F.regexp_replace("path", rf"^.*?{_quoted(top)}/", "")
-    body = F.col("content").cast("string")
-    df = raw.select(rel.alias("relative_path"), F.try_validate_utf8(body).alias("strict"), F.make_valid_utf8(body).alias("lenient"))
-    text = F.coalesce("strict", F.replace("lenient", F.lit("\ufffd"), F.lit("")))
+    strict = F.try_validate_utf8(F.col("content").cast("string"))
+    df = raw.select(rel.alias("relative_path"), strict.alias("strict"), F.when(strict.isNull(), F.col("content")).alias("odd"))
+    text = F.coalesce("strict", _decoded("odd"))
     return df.select(T.safe_id(F.col("relative_path")).alias("doc_id"), F.element_at(F.split("relative_path", "/"), -1).alias("file_name"), "relative_path", F.when(F.col("relative_path").contains("/"), F.element_at(F.split("relative_path", "/"), 1)).alias("part"), text.alias("raw_text"))
 
 
+def _decoded(content: str) -> Column:
+    @F.pandas_udf("string")
+    def run(content: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else bytes(x).decode("utf-8", "ignore") for x in content], dtype=object)
+
+    return run(content)
+
+
 def _quoted(text: str) -> str:
     return "".join(c if c.isalnum() or c in "/_" else "\\" + c for c in text)
 

@@ -97,7 +97,18 @@ def test_two_stages(spark, service):
     got = {(r.suspicious_doc_id, r.source_doc_id): (r.llm_score, r.stage) for r in confirm.two_stage(pairs, sure, lambda p: confirm.chat_scores(p, ask)).collect()}
     assert got == {(1, 5): (0.95, 1), (1, 6): (0.9, 2), (2, 5): (0.9, 2)}
     down = services.remote_chat("http://127.0.0.1:9", "m")
-    assert {r.llm_score for r in confirm.chat_scores(confirm.prompts(pairs, variant="plain"), down).collect()} == {0.0}
+    with pytest.raises(Exception, match="every call of the scorer failed"):
+        confirm.chat_scores(confirm.prompts(pairs, variant="plain"), down).collect()
+
+    def shaky(prompt):
+        if "Suspicious: u" in prompt:
+            raise OSError("gone")
+        return "no json" if "Suspicious: w" in prompt else '{"score": 0.5}'
+
+    got = {(r.suspicious_doc_id, r.source_doc_id): (r.llm_score, r.llm_status) for r in confirm.chat_scores(confirm.prompts(pairs).coalesce(1), shaky).collect()}
+    assert got == {(1, 5): (0.5, "ok"), (1, 6): (0.0, "OSError: gone"), (2, 5): (0.0, "no score in the answer")}
+    with pytest.raises(Exception, match="every call of the scorer failed"):
+        confirm.model_scores(confirm.prompts(pairs), lambda prompts: [0.1] * (len(prompts) + 1)).collect()
     assert all(r.prompt.startswith(v) for k, v in confirm.VARIANTS.items() for r in confirm.prompts(pairs, variant=k).collect())
 
 
@@ -138,6 +149,13 @@ def test_lsa_equals_dense_svd(spark):
         got = {r.id: np.array(r.v) for r in found.collect()}
         z = np.stack([got[i] for i in ids])
         assert np.abs(z @ z.T - y @ y.T).max() < (0.05 if k == 5 else 1e-9)
+    few = w.where("id < 'r2'")  # fewer rows than components: only the directions that they have
+    some = sorted({r[0] for r in rows if r[0] < "r2"})
+    z = {r.id: np.array(r.v) for r in vectors.lsa(few, components=15)[0].collect()}
+    y = x[[ids.index(i) for i in some]]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    z = np.stack([z[i] for i in some])
+    assert z.shape[1] <= len(some) and np.abs(z @ z.T - y @ y.T).max() < 1e-9
     fresh = spark.createDataFrame([("q", "f1", 1.0), ("none", "unseen", 1.0)], "id string, feature string, w double")
     q = {r.id: list(r.v) for r in vectors.project(fresh, projection, vocab).collect()}
     assert abs(np.linalg.norm(q["q"]) - 1) < 1e-9 and not any(q["none"])
