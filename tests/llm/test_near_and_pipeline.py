@@ -118,9 +118,10 @@ def test_odd_texts_of_other_operators(spark):
     line = "y" * 1_000_000
     rows = [(1, line + "\nshort"), (2, line), (3, "short\nshort"), (3, "short\nshort"), (3, "other\nshort"), (None, "other")]
     docs = spark.createDataFrame([(i, t, 1, [2]) for i, t in rows], "doc_id long, text string, n_units int, removed array<int>")
-    got = collections.Counter((r.doc_id, r.text, len(r.removed)) for r in line_dedup.dedup(docs).collect())
+    got = collections.Counter((r.doc_id, r.text, len(r.removed)) for r in line_dedup.dedup(docs, "line", 1).collect())
     assert got[1, line + "\nshort", 0] == 1 and got[2, "", 1] == 1 and got[3, "", 2] == 2 and got[None, "", 1] == 1
-    assert got[3, "other", 1] == 1
+    assert got[3, "other\n", 1] == 1
+    assert all(not r.removed for r in line_dedup.dedup(docs).collect())  # texts of fewer words than a unit needs are units by themselves
     cut = collections.Counter((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.dedup(docs).collect())
     assert cut[2, 1_000_000, 1] == 1 and cut[1, 0, 0] == 1
     assert entropy_secrets.report(docs).count() == len(rows)
