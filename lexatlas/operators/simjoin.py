@@ -199,7 +199,7 @@ def _block_scores(sp, qp, k: int | None):
             leaders = np.argpartition(-bound, start - 1, axis=1)[:, :start]
             todo = np.zeros((rows, subs), bool)
             np.put_along_axis(todo, leaders, True, axis=1)
-            todo &= bound > 0
+            todo &= (bound > 0) & (bound >= floor[a:z, None])
             scores = added(todo)
             least = np.maximum(np.partition(scores, n - k, axis=1)[:, n - k], floor[a:z])
             more = (bound >= least[:, None]) & (bound > 0) & ~todo

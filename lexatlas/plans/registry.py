@@ -804,16 +804,23 @@ def e8_full_and_subset(spark, sf):
     return analytics.with_subset_shares(t, "band", F.coalesce("inside", F.lit(False))).select("band", "n", "n_subset", *r6("share", "share_subset"))
 
 
-@query("""select x.category, category in ('none', 'translation-manual', 'paraphrase-manual', 'paraphrase-auto-low') as known, selection, distribution from (values
-  ('artificial', 'none', 'false', 'none', 'none', 'none'), ('artificial', 'low', 'false', 'paraphrase-auto-low', 'low', 'paraphrasing - automatic (low)'),
-  ('simulated', 'none', 'false', 'paraphrase-manual', 'manual', 'paraphrasing - manual'), ('translation', 'none', 'true', 'translation-manual', 'translation', 'translation - manual correction'),
-  ('', 'none', 'false', 'none', 'other', 'unknown (/none)'), ('other', 'odd', 'false', 'odd', 'other', 'unknown (other/odd)')) x(kind, obfuscation, manual, category, selection, distribution)""")
+_KINDS, _OBFUSCATIONS = ("artificial", "simulated", "translation", "", "other"), ("none", "low", "high", "odd")
+_OFFICIAL = """case when kind like '%translation%' then case when manual = 'true' then 'translation-manual' else 'translation-auto' end when kind = '' then 'none' when kind = 'simulated' then 'paraphrase-manual'
+  when obfuscation = 'none' then 'none' when obfuscation = 'low' and kind like '%artificial%' then 'paraphrase-auto-low' when obfuscation = 'high' and kind like '%artificial%' then 'paraphrase-auto-high' else obfuscation end"""
+_SELECTION = "case when kind = 'artificial' and obfuscation in ('none', 'low', 'high') then obfuscation when kind = 'simulated' then 'manual' when kind = 'translation' then 'translation' else 'other' end"
+_DISTRIBUTION = """case when kind = 'artificial' and obfuscation = 'none' then 'none' when kind = 'artificial' and obfuscation = 'low' then 'paraphrasing - automatic (low)' when kind = 'artificial' and obfuscation = 'high' then 'paraphrasing - automatic (high)'
+  when kind = 'simulated' then 'paraphrasing - manual' when kind = 'translation' then case when manual = 'true' then 'translation - manual correction' else 'translation - automatic' end else 'unknown (' || kind || '/' || obfuscation || ')' end"""
+
+
+@query(f"""select kind, obfuscation, manual, {_OFFICIAL} as category, {_SELECTION} as selection, {_DISTRIBUTION} as distribution, n from (
+  select list_extract({list(_KINDS)}, (doc_id % 5)::int + 1) as kind, list_extract({list(_OBFUSCATIONS)}, (n_chars % 4)::int + 1) as obfuscation, (lang = 'en')::varchar as manual, count(*)::bigint as n from documents group by all)""")
 def f9_categories(spark, sf):
-    rows = [("artificial", "none", "false"), ("artificial", "low", "false"), ("simulated", "none", "false"), ("translation", "none", "true"), ("", "none", "false"), ("other", "odd", "false")]
+    """Categories of cases under the three schemes; the cases' types are dealt to the documents by id, length and language, as the given tables have none."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    d = D.table(spark, sf, "documents").select(pick(_KINDS, F.col("doc_id") % 5).alias("kind"), pick(_OBFUSCATIONS, F.col("n_chars") % 4).alias("obfuscation"), (F.col("lang") == "en").cast("string").alias("manual"))
     a = [F.col(c) for c in ("kind", "obfuscation", "manual")]
-    d = spark.createDataFrame(rows, "kind string, obfuscation string, manual string")
-    d = d.select(groundtruth.official_category(*a).alias("category"), groundtruth.selection_category(*a[:2]).alias("selection"), groundtruth.distribution_category(*a).alias("distribution"))
-    return d.select("category", F.col("category").isin("none", "translation-manual", "paraphrase-manual", "paraphrase-auto-low").alias("known"), "selection", "distribution")
+    n = d.groupBy("kind", "obfuscation", "manual").agg(F.count("*").alias("n"))
+    return n.select(*a, groundtruth.official_category(*a).alias("category"), groundtruth.selection_category(*a[:2]).alias("selection"), groundtruth.distribution_category(*a).alias("distribution"), "n")
 
 
 @query()
