@@ -198,9 +198,10 @@ def manifest(leaves: DataFrame) -> DataFrame:
         for before, after in (*path, *upper):
             found = digest_of(before, found, after)
         proof = digest_of(siblings, *(x for pair in upper for x in pair))
-        return None if doc_id == NO_ID else int(doc_id), digest, subroot, top, proof, found, found == top
+        return int(doc_id), digest, subroot, top, proof, found, found == top
 
-    return _proved(numbered, reduced, order, "doc_id, altered", "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean", row, steps)
+    out = _proved(numbered, reduced, order, "doc_id, altered", "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean", row, steps)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def _field(c: Column) -> Column:
