@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, documents
+from .common import crc_fold, documents, trim
 
 WIDTH, FILTERS, CHUNK, STRIDE = 5, 16, 256, 192
 #: Bounds of the sample that is learned from: labelled rows, and bytes of their texts; whole rows in order of an id hash.
@@ -160,7 +160,9 @@ def classify(docs: DataFrame, model: dict, threshold: float = THRESHOLD, keep: t
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series(score_texts([(x or "").encode() for x in text], model))
+        out = pd.Series(score_texts([(x or "").encode() for x in text], model))
+        trim()  # workers live on in the stages after this one
+        return out
 
     out = docs.select(F.col("doc_id"), F.coalesce(crc_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), score(F.col("text")).alias("score"), *(F.col(k).alias(f"kept_{k}") for k in keep))
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"), *(F.col(f"kept_{k}").alias(k) for k in keep if k != "doc_id"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, documents, drop_staged, map_by_id, parts, staged
+from .common import components, documents, drop_staged, map_by_id, parts, staged, trim
 
 WORDS, SIMILAR = 5, 75
 ROWS, GROUPS = 3, 16
@@ -81,6 +81,8 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 rows.append((doc_id, 0, 0, 0, None))
         yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "k1", "k2", "keys"])
+        del rows
+        trim()  # workers live on in the stages after this one
 
 
 def linked(inter: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -162,12 +164,15 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(part) > 1:
             sets = [np.frombuffer(b, np.uint64) for b in part["shingles"]]
             edges += forest(part["id"].to_numpy(), sets, (part["block"] == part["i"]).to_numpy() & (part["i"] != part["j"]).to_numpy())
+    trim()
     return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
 def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pdf.drop(columns="text").assign(shingles=[shingle_set(t).tobytes() for t in pdf["text"]])
+        del pdf
+        trim()
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
