@@ -7,8 +7,9 @@ hash.  So a shard needs only the passages of its hashes, not the corpus:
 1. Passages are hashed (position, length, content) and dealt by hash.  Where the same passage occurs in
    several documents, all but those of the smallest doc_id are removed outright; a batch does this before
    the shuffle, so a passage that a third of all documents share is one entry for each batch.
-2. Hashes with one document only, nearly all, are done.  Where different passages share a hash, their bytes
-   are fetched; a passage whose gram has other surroundings in every other document is left out, and
+2. Hashes with one document only, nearly all, are done.  Where different passages share a hash, those whose gram
+   has other surroundings in every other document are left out, told by two short hashes that come with each
+   passage; the bytes of the rest are fetched, each text once, surroundings are compared again by long hashes, and
    each shard sorts the suffixes of the rest by external induced sorting (``induced_sort``: disk-backed
    queues that carry suffix positions and common-prefix values).  Suffixes that agree on LEAST bytes stand
    together in the order; a window is removed if its group has a smaller doc_id.
@@ -36,6 +37,8 @@ from .common import documents, map_by_id, parts, release_shuffles, shared_dir, s
 from .induced_sort import suffix_order
 
 LEAST, GRAM = 50, 20
+#: Equal windows have LEAST - GRAM more bytes in common around their gram, so at least so many before or behind it.
+SIDE = (LEAST - GRAM) // 2
 #: Text bytes for each group of hashes, and passage bytes for each sorted shard.
 GROUP_BYTES, SHARD_BYTES = 12 << 20, 2 << 20
 #: Windows of hot hashes that a worker holds at once; characters whose passages it collapses at once, and hashes at once.
@@ -65,11 +68,36 @@ def _grams(data: bytes) -> np.ndarray:
 
 def passages(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Passages of the documents data[begin:end]: (document, start, end, hash, content hash), places in ``data``."""
+    return sided_passages(data, begin, end)[:5]
+
+
+def _sides(data: bytes, gram: np.ndarray, start: np.ndarray, stop: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16 bits for the SIDE bytes before and behind a passage's gram: 0 if it holds the gram several times, 1 if it has not so many."""
+    place, last = start.copy(), stop - GRAM
+    for at, step in ((place, 1), (last, -1)):
+        todo = np.flatnonzero(gram[at] != h)
+        while len(todo):
+            at[todo] += step
+            todo = todo[gram[at[todo]] != h[todo]]
+    word = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    out = []
+    for a, ok in ((place - SIDE, place - start >= SIDE), (place + GRAM, place + GRAM + SIDE <= stop)):
+        side = np.ones(len(start), np.uint16)
+        a = a[ok]
+        side[ok] = _mix(_mix(word[a] * _C1) ^ word[a + SIDE - 8] * _C2) % np.uint64(65534) + np.uint64(2)
+        side[place != last] = 0
+        out.append(side)
+    return out[0], out[1]
+
+
+def sided_passages(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``passages`` with the two ``_sides`` of each."""
     width = LEAST - GRAM + 1
     n = len(data) - GRAM + 1
     none = np.zeros(0, np.int64)
+    nothing = none, none, none, *[none.astype(np.uint64)] * 2, *[none.astype(np.uint16)] * 2
     if n < width:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     gram = _grams(data)
     low, span = gram, 1
     while 2 * span <= width:
@@ -80,7 +108,7 @@ def passages(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
     docs = np.flatnonzero(end - begin >= LEAST)
     count = (end - begin - LEAST + 1)[docs]
     if not len(docs):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     valid = np.repeat(begin[docs] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
     owner = np.repeat(docs, count)
     h = low[valid]
@@ -91,7 +119,7 @@ def passages(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
     total = np.r_[np.uint64(0), np.cumsum(gram * power[:n])]
     back = np.cumprod(np.r_[np.uint64(1), np.full(n, _ODD_INVERSE)])
     content = _mix((total[stop - GRAM + 1] - total[start]) * back[start] + (stop - start).astype(np.uint64))
-    return owner[new], start, stop, h[new], content
+    return owner[new], start, stop, h[new], content, *_sides(data, gram, start, stop, h[new])
 
 
 def _spans(doc: np.ndarray, tag: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -134,12 +162,12 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a[new], b[np.r_[new[1:], len(a)] - 1]], axis=1).astype(np.int32)
 
 
-_ENTRY = ("h", "c", "doc", "tag", "start", "size")
+_ENTRY = ("h", "c", "doc", "tag", "start", "size", "left", "right")
 _SHARDED = "shard int, rank_id long, tag long, spans binary, entries binary"
 
 
 def _pack(e: dict[str, np.ndarray], at: np.ndarray) -> bytes:
-    """Entries ``at`` in about 18 bytes each: 40 bits of the hash, 48 of the content hash, places as differences.
+    """Entries ``at`` in about 22 bytes each: 40 bits of the hash, 48 of the content hash, places as differences, sides (0 if not given).
 
     The hash only forms groups, so cutting it loses nothing; together 88 bits tell passages apart.
     """
@@ -150,6 +178,7 @@ def _pack(e: dict[str, np.ndarray], at: np.ndarray) -> bytes:
     step[run] = start[run]
     count = np.diff(np.r_[run, len(at)])
     parts = [e["h"][at].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), e["c"][at].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), step.astype("<u4").tobytes(), e["size"][at].astype("<u4").tobytes(), np.diff(doc[run], prepend=0).tobytes(), tag[run].astype("<u4").tobytes(), count.astype("<u4").tobytes()]
+    parts += [e[x][at].astype("<u2").tobytes() if x in e else bytes(2 * len(at)) for x in ("left", "right")]
     return np.array([len(at), len(run)], "<u8").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -172,9 +201,10 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     h, c = wide(5), wide(6)
     step, size = take(n, "<u4").astype(np.int64), take(n, "<u4").astype(np.int32)
     doc, tag, count = np.cumsum(take(runs, "<i8")), take(runs, "<u4").astype(np.int64), take(runs, "<u4").astype(np.int64)
+    left, right = take(n, "<u2"), take(n, "<u2")
     first = np.repeat(np.cumsum(count) - count, count)
     total = np.cumsum(step)
-    return {"h": h, "c": c, "doc": np.repeat(doc, count), "tag": np.repeat(tag, count), "start": (total - total[first] + step[first]).astype(np.int32), "size": size}
+    return {"h": h, "c": c, "doc": np.repeat(doc, count), "tag": np.repeat(tag, count), "start": (total - total[first] + step[first]).astype(np.int32), "size": size, "left": left, "right": right}
 
 
 def _leaders(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,6 +219,28 @@ def _leaders(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(~later), np.flatnonzero(later)
 
 
+def _differ(doc: np.ndarray, *key: np.ndarray) -> np.ndarray:
+    """Which rows share their key with a row of another document."""
+    order = np.lexsort(key)
+    first = _starts(*(x[order] for x in key))
+    out = np.zeros(len(doc), bool)
+    if len(first):
+        out[order] = np.repeat(np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first), np.diff(np.r_[first, len(doc)]))
+    return out
+
+
+def _meets(h: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which passages may share a window with another document's passage of the same hash (see ``may_repeat``).
+
+    A passage that holds its gram several times shows no sides, so it stays with all that share its hash.
+    """
+    out = np.isin(h, h[(left == 0) | (right == 0)])
+    for side in (left, right):
+        at = np.flatnonzero(side > 1)
+        out[at[_differ(doc[at], side[at], h[at])]] = True
+    return out
+
+
 def _removed(e: dict[str, np.ndarray], gone: np.ndarray) -> list[tuple[int, int, bytes]]:
     start = e["start"][gone].astype(np.int64)
     return _spans(e["doc"][gone], e["tag"][gone], start, start + e["size"][gone])
@@ -208,9 +260,9 @@ def _deal(groups: int):
                 raw = [t.encode() for t in part["text"]]
                 end = np.cumsum([len(x) for x in raw])
                 begin = end - np.array([len(x) for x in raw])
-                owner, a, b, h, c = passages(b"".join(raw), begin, end)
+                owner, a, b, h, c, left, right = sided_passages(b"".join(raw), begin, end)
                 if len(owner):
-                    found.append({"h": h, "c": c, "doc": part["rank_id"].to_numpy()[owner], "tag": part["tag"].to_numpy()[owner], "start": (a - begin[owner]).astype(np.int32), "size": (b - a).astype(np.int32)})
+                    found.append({"h": h, "c": c, "doc": part["rank_id"].to_numpy()[owner], "tag": part["tag"].to_numpy()[owner], "start": (a - begin[owner]).astype(np.int32), "size": (b - a).astype(np.int32), "left": left, "right": right})
             if not found:
                 continue
             e = {x: np.concatenate([f.pop(x) for f in found]) for x in _ENTRY}
@@ -242,14 +294,13 @@ def _decide(hot_bytes: int):
             e = {x: np.concatenate([b.pop(x) for b in blobs]) for x in _ENTRY}
             stay, gone = _leaders(e)
             rows += [(*x, None, None, None, None, 0) for x in _removed(e, gone)]
-            stay = stay[np.argsort(e["h"][stay], kind="stable")]
-            h, doc = e["h"][stay], e["doc"][stay]
-            first = _starts(h)
-            many = np.diff(np.r_[first, len(h)])
             # different passages of different documents under one hash
-            mixed = np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), many)
-            hot = np.repeat(np.add.reduceat(e["size"][stay].astype(np.int64), first) > hot_bytes, many)[mixed] if len(h) else mixed
-            need = stay[mixed]
+            stay = stay[_differ(e["doc"][stay], e["h"][stay])]
+            need = stay[_meets(e["h"][stay], e["doc"][stay], e["left"][stay], e["right"][stay])]
+            need = need[np.argsort(e["h"][need], kind="stable")]
+            h = e["h"][need]
+            first = _starts(h)
+            hot = np.repeat(np.add.reduceat(e["size"][need].astype(np.int64), first) > hot_bytes, np.diff(np.r_[first, len(h)])) if len(h) else np.zeros(0, bool)
             order = np.lexsort((e["tag"][need], e["doc"][need]))
             need, hot = need[order], hot[order]
             doc, tag = e["doc"][need], e["tag"][need]
@@ -341,9 +392,10 @@ def may_repeat(data: bytes, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
     All windows of a passage hold its gram of the smallest hash.  Equal windows have LEAST - GRAM more bytes in common
     around it, so half as many on one side of it at least: a passage whose gram has the same bytes neither before
-    nor behind it in another document is out.  Passages that hold their gram several times stay.
+    nor behind it in another document is out.  Passages that hold their gram several times stay, and show the
+    surroundings of each place to the others.
     """
-    side = (LEAST - GRAM) // 2
+    side = SIDE
     begin = np.cumsum(size) - size
     gram = _grams(data + b"\0" * 8)[: len(data) - GRAM + 1]
     inside = np.ones(len(data), bool)
@@ -356,8 +408,6 @@ def may_repeat(data: bytes, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
     who, at = owner[hit], hit
     count = np.bincount(who, minlength=len(size))
     stays = count != 1
-    single = count[who] == 1
-    who, at = who[single], at[single]
     power = np.cumprod(np.full(side, int(_C1), np.uint64))
     raw = np.frombuffer(data, np.uint8)
     for shift, ok in ((-side, at - begin[who] >= side), (GRAM, at - begin[who] + GRAM + side <= size[who])):
@@ -475,8 +525,11 @@ def removals(rows: DataFrame) -> DataFrame:
     weight = wanted.agg(F.sum("bytes")).first()[0] or 0
     shards = max(parts(spark), int(weight) // SHARD_BYTES + 1)
     folder = f"{shared_dir(spark)}/suffix-queues"
+    # each text is sent once, with all that is wanted of it
+    wants = wanted.groupBy("rank_id", "tag").agg(F.collect_list(F.struct("h", "start", "size", "hot")).alias("w"))
+    wants = wants.select("rank_id", "tag", *(F.aggregate(f"w.{c}", F.lit(b""), lambda a, x: F.concat(a, x)).alias(c) for c in ("h", "start", "size", "hot")))
     # merge: the same plan at every size, as what is wanted grows with the corpus
-    fetched = rows.join(wanted.select("rank_id", "tag", "h", "start", "size", "hot").hint("merge"), ["rank_id", "tag"]).mapInPandas(_fetch(shards), "shard int, doc binary, tag binary, size binary, count binary, start binary, data binary, rank_id long, text_tag long, spans binary")
+    fetched = rows.join(wants.hint("merge"), ["rank_id", "tag"]).mapInPandas(_fetch(shards), "shard int, doc binary, tag binary, size binary, count binary, start binary, data binary, rank_id long, text_tag long, spans binary")
     sorted_out = staged(fetched.groupBy("shard").applyInPandas(lambda pdf: _sort_shard(pdf, folder), "rank_id long, tag long, spans binary"), "sorted")
     del fetched
     release_shuffles(spark)
