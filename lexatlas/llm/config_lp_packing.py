@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe_pair_index import byte_alphabet
 from .common import documents, map_by_id, parts, staged
 
 CAPACITY, END_ID = 2048, 0
@@ -40,8 +42,13 @@ MORE, CHUNK, CHARGE = 4, 32, 0.1
 
 # The tokenizer gives a word the one space before it, and no word reaches over that space: texts are cut there and words are encoded once.  Where
 # a space is followed by more white space or stands last, their run is one; other white space is left to the library, too.
-_RUN = re.compile(r" (?:\s|$)|[^\S \t\n\r]")
+_ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\r"] + [f" {c}" for c in " \t\n\r"]
+# Marks in ASCII: after letters they are a word of their own to the tokenizer, and so is one line end between others.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 _WORDS = 1 << 19
+_SHOWN = {b: c for c, b in byte_alphabet().items()}
+_SPACE, _LINE = _SHOWN[32], _SHOWN[10]
 _encoders: dict[str, tuple] = {}
 
 
@@ -61,21 +68,54 @@ def _encoder(path: str):
     return _encoders[path]
 
 
-def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids that the tokenizers library gives for ``path``, as unsigned 32-bit numbers.
+def _run(text: str) -> bool:
+    return text.endswith(" ") or any(c in text for c in _ODD)
+
+
+def _words_ids(library, words: list[str], size: np.ndarray) -> list[bytes]:
+    """Ids of distinct words, each with a space before it.
 
-    The new words of all ``texts`` are encoded in one go; the bytes that a token stands for tell where a word's ids end.
+    Letters and the marks after them go to the library's model as the vocabulary writes them; all others are encoded in one go, and the bytes
+    that a token stands for tell where a word's ids end.
     """
+    tokenize, marks, out, others = library.model.tokenize, {"": []}, [b""] * len(words), []
+    line = [t.id for t in tokenize(_LINE)]
+    for i, w in enumerate(words):
+        ids: list[int] = []
+        before = _SPACE
+        for part in w.split("\n"):
+            head = part.rstrip(_MARKS)
+            if _LETTERS(head) is None:
+                others.append(i)
+                break
+            tail = part[len(head) :]
+            if tail not in marks:
+                marks[tail] = [t.id for t in tokenize(tail)]
+            shown = head if head.isascii() else head.encode().decode("latin-1").translate(_SHOWN)
+            ids += line if before == "" else []
+            ids += [t.id for t in tokenize(before + shown)]
+            ids += marks[tail]
+            before = ""
+        else:
+            out[i] = array("I", ids).tobytes()
+    if others:
+        rest = [words[i] for i in others]
+        ids = np.array(library.encode("".join([f" {w}" for w in rest]), add_special_tokens=False).ids, "<u4")
+        ends = (np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(w.encode()) + 1 for w in rest])) + 1).tolist()
+        raw = ids.tobytes()
+        for i, a, b in zip(others, [0, *ends], ends):
+            out[i] = raw[4 * a : 4 * b]
+    return out
+
+
+def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
+    """Ids that the tokenizers library gives for ``path``, as unsigned 32-bit numbers; the new words of all ``texts`` are encoded together."""
     library, known, added, size = _encoder(path)
     if len(known) > _WORDS:
         known.clear()
-    cut = [None if _RUN.search(t) or any(a in t for a in added) else t.split(" ") for t in texts]
-    new = list(set().union(*filter(None, cut)) - known.keys())
-    if new:
-        ids = np.array(library.encode("".join([f" {w}" for w in new]), add_special_tokens=False).ids, "<u4")
-        ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(w.encode()) + 1 for w in new])) + 1
-        raw = ids.tobytes()
-        known.update(zip(new, [raw[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist())]))
+    cut = [None if _run(t) or any(a in t for a in added) else t.split(" ") for t in texts]
+    new = list(set().union(*filter(None, cut)).difference(known))  # a dict's keys() would be gone through as a whole
+    known.update(zip(new, _words_ids(library, new, size)))
     out = []
     for text, words in zip(texts, cut):
         head = library.encode(text if words is None else words[0], add_special_tokens=False).ids

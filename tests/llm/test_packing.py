@@ -171,3 +171,30 @@ def test_slots(spark):
     for _, part in got.sort_values("offset").groupby("sequence_id"):
         assert part["offset"].tolist() == [0, *np.cumsum(part["length"])[:-1]] and part["length"].sum() <= 128
     assert got["sequence_id"].nunique() <= bound(np.bincount(want["length"], minlength=129)) + 1
+
+
+def test_words_go_to_the_model_once_and_get_the_librarys_ids(monkeypatch):
+    """Odd words, marks and white space against whole texts; plain words don't go through the library's splitting."""
+    import random
+
+    library = Tokenizer.from_file(PATH)
+    library.no_truncation(), library.no_padding()
+    rng = random.Random(5)
+    odd = ["don't", "it's,", "'tis", "he'll'", "Word", "word.", "WORD!?", "a_b", "x9", "9x.", "\u00e9t\u00e9", "na\u00efve.", "foo.\nBar", "tab\there", "x\n\ny", "a\nb\nc,", "\nq", "q\n", "d.\n'tis", "w\n9", "\u00df\u00ff!", "\u00b5m", "\u00aa", "\u00d7", "", ".", "...", "'s", "end'", "\"q\"", "\x00a", "a\x7f", "\x1cb", "\u4e2d\u6587", "\u00a0z", "<|endoftext|>", "k\u212a", "abc\\", "~", "z" * 300 + "'"]
+    texts = [" ".join(rng.choices(odd, k=rng.choice([1, 3, 12]))) for _ in range(400)] + odd + ["", " ", "a ", "a  b", "a \nb", "a\n"]
+    for a in range(0, len(texts), P.TEXTS):
+        got = P.token_ids(texts[a : a + P.TEXTS], PATH)
+        assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts[a : a + P.TEXTS]]
+
+    class Spy:
+        model, seen = library.model, []
+
+        def encode(self, text, **options):
+            self.seen.append(text)
+            return library.encode(text, **options)
+
+    found = P._encoder(PATH)
+    monkeypatch.setitem(P._encoders, PATH, (Spy(), {}, *found[2:]))
+    text = "Some plain words, and \u00e9t\u00e9.\nAnd caf\u00e9! again: don't"
+    assert P.token_ids([text], PATH)[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert Spy.seen == [" don't", "Some"]
