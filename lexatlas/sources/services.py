@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +84,15 @@ def cross_scores(pairs: DataFrame, scorer: Scorer, batch: int = 32) -> DataFrame
             yield pdf.assign(pair_score=scores)
 
     return pairs.mapInPandas(run, ", ".join(f"`{n}` {k}" for n, k in pairs.dtypes) + ", pair_score double")
+
+
+def in_batches(scorer: Scorer, batch: int = 32) -> Callable:
+    """A cross-encoder as a scorer of places (``lookup.Matcher.reranked``): (texts, other texts, i, j) to the scores of the pairs of texts i and j."""
+
+    def run(texts: pa.Array, others: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        x, y, scores = texts.to_pylist(), others.to_pylist(), []
+        for a in range(0, len(i), batch):
+            scores += scorer([(x[m] or "", y[n] or "") for m, n in zip(i[a : a + batch].tolist(), j[a : a + batch].tolist())])
+        return np.asarray(scores, float)
+
+    return run
